@@ -254,11 +254,38 @@ def annotated_breaks(spark, d):
     return stats.annotate_breaks(third_breaks(s), s, ["series_id"], "1997-03-01")
 
 
-@query("kernel_changepoints", "ST8", "ST10")
+# Exact segmentation in SQL: all block sums by window sums, then the recursion
+# over end points with the best costs so far carried as a list.
+_SEGMENT_SQL = f"""WITH RECURSIVE {SERIES},
+d2 AS (SELECT x.series_id, x.t AS i, z.t AS j, pow(x.y - z.y, 2) AS d FROM series x JOIN series z ON x.series_id = z.series_id AND x.t < z.t),
+g AS (SELECT series_id, CASE WHEN median(d) = 0 THEN 1.0 ELSE 1.0 / median(d) END AS gamma FROM d2 GROUP BY 1),
+w AS (
+  SELECT series_id, i AS a, j, 2 * sum(exp(-least(greatest(d * gamma, 1e-2), 1e2))) OVER (PARTITION BY series_id, j ORDER BY i DESC) + 1 AS w
+  FROM d2 JOIN g USING (series_id)
+  UNION ALL SELECT series_id, t, t, 1.0 FROM series
+),
+blocks AS (SELECT series_id, a, j + 1 AS b, sum(w) OVER (PARTITION BY series_id, a ORDER BY j) AS s FROM w),
+c AS (SELECT series_id, b, list((b - a) - s / (b - a) ORDER BY a) AS cost FROM blocks WHERE b - a >= 3 GROUP BY 1, 2),
+n AS (SELECT series_id, count(*) AS n FROM series GROUP BY 1),
+f(series_id, b, n, best, prev) AS (
+  SELECT series_id, 0::BIGINT, n, [0.0::DOUBLE], [0::BIGINT] FROM n
+  UNION ALL
+  SELECT series_id, b + 1, n,
+         list_append(best, CASE WHEN b + 1 < 3 THEN 'infinity'::DOUBLE ELSE list_min(cand) END),
+         list_append(prev, CASE WHEN b + 1 < 3 THEN 0 ELSE list_position(cand, list_min(cand)) - 1 END)
+  FROM (SELECT f.*, list_transform(range(0, f.b - 1), lambda a: best[a + 1] + cost[a + 1] + 1.0) AS cand
+        FROM f LEFT JOIN c ON c.series_id = f.series_id AND c.b = f.b + 1 WHERE f.b < f.n)
+),
+back(series_id, pos, prev) AS (
+  SELECT series_id, prev[n + 1], prev FROM f WHERE b = n
+  UNION ALL SELECT series_id, prev[pos + 1], prev FROM back WHERE pos > 0
+)"""
+
+
+@query("kernel_changepoints", "ST8", sql=f"""{_SEGMENT_SQL}
+SELECT series_id, pos AS break_t FROM back WHERE pos > 0""")
 def kernel_changepoints(spark, d):
-    s = monthly_orders(spark, d)
-    b = changepoint.changepoints(s, ["series_id"])
-    return stats.annotate_breaks(b, s, ["series_id"], "1997-03-01")
+    return changepoint.changepoints(monthly_orders(spark, d), ["series_id"], penalty=1.0)
 
 
 @query("break_report", "ST10", "ST6", "ST7", "ST8")
