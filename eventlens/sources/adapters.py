@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventlens.operators import windows as W
 from eventlens.session import spread
 
 # Appended to commit messages; '' and near misses included.
@@ -141,3 +142,38 @@ def order_keyed_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 3 == 0, F.lit("hot/repo")).otherwise(
             F.concat(F.lit("team/repo-"), (cust * cust + key % 5) % 197)).alias("repo_name"),
     )
+
+
+# ---- observation log -------------------------------------------------------
+LOG_TODAY = "2001-07-20"
+LOG_CAP = 12
+LOG_TRUNCATE_ABOVE = 3 * LOG_CAP  # larger windows report 65 % of their rows
+LOG_NOISE = [0, 5, 2]  # added to draws 0, 1, 2
+LOG_EXACT_TOOL = "5-LOW"  # answers exactly, so it is asked once
+
+
+def _reported(total: Column) -> Column:
+    return F.when(total > LOG_TRUNCATE_ABOVE, F.floor(total * 65 / 100)).otherwise(total).cast("bigint")
+
+
+def observation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated noisy counts of orders per priority and date window, with stale duplicates.
+
+    Holds the whole-month probe and every window that bisection may visit.
+    """
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit(LOG_TODAY).cast("timestamp_ntz"))
+    m = W.daily_counts(o.withColumnRenamed("o_orderpriority", "tool"), ["tool"], "o_orderdate")
+    m = W.plan_windows(W.month_bounds(m, "month", LOG_TODAY).withColumn("probe", _reported(F.col("total"))), "probe", LOG_CAP)
+    whole = F.array(F.struct("start", "end"))
+    w = m.select("tool", "day_counts", F.explode(F.array_distinct(F.concat(whole, W.bisection_tree(F.col("windows"))))).alias("w"))
+    exact = F.col("tool") == LOG_EXACT_TOOL
+    w = w.select("tool", "w.start", "w.end", _reported(W.window_total(F.col("day_counts"), F.col("w"))).alias("base"),
+                 F.explode(F.when(exact, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(2)))).alias("draw"))
+    stale = F.when(F.dayofmonth("start") % 5 == 0, F.sequence(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    return w.select("*", F.explode(stale).alias("take")).select(
+        (F.lit("2001-07-20 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("take"), F.col("draw").cast("decimal(18,6)"))).alias("ts"),
+        "tool", F.concat(F.lit("priority:"), "tool").alias("q"), F.lit("order-date").alias("date_field"),
+        "start", "end", "draw",
+        (F.col("base") + _pick(LOG_NOISE, F.col("draw")) - F.when(F.col("take") == 0, 1000).otherwise(0)).cast("bigint").alias("total_count"),
+        (~exact).alias("incomplete_results"), F.lit(200).alias("http_status"), F.lit(0.5).alias("elapsed_s"),
+    )
