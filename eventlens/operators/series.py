@@ -43,15 +43,15 @@ def left_lookup(df: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def stitch_series(exact: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    """Exact rows where they exist, other rows for months after the last exact month of the series."""
-    last = exact.groupBy(*[k for k in keys if k != "month"]).agg(F.max("month").alias("_last")) if len(keys) > 1 else None
-    if last is None:
-        later = other.where(F.col("month") > exact.agg(F.max("month")).scalar())
-    else:
-        series = [k for k in keys if k != "month"]
-        later = other.join(last, series, "left").where(
-            F.col("_last").isNull() | (F.col("month") > F.col("_last"))).drop("_last")
-    return exact.unionByName(later, allowMissingColumns=True)
+    """Exact rows where they exist, other rows for months after the last exact month of the series.
+
+    One union and one small window per series, so each input is read once.
+    """
+    both = exact.withColumn("_exact", F.lit(True)).unionByName(
+        other.withColumn("_exact", F.lit(False)), allowMissingColumns=True)
+    last = F.max(F.when(F.col("_exact"), F.col("month"))).over(Window.partitionBy(*keys))
+    return both.withColumn("_last", last).where(
+        F.col("_exact") | F.col("_last").isNull() | (F.col("month") > F.col("_last"))).drop("_exact", "_last")
 
 
 def pivot_series(df: DataFrame, index: str, column: str, names: list[str], values: list[str]) -> DataFrame:
@@ -74,13 +74,13 @@ def any_partial(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.bool_or("partial").alias("partial"))
 
 
-def complete_total(df: DataFrame, tools: list[str], keys: list[str] = ["month"]) -> DataFrame:
+def complete_total(df: DataFrame, tools: list[str], keys: tuple = ("month",), extra: list[Column] = ()) -> DataFrame:
     """Sum of estimate, lo and hi over a fixed tool set, only where every tool is present."""
     known = df.where(F.col("tool").isin(tools) & F.col("estimate").isNotNull())
     return (
         known.groupBy(*keys)
         .agg(F.sum("estimate").alias("estimate"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"),
-             F.bool_or("partial").alias("partial"), F.countDistinct("tool").alias("_tools"))
+             F.bool_or("partial").alias("partial"), F.countDistinct("tool").alias("_tools"), *extra)
         .where(F.col("_tools") == len(tools)).drop("_tools")
     )
 
@@ -96,27 +96,23 @@ def build_series(exact: DataFrame, estimates: DataFrame, tools: list[str], focus
     exact: tool, month, value.  estimates: tool, month, estimate, lo, hi, partial.
     A later month is kept only when every tool was estimated.
     """
-    both = lambda df, agg: [agg(df, F.col("tool") == focus), agg(df, F.col("tool").isin(tools))]
-
-    def exact_side(df, cond):
-        s = df.where(cond).groupBy("month").agg(F.sum("value").cast("bigint").alias("y"))
-        return s.select("month", "y", F.col("y").alias("lo"), F.col("y").alias("hi"),
-                        F.lit(config.SIGMA_EXACT).alias("sigma"), F.lit("exact").alias("source"), F.lit(False).alias("partial"))
-
-    whole = complete_total(estimates, tools)
-    later_focus = estimates.where(F.col("tool") == focus).select("month", "estimate", "lo", "hi").join(
-        whole.select("month", "partial"), "month")
-
-    def later_side(df):
-        return df.select("month", F.col("estimate").cast("bigint").alias("y"), F.col("lo").cast("bigint").alias("lo"),
-                         F.col("hi").cast("bigint").alias("hi"),
-                         sigma_log(F.col("estimate"), F.col("lo"), F.col("hi")).alias("sigma"),
-                         F.lit("estimate").alias("source"), "partial")
-
-    parts = []
-    for name, ex, later in zip((focus, "total"), both(exact, exact_side), (later_focus, whole)):
-        parts.append(stitch_series(ex, later_side(later), ["month"]).withColumn("series_id", F.lit(name)))
-    return with_t(parts[0].unionByName(parts[1]), ["series_id"])
+    is_focus = F.col("tool") == focus
+    ex = exact.where(F.col("tool").isin(tools)).groupBy("month").agg(
+        F.sum(F.when(is_focus, F.col("value"))).alias("focus"), F.sum("value").alias("total"))
+    point = lambda name, y: F.struct(F.lit(name).alias("series_id"), y.cast("bigint").alias("y"))
+    ex = ex.select("month", F.explode(F.array(point(focus, F.col("focus")), point("total", F.col("total")))).alias("p")).select(
+        "p.series_id", "month", "p.y", F.col("p.y").alias("lo"), F.col("p.y").alias("hi"),
+        F.lit(config.SIGMA_EXACT).alias("sigma"), F.lit("exact").alias("source"), F.lit(False).alias("partial")
+    ).where(F.col("y").isNotNull())
+
+    parts = ("estimate", "lo", "hi")
+    est = complete_total(estimates, tools, extra=[F.max(F.when(is_focus, F.col(c))).alias(f"focus_{c}") for c in parts])
+    band = lambda name, pre: F.struct(F.lit(name).alias("series_id"), *[
+        F.col(pre + c).cast("bigint").alias(o) for c, o in zip(parts, ("y", "lo", "hi"))])
+    est = est.select("month", "partial", F.explode(F.array(band(focus, "focus_"), band("total", ""))).alias("p")).select(
+        "p.series_id", "month", "p.y", "p.lo", "p.hi",
+        sigma_log(F.col("p.y"), F.col("p.lo"), F.col("p.hi")).alias("sigma"), F.lit("estimate").alias("source"), "partial")
+    return with_t(stitch_series(ex, est, ["series_id"]), ["series_id"])
 
 
 def tool_matrix(df: DataFrame, keys: list[str], value: str) -> DataFrame:

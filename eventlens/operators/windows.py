@@ -72,23 +72,23 @@ def _halves(w: Column) -> Column:
     return F.array(_window(w["start"], first_end), _window(F.date_add(first_end, 1), w["end"]))
 
 
-def bisect(windows: Column, too_big) -> Column:
-    """Halve every multi-day window for which ``too_big(window)`` holds, until none is left."""
+def bisect(df: DataFrame, windows: str, measure, too_big) -> DataFrame:
+    """Halve every multi-day window of the array for which ``too_big(measure(window))`` holds, until none is left."""
     for _ in range(BISECTION_ROUNDS):
-        windows = F.flatten(F.transform(
-            windows, lambda w: F.when(too_big(w) & (w["start"] < w["end"]), _halves(w)).otherwise(F.array(w))))
-    return windows
+        measured = F.transform(windows, lambda w: F.struct(w.alias("w"), measure(w).alias("m")))
+        df = df.withColumn(windows, F.flatten(F.transform(measured, lambda x: F.when(
+            (x["w"]["start"] < x["w"]["end"]) & too_big(x["m"]), _halves(x["w"])).otherwise(F.array(x["w"])))))
+    return df
 
 
-def bisection_tree(windows: Column) -> Column:
-    """All windows that bisection could ever visit."""
-    level, levels = windows, [windows]
-    for _ in range(BISECTION_ROUNDS):
-        level = F.flatten(F.transform(
-            level, lambda w: F.when(w["start"] < w["end"], _halves(w)).otherwise(
-                F.array().cast("array<struct<start:date,end:date>>"))))
-        levels.append(level)
-    return F.array_distinct(F.concat(*levels))
+def bisection_tree(df: DataFrame, windows: str) -> DataFrame:
+    """Extends the array by every window that bisection could ever visit."""
+    levels = [windows]
+    for k in range(BISECTION_ROUNDS):
+        wide = F.filter(levels[-1], lambda w: w["start"] < w["end"])
+        levels.append(f"_level{k}")
+        df = df.withColumn(levels[-1], F.flatten(F.transform(wide, _halves)))
+    return df.withColumn(windows, F.array_distinct(F.concat(*levels))).drop(*levels[1:])
 
 
 def daily_counts(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
@@ -107,8 +107,8 @@ def adaptive_windows(df: DataFrame, keys: list[str], ts: str, cap: int, today="9
                      inflate: float = config.WINDOW_INFLATE) -> DataFrame:
     """Date windows that hold at most ``cap`` rows each (or are a single day), with their counts."""
     m = plan_windows(month_bounds(daily_counts(df, keys, ts), "month", today), "total", cap, inflate)
-    leaves = bisect(F.col("windows"), lambda w: window_total(F.col("day_counts"), w) > cap)
-    counted = F.transform(leaves, lambda w: F.struct(
+    m = bisect(m, "windows", lambda w: window_total(F.col("day_counts"), w), lambda n: n > cap)
+    counted = F.transform("windows", lambda w: F.struct(
         w["start"].alias("start"), w["end"].alias("end"), window_total(F.col("day_counts"), w).alias("n")))
     return m.select(*keys, "month", F.explode(counted).alias("w")).select(*keys, "month", "w.start", "w.end", "w.n")
 
@@ -149,8 +149,8 @@ def estimate_months(obs: DataFrame, keys: list[str], today, cap: int = config.WI
     For each month the whole-month probe sizes the windows, any window whose
     first draw or median exceeds the cap is halved, and the windows left are
     summed.  ``complete`` is false, and the estimate null, when a draw that
-    the replay needs is not in the log.  Two shuffles: one row per window, one
-    row per month (at most 496 windows).
+    the replay needs is not in the log.  Two shuffles: one row per window, then
+    the windows of a month (at most 496) into one row.
     """
     stats = draw_stats(obs, keys, draws)
     packed = F.struct("first", "median", "lo", "hi", "n_draws", "complete")
@@ -160,14 +160,21 @@ def estimate_months(obs: DataFrame, keys: list[str], today, cap: int = config.WI
     seen = F.col("seen")
     m = m.withColumn("probe_whole_month", seen[_window(F.col("start"), F.col("end"))]["first"])
     m = plan_windows(m, "probe_whole_month", cap, inflate)
-    big = lambda w: F.coalesce((seen[w]["first"] > cap) | (seen[w]["complete"] & (seen[w]["median"] > cap)), F.lit(False))
-    m = m.withColumn("leaves", F.transform(bisect(F.col("windows"), big), lambda w: seen[w]))
-    complete = F.col("probe_whole_month").isNotNull() & F.forall("leaves", lambda s: F.coalesce(s["complete"], F.lit(False)))
-    total = lambda f: F.when(F.col("complete"), F.aggregate("leaves", F.lit(0).cast("bigint"), lambda a, s: a + s[f]))
-    m = m.withColumn("complete", complete)
-    return m.select(
+    big = lambda v: F.coalesce((v["first"] > cap) | (v["complete"] & (v["median"] > cap)), F.lit(False))
+    m = bisect(m, "windows", lambda w: seen[w], big)
+    leaves = F.transform("windows", lambda w: seen[w])
+    known = ["probe_whole_month", "partial", F.col("days").alias("days_covered")]
+    # still partitioned by (keys, month): this aggregation needs no further shuffle
+    rows = m.select(*keys, "month", *known, F.explode_outer(leaves).alias("s"))
+    complete = F.max("probe_whole_month").isNotNull() & F.bool_and(F.coalesce("s.complete", F.lit(False)))
+    total = lambda f: F.when(F.col("complete"), F.col(f"_{f}"))
+    return rows.groupBy(*keys, "month").agg(
+        complete.alias("complete"), F.count("s").alias("n_windows"),
+        F.max("probe_whole_month").alias("probe_whole_month"), F.bool_or("partial").alias("partial"),
+        F.max("days_covered").alias("days_covered"),
+        *[F.sum(f"s.{f}").alias(f"_{f}") for f in ("median", "lo", "hi", "n_draws")],
+    ).select(
         *keys, "month", total("median").alias("estimate"), total("lo").alias("lo"), total("hi").alias("hi"),
-        F.size("leaves").cast("bigint").alias("n_windows"), F.lit(draws).alias("n_draws"),
-        total("n_draws").alias("draws_used"), "probe_whole_month", "partial",
-        F.col("days").alias("days_covered"), F.lit(config.ESTIMATE_METHOD).alias("method"), "complete",
+        "n_windows", F.lit(draws).alias("n_draws"), total("n_draws").alias("draws_used"), "probe_whole_month", "partial",
+        "days_covered", F.lit(config.ESTIMATE_METHOD).alias("method"), "complete",
     )

@@ -165,7 +165,8 @@ def observation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = W.daily_counts(o.withColumnRenamed("o_orderpriority", "tool"), ["tool"], "o_orderdate")
     m = W.plan_windows(W.month_bounds(m, "month", LOG_TODAY).withColumn("probe", _reported(F.col("total"))), "probe", LOG_CAP)
     whole = F.array(F.struct("start", "end"))
-    w = m.select("tool", "day_counts", F.explode(F.array_distinct(F.concat(whole, W.bisection_tree(F.col("windows"))))).alias("w"))
+    m = W.bisection_tree(m, "windows").withColumn("windows", F.array_union(whole, "windows"))
+    w = m.select("tool", "day_counts", F.explode("windows").alias("w"))
     exact = F.col("tool") == LOG_EXACT_TOOL
     w = w.select("tool", "w.start", "w.end", _reported(W.window_total(F.col("day_counts"), F.col("w"))).alias("base"),
                  F.explode(F.when(exact, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(2)))).alias("draw"))
