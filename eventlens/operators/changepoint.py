@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from eventlens import config
+from eventlens.session import spread_groups
 
 
 def kernel_breaks(y: np.ndarray, penalty: float, min_size: int) -> list[int]:
@@ -63,4 +64,4 @@ def changepoints(series: DataFrame, keys: list[str], value: str = "y", penalty:
         return out
 
     rows = series.select(*keys, F.col("t").cast("bigint").alias("t"), F.col(value).cast("double").alias(value))
-    return rows.groupBy(*keys).applyInPandas(solve, schema)
+    return spread_groups(rows, keys).groupBy(*keys).applyInPandas(solve, schema)

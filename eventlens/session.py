@@ -73,3 +73,14 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def spread_groups(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition by key into a fixed number of tasks.
+
+    For grouped functions that compute much on few bytes: adaptive execution
+    sizes tasks by bytes and would merge such groups into one task.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
