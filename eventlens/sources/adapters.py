@@ -68,8 +68,11 @@ def _commit(doc: Column, line: Column, pos: Column) -> Column:
 
 
 def document_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_pushes(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")))
+
+
+def document_pushes(d: DataFrame) -> DataFrame:
     """created_at, type, login, repo_name, payload; one push per document, one commit per line."""
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
     doc = F.col("doc_id")
     commits = F.transform(F.split("text", "\n"), lambda line, i: _commit(doc, line, i.cast("bigint")))
     present = doc % 47 != 0

@@ -12,8 +12,14 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
+def write_archive(df: DataFrame, path: str) -> None:
+    """Month directories; a big month is cut into several files by time, a small one is a single file."""
+    write_parquet(df.repartitionByRange("month", "created_at"), path, ["month"])
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
