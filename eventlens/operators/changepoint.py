@@ -59,9 +59,10 @@ def changepoints(series: DataFrame, keys: list[str], value: str = "y", penalty:
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         cuts = kernel_breaks(pdf[value].to_numpy(float), penalty, min_size)
-        out = pd.DataFrame({k: [pdf[k].iloc[0]] * len(cuts) for k in keys})
-        out["break_t"] = pdf["t"].to_numpy()[cuts] if cuts else np.array([], dtype="int64")
+        out = pdf[keys].iloc[[0] * max(len(cuts), 1)].reset_index(drop=True)
+        # a series without breaks sends one empty row, dropped below
+        out["break_t"] = pd.array(pdf["t"].to_numpy()[cuts] if cuts else [None], dtype="Int64")
         return out
 
     rows = series.select(*keys, F.col("t").cast("bigint").alias("t"), F.col(value).cast("double").alias(value))
-    return spread_groups(rows, keys).groupBy(*keys).applyInPandas(solve, schema)
+    return spread_groups(rows, keys).groupBy(*keys).applyInPandas(solve, schema).where("break_t IS NOT NULL")

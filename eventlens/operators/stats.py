@@ -132,10 +132,10 @@ def segmented_regression(series: DataFrame, breaks: DataFrame, keys: list[str],
     x, y = F.col("t").cast("double"), F.col(value).cast("double")
     g = _sides(series, breaks, keys).where(F.col(value).isNotNull()).groupBy(*keys, "break_t", "_pre").agg(
         F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
-        F.regr_r2(y, x).alias("r2"), F.corr(x, y).alias("_r"), F.count("*").alias("n"))
+        F.regr_r2(y, x).alias("r2"), (F.min(y) == F.max(y)).alias("_flat"), F.count("*").alias("n"))
     dof = F.col("n") - 2
     # a constant segment has slope 0 and explains nothing
-    g = g.withColumn("r2", F.when(F.col("_r").isNull() | F.isnan("_r"), 0.0).otherwise(F.col("r2")))
+    g = g.withColumn("r2", F.when(F.col("_flat"), 0.0).otherwise(F.col("r2")))
     g = g.withColumn("_t", F.when(F.col("r2") >= 1.0, F.lit(float("inf"))).otherwise(
         F.sqrt(F.col("r2") * dof / (1 - F.col("r2"))))).withColumn("_dof", dof.cast("double"))
     g = g.select("*", P.student_two_sided("_t", "_dof").alias("_ps"))
