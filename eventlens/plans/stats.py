@@ -9,7 +9,7 @@ from eventlens.functions import text as X
 from eventlens.operators import changepoint, stats
 from eventlens.plans.distribution import r6, rounded
 from eventlens.plans.registry import query
-from eventlens.plans.text import DOC_FEATURES, document_features
+from eventlens.plans.text import DOC_FEATURES
 from eventlens.sources.adapters import table
 
 # ---- shared inputs ---------------------------------------------------------
@@ -62,6 +62,13 @@ def student_p_sql(t: str, nu: str) -> str:
             f"list_sum(list_transform(range(0, 2001), lambda i: {_W} * pow(cos(({b}) * i / 2000), ({nu}) - 1))))")
 
 
+def labelled_features(spark, d):
+    """Features of labelled documents; joining first leaves the rest of the texts unparsed."""
+    docs = table(spark, d, "documents").select("doc_id", "text").join(
+        table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    return X.text_features(docs, "text").drop("text")
+
+
 # ---- rank-sum tests --------------------------------------------------------
 def _rank_sum_sql(rows: str, key: str, p_digits: int = 6) -> str:
     """rows: relation with key, value, first (boolean)."""
@@ -93,7 +100,7 @@ long AS (
 ),
 {_rank_sum_sql('long', 'feature').lstrip()}""")
 def text_feature_rank_tests(spark, d):
-    feats = document_features(spark, d).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    feats = labelled_features(spark, d)
     long = X.unpivot_features(feats, ["quality"])
     out = stats.mann_whitney(long, ["feature"], "value", F.col("quality") == 0)
     return rounded(out, "rank_biserial", "z", "p_value")
@@ -135,7 +142,7 @@ long AS (
 m AS (SELECT feature, avg(value) FILTER (first) AS a, avg(value) FILTER (NOT first) AS b FROM long GROUP BY 1)
 SELECT feature, {r6('a', 'pre_mean')}, {r6('b', 'post_mean')}, {r6('(b - a) / greatest(a, 1e-10) * 100', 'percent_change')} FROM m""")
 def text_feature_era_means(spark, d):
-    feats = document_features(spark, d).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    feats = labelled_features(spark, d)
     long = X.unpivot_features(feats, ["quality"])
     out = stats.era_summary(long, ["feature"], "value", F.col("quality") == 0, medians=False, floor=1e-10)
     return rounded(out, "pre_mean", "post_mean", "percent_change")
@@ -158,19 +165,23 @@ def kendall_trend(spark, d):
     return rounded(out, "tau", "z", "p_value")
 
 
-@query("event_value_trend", "ST4", sql="""
-WITH e AS (SELECT event_type, value AS y, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS t FROM events)
-SELECT a.event_type, count(*) FILTER (a.y > b.y)::DOUBLE AS discordant, count(*) FILTER (a.y = b.y)::DOUBLE AS tied_pairs
-FROM e a JOIN e b ON a.event_type = b.event_type AND a.t < b.t GROUP BY 1""")
-def event_value_trend(spark, d):
-    """Discordant pairs of every event type's whole value sequence (thousands of points each)."""
-    e = table(spark, d, "events")
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    e = e.select("event_type", F.col("value").alias("y"), (F.row_number().over(w) - 1).alias("t"))
-    out = stats.kendall_trend(e, ["event_type"], "t", "y")
-    ties = e.groupBy("event_type", "y").count().groupBy("event_type").agg(
-        F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("tied_pairs"))
-    return out.select("event_type", "discordant").join(ties, "event_type")
+_HOURLY = """
+h AS (SELECT event_type, date_trunc('hour', ts) AS hour, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS y FROM events GROUP BY 1, 2),
+e AS (SELECT event_type, y, row_number() OVER (PARTITION BY event_type ORDER BY hour) - 1 AS t FROM h)"""
+
+
+@query("hourly_value_trend", "ST4", "J5", sql=f"""WITH {_HOURLY}
+SELECT a.event_type, count(*) FILTER (a.y > b.y)::DOUBLE AS discordant, max(n.n) AS n,
+       {r6('(count(*) FILTER (a.y < b.y) - count(*) FILTER (a.y > b.y)) / sqrt(count(*)::DOUBLE * count(*) FILTER (a.y <> b.y))', 'tau')}
+FROM e a JOIN e b ON a.event_type = b.event_type AND a.t < b.t
+JOIN (SELECT event_type, count(*) AS n FROM e GROUP BY 1) n ON n.event_type = a.event_type GROUP BY 1""")
+def hourly_value_trend(spark, d):
+    """Trend of the hourly event value: hundreds of points per series, one per calendar hour."""
+    h = table(spark, d, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(
+        F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("y"))
+    w = Window.partitionBy("event_type").orderBy("hour")
+    h = h.select("event_type", "y", (F.row_number().over(w) - 1).alias("t"))
+    return rounded(stats.kendall_trend(h, ["event_type"], "t", "y").select("event_type", "discordant", "n", "tau"), "tau")
 
 
 @query("dispersion_shift", "ST5", sql=f"""

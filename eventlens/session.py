@@ -59,9 +59,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an intermediate that several jobs read (reliable checkpoint)."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of an intermediate that several jobs read.
+
+    The rows are written once as a table in the shared scratch folder, so a
+    lost executor costs a re-read, and later jobs scan only the columns they need.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
