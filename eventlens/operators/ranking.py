@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventlens.session import materialise
+
 
 def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     """Global top-k; each task keeps k rows before the merge.  Give a unique tie-break last."""
@@ -53,7 +55,21 @@ def sample_rows(df: DataFrame, keys: list[str], fraction: float, cap: int | None
         out = out.limit(cap) if cap else out
     else:
         out = df.withColumn("_h", hash_fraction(*keys)).where(F.col("_h") < F.lit(int(fraction * 1_000_000)))
-        if cap:
-            out = top_k(out, [F.asc("_h"), *[F.asc(k) for k in keys]], cap)
-        out = out.drop("_h")
+        out = (_smallest_hashes(out, keys, cap) if cap else out).drop("_h")
     return out.withColumn("era", F.lit(era)) if era else out
+
+
+def _smallest_hashes(sample: DataFrame, keys: list[str], cap: int) -> DataFrame:
+    """The ``cap`` rows with the least hash.
+
+    The sample is written once; the counts per hash (at most a million rows)
+    give the hash at which the cap is reached, so that the final top-k sees
+    about ``cap`` rows in all instead of ``cap`` rows from every task.
+    """
+    sample = materialise(sample)
+    counts = sample.groupBy("_h").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(F.lit(1)).orderBy("_h"))
+    reached = counts.select("_h", upto.alias("_upto")).where(F.col("_upto") >= cap).agg(F.min("_h")).first()[0]
+    if reached is None:
+        return sample
+    return top_k(sample.where(F.col("_h") <= reached), [F.asc("_h"), *[F.asc(k) for k in keys]], cap)

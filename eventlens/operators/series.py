@@ -115,15 +115,16 @@ def build_series(exact: DataFrame, estimates: DataFrame, tools: list[str], focus
     return with_t(stitch_series(ex, est, ["series_id"]), ["series_id"])
 
 
-def tool_matrix(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Every month between the first and last month of the whole table for every series; gaps are null."""
-    as_date = lambda c: F.to_date(F.concat(c, F.lit("-01")))
-    span = df.agg(F.min(as_date(F.col("month"))).alias("a"), F.max(as_date(F.col("month"))).alias("b"))
-    bounds = df.select(*keys).distinct().withColumns({
-        "_a": span.select("a").scalar(), "_b": span.select("b").scalar()})
-    grid = bounds.select(*keys, F.explode(F.sequence("_a", "_b", F.expr("interval 1 month"))).alias("_m")).select(
-        *keys, F.date_format("_m", "yyyy-MM").alias("month"))
-    return left_lookup(grid, df.select(*keys, "month", value), [*keys, "month"])
+def tool_matrix(df: DataFrame, keys: list[str], value: str, first: str, last: str) -> DataFrame:
+    """Every month of a label range for every series; gaps are null.
+
+    The months of a series travel as one map, at most one entry per calendar month.
+    """
+    day = lambda label: F.to_date(F.lit(f"{label}-01"))
+    months = F.transform(F.sequence(day(first), day(last), F.expr("interval 1 month")), lambda d: F.date_format(d, "yyyy-MM"))
+    known = df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("month", value))).alias("_known"))
+    return known.select(*keys, "_known", F.explode(months).alias("month")).select(
+        *keys, "month", F.col("_known")[F.col("month")].alias(value))
 
 
 def fit_window(df: DataFrame, start: str, last: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventlens import config
 from eventlens.functions import pvalues as P
-from eventlens.operators.ranks import SINGLE_RANGE_ROWS, exact_quantiles, histogram, pair_counts
+from eventlens.operators.ranks import SINGLE_RANGE_ROWS, exact_quantiles, histogram, join_on, pair_counts
 
 SIGNIFICANT = 0.05
 
@@ -60,7 +60,7 @@ def era_summary(df: DataFrame, keys: list[str], value: str, in_first: Column, me
     med = med.groupBy(*keys).agg(
         F.max(F.when(F.col("_first"), F.col("median"))).alias("pre_median"),
         F.max(F.when(~F.col("_first"), F.col("median"))).alias("post_median"))
-    return means.join(med, keys)
+    return join_on(means, med, keys)
 
 
 def dispersion_shift(df: DataFrame, keys: list[str], low: str, high: str, in_first: Column) -> DataFrame:
@@ -85,7 +85,7 @@ def kendall_trend(df: DataFrame, keys: list[str], t: str, value: str, limit: int
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(t).cast("bigint").alias("_t"), F.col(value).alias("_y"))
     span = rows.groupBy(*keys).agg(F.max("_t").alias("_last"))
     levels = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.col("_last"), F.lit(1)).cast("double"))).cast("int"))
-    split = rows.join(span, keys).select(*keys, "_t", "_y", F.explode(levels).alias("_level"))
+    split = join_on(rows, span, keys).select(*keys, "_t", "_y", F.explode(levels).alias("_level"))
     split = split.select(
         *keys, "_level", "_y",
         F.expr("shiftright(_t, _level + 1)").alias("_block"),
@@ -104,7 +104,7 @@ def kendall_trend(df: DataFrame, keys: list[str], t: str, value: str, limit: int
     pairs = n * (n - 1) / 2
     conc_minus = pairs - F.col("tied_pairs") - 2 * F.col("discordant")
     var = (n * (n - 1) * (2 * n + 5) - F.col("_var_ties")) / 18
-    out = ties.join(inversions, keys).select(
+    out = join_on(ties, inversions, keys).select(
         *keys, "n", "discordant",
         F.try_divide(conc_minus, F.sqrt(pairs * (pairs - F.col("tied_pairs")))).alias("tau"),
         F.try_divide(conc_minus, F.sqrt(var)).alias("z"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from eventlens import config
 from eventlens.operators.ranking import top_k
-from eventlens.operators.ranks import SINGLE_RANGE_ROWS, pair_counts
+from eventlens.operators.ranks import SINGLE_RANGE_ROWS, join_on, pair_counts
 from eventlens.session import materialise
 
 
@@ -78,33 +78,23 @@ def drift_dimensions(df: DataFrame, vector: str, in_pre: Column, top: int = 10)
 
 
 # ---- train / test ----------------------------------------------------------
-_HASH_BUCKETS = 65_536
-
-
 def stratified_split(df: DataFrame, key: str, label: str, train_fraction: float = 0.8, seed: int = 42) -> DataFrame:
     """Adds ``is_train``: exactly floor(fraction * n) rows of every label, chosen by a hash of the key.
 
-    Rows are ordered by hash without sorting a label: counts per hash bucket
-    say which bucket holds the cut, and only that bucket (one row in tens of
-    thousands) is ranked.
+    The order within a label is by hash, but a label is never one task: rows
+    are partitioned by (label, hash bucket), which spreads evenly however
+    unequal the labels are, and the counts of lower buckets complete the rank.
     """
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
     rows = df.withColumns({"_h": digest, "_b": F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")})
-    counts = rows.groupBy(label, "_b").agg(F.count("*").alias("_c"))
     w = Window.partitionBy(label)
-    before = F.coalesce(F.sum("_c").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = F.floor(F.sum("_c").over(w) * F.lit(train_fraction))
-    cuts = counts.select(label, F.col("_b").alias("_cut_b"), "_c", before.alias("_before"), cut.alias("_cut")).where(
-        (F.col("_cut") >= F.col("_before")) & (F.col("_cut") < F.col("_before") + F.col("_c"))
-    ).select(label, "_cut_b", (F.col("_cut") - F.col("_before")).alias("_need"))
-    # one row per label; a label whose cut is past its last bucket (fraction 1) is all train
-    joined = rows.join(cuts, label, "left")
-    inside = joined.where(F.col("_b") == F.col("_cut_b"))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", key))
-    inside = inside.withColumn("is_train", rank <= F.col("_need"))
-    outside = joined.where(F.col("_cut_b").isNull() | (F.col("_b") != F.col("_cut_b"))).withColumn(
-        "is_train", F.col("_cut_b").isNull() | (F.col("_b") < F.col("_cut_b")))
-    return inside.unionByName(outside).drop("_h", "_b", "_cut_b", "_need")
+    below = F.sum("_c").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    counts = rows.groupBy(label, "_b").agg(F.count("*").alias("_c")).select(
+        label, "_b", F.coalesce(below, F.lit(0)).alias("_below"),
+        F.floor(F.sum("_c").over(w) * F.lit(train_fraction)).alias("_cut"))
+    rank = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key))
+    return join_on(rows, counts, [label, "_b"]).withColumn(
+        "is_train", F.col("_below") + rank <= F.col("_cut")).drop("_h", "_b", "_below", "_cut")
 
 
 def standardise(train: DataFrame, rows: DataFrame, vector: str, out: str = "scaled") -> DataFrame:

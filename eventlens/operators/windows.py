@@ -119,12 +119,14 @@ def draw_stats(obs: DataFrame, keys: list[str], draws: int = config.WINDOW_DRAWS
     A window whose first draw is exact needs only that draw; any other needs
     all ``draws``.  ``complete`` says whether the log holds what is needed.
     """
+    draw_value = lambda i: F.max(F.when(F.col("draw") == i, F.col("total_count")))
     w = obs.where(F.col("draw") < draws).groupBy(*keys, "start", "end").agg(
         F.bool_or((F.col("draw") == 0) & ~F.col("incomplete_results")).alias("exact"),
-        F.max(F.when(F.col("draw") == 0, F.col("total_count"))).alias("first"),
-        F.sort_array(F.collect_list("total_count")).alias("_all"),
+        draw_value(0).alias("first"),
+        *[draw_value(i).alias(f"_d{i}") for i in range(draws)],
     )
-    w = w.withColumn("_v", F.when(F.col("exact"), F.array("first")).otherwise(F.col("_all")))
+    drawn = F.array_sort(F.array_compact(F.array(*[f"_d{i}" for i in range(draws)])))
+    w = w.withColumn("_v", F.when(F.col("exact"), F.array("first")).otherwise(drawn))
     n = F.size("_v")
     mid = lambda i: F.element_at("_v", i.cast("int"))
     return w.select(

@@ -11,6 +11,7 @@ from eventlens.operators.windows import month_bounds
 from eventlens.plans.distribution import r6, rounded
 from eventlens.plans.registry import query
 from eventlens.plans.stats import SERIES, monthly_orders
+from eventlens.session import materialise
 
 START, PAST, TODAY = "1995-02", "1998-06", "2001-08-02"
 
@@ -19,9 +20,10 @@ def cumulative_orders(spark, d):
     """Orders so far per market segment: a growing monthly series with an unfinished last month."""
     upto = Window.partitionBy("series_id").orderBy("month").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     s = monthly_orders(spark, d).select("series_id", "month", F.col("t").cast("bigint").alias("t"), F.sum("y").over(upto).alias("y"))
-    return month_bounds(s, "month", TODAY).select(
+    # fits, quality and projections all read the series: aggregate the orders once
+    return materialise(month_bounds(s, "month", TODAY).select(
         "series_id", "month", "t", "y", "partial",
-        F.when(F.col("month") < "1999-01", 0.05).otherwise(0.1).alias("sigma"))
+        F.when(F.col("month") < "1999-01", 0.05).otherwise(0.1).alias("sigma")))
 
 
 CUMULATIVE = f"""{SERIES},
@@ -55,9 +57,9 @@ def log_exponential_fit(spark, d):
     return rounded(out, "amp", "rate", "aic", "r2", "doubling_months")
 
 
-def given_parameters(spark, d):
+def given_parameters(series):
     """Plausible parameters derived from each series, to evaluate curves without a search."""
-    last = cumulative_orders(spark, d).groupBy("series_id").agg(F.max("y").cast("double").alias("top"))
+    last = series.groupBy("series_id").agg(F.max("y").cast("double").alias("top"))
     option = lambda model, amp, rate, shift: F.struct(
         F.lit(model).alias("model"), amp.alias("amp"), F.lit(rate).alias("rate"), F.lit(shift).alias("shift"))
     opts = F.array(option("exponential", F.col("top") / 8, 0.03, 0.0), option("logistic", F.col("top") * 1.1, 0.07, 40.0),
@@ -98,9 +100,9 @@ SELECT series_id, space, model, n, {r6('aic', 'aic')}, {r6('1 - rss / tss', 'r2'
        {r6("CASE WHEN model <> 'exponential' THEN amp END", 'ceiling')}, CASE WHEN model <> 'exponential' THEN shift END AS inflection_t
 FROM quality""")
 def growth_curve_quality(spark, d):
-    params = given_parameters(spark, d)
-    points = G.fit_points(cumulative_orders(spark, d), [("lin", START, None), ("log", START, None)])
-    out = G.fit_quality(points, params).select("series_id", "space", "model", "n", "aic", "r2", "runaway",
+    s = cumulative_orders(spark, d)
+    points = G.fit_points(s, [("lin", START, None), ("log", START, None)])
+    out = G.fit_quality(points, given_parameters(s)).select("series_id", "space", "model", "n", "aic", "r2", "runaway",
                                                "doubling_months", "ceiling", "inflection_t")
     return rounded(out, "aic", "r2", "doubling_months", "ceiling")
 
@@ -108,8 +110,9 @@ def growth_curve_quality(spark, d):
 @query("best_growth_model", "FIT7", sql=f"""WITH {_GIVEN}
 SELECT series_id, space, arg_min(model, aic) FILTER (NOT runaway) AS best_by_aic, max(n) AS n FROM quality GROUP BY 1, 2""")
 def best_growth_model(spark, d):
-    points = G.fit_points(cumulative_orders(spark, d), [("lin", START, None), ("log", START, None)])
-    return G.best_model(G.fit_quality(points, given_parameters(spark, d))).select("series_id", "space", "best_by_aic", "n")
+    s = cumulative_orders(spark, d)
+    points = G.fit_points(s, [("lin", START, None), ("log", START, None)])
+    return G.best_model(G.fit_quality(points, given_parameters(s))).select("series_id", "space", "best_by_aic", "n")
 
 
 @query("growth_projection", "FIT8", "SC17", "SC16", "PF15", sql=f"""WITH {_GIVEN},
@@ -119,7 +122,8 @@ SELECT a.series_id, space, model, a.t, c.y, a.t > last_t AS projected,
        CAST(round_even({_CURVE.replace('* t)', '* a.t)').replace('(t -', '(a.t -')}, 0) AS BIGINT) AS fitted
 FROM axis a LEFT JOIN cum c ON c.series_id = a.series_id AND c.t = a.t""")
 def growth_projection(spark, d):
-    out = G.project(given_parameters(spark, d), cumulative_orders(spark, d))
+    s = cumulative_orders(spark, d)
+    out = G.project(given_parameters(s), s)
     return out.drop("start_month", "last_month")
 
 

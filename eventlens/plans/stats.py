@@ -10,6 +10,7 @@ from eventlens.operators import changepoint, stats
 from eventlens.plans.distribution import r6, rounded
 from eventlens.plans.registry import query
 from eventlens.plans.text import DOC_FEATURES
+from eventlens.session import materialise
 from eventlens.sources.adapters import table
 
 # ---- shared inputs ---------------------------------------------------------
@@ -302,8 +303,9 @@ def kernel_changepoints(spark, d):
 @query("break_report", "ST10", "ST6", "ST7", "ST8")
 def break_report(spark, d):
     """Every detected break of every series with its regression and level test."""
-    s = monthly_orders(spark, d)
-    b = changepoint.changepoints(s, ["series_id"], penalty=1.0)
+    # the series and its breaks feed three operators: compute each once
+    s = materialise(monthly_orders(spark, d))
+    b = materialise(changepoint.changepoints(s, ["series_id"], penalty=1.0))
     keys = ["series_id", "break_t"]
     out = stats.annotate_breaks(b, s, ["series_id"], "1997-03-01")
     return out.join(stats.segmented_regression(s, b, ["series_id"]), keys).join(stats.welch_t(s, b, ["series_id"]), keys)
