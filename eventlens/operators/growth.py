@@ -268,3 +268,13 @@ def headline(counts: DataFrame, fits: DataFrame, past: DataFrame, projection: Da
     out = counts.join(now, "series_id", "left").join(then, "series_id", "left").join(labels, ["series_id", "_t0"], "left")
     pct = lambda c: F.bround(F.try_divide(F.col("last_value"), F.col(c)) * 100).cast("bigint")
     return out.withColumns({"logistic_pct": pct("logistic_ceiling"), "gompertz_pct": pct("gompertz_ceiling")}).drop("_t0")
+
+
+def fit_records(fits: DataFrame, projection: DataFrame) -> DataFrame:
+    """One nested row per fit: parameters as a struct and the fitted curve as an array (a point per month)."""
+    keys = ["series_id", *CONFIG, "model"]
+    curve = projection.groupBy(*keys).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("t", "fitted"))), lambda p: p["fitted"]).alias("fitted"))
+    cols = ["aic", "r2", "n", "doubling_months", "ceiling", "inflection_t", "runaway"]
+    return fits.alias("p").join(curve.alias("q"), _same("p", "q", keys)).select(
+        *[f"p.{k}" for k in keys], F.struct("p.amp", "p.rate", "p.shift").alias("params"), *[f"p.{c}" for c in cols], "q.fitted")

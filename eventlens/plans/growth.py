@@ -151,3 +151,55 @@ def growth_headline(spark, d):
     now = G.fit_growth(s, [("lin", START, None)])
     then = G.fit_growth(s, [("lin", START, PAST)])
     return G.headline(S.headline_counts(s, ["series_id"]), now, then, G.project(now, s))
+
+
+# ---- checks of the uses, with parameters that SQL can derive ---------------
+def _log_line(start: str, last: str | None) -> str:
+    """CTEs ending in ``q``: weighted least-squares line through log y per series."""
+    cond = f"NOT partial AND month >= '{start}'" + (f" AND month <= '{last}'" if last else "")
+    return f"""{CUMULATIVE},
+p AS (SELECT *, 1.0 / (sigma * sigma)::DOUBLE AS w, ln(y) AS ly FROM cum WHERE {cond}),
+m AS (SELECT series_id, sum(w * t) / sum(w) AS tm, sum(w * ly) / sum(w) AS lm FROM p GROUP BY 1),
+b AS (SELECT series_id, any_value(tm) AS tm, any_value(lm) AS lm, count(*) AS n,
+             sum(w * (t - tm) * (ly - lm)) / sum(w * (t - tm) * (t - tm)) AS rate FROM p JOIN m USING (series_id) GROUP BY 1),
+q AS (SELECT b.series_id, any_value(rate) AS rate, any_value(lm - rate * tm) AS la, any_value(n) AS n,
+             sum(w * pow(ly - (lm - rate * tm) - rate * t, 2)) AS rss FROM p JOIN b USING (series_id) GROUP BY 1)"""
+
+
+@query("log_growth_hindcast", "FIT9", sql=f"""WITH {_log_line(START, PAST)}
+SELECT series_id, month, t, y AS observed, CAST(round_even(exp(la + rate * t), 0) AS BIGINT) AS predicted
+FROM cum JOIN q USING (series_id) WHERE month > '{PAST}' AND NOT partial""")
+def log_growth_hindcast(spark, d):
+    out = G.hindcast(cumulative_orders(spark, d), PAST, START, space="log").where(F.col("model") == "exponential")
+    return out.select("series_id", "month", "t", "observed", "predicted")
+
+
+@query("log_exponential_sensitivity", "FIT10", sql="\nUNION ALL\n".join(
+    f"""SELECT * FROM (WITH {_log_line(a, None)}
+SELECT series_id, '{a}' AS start, n, round_even(n * ln(rss / n) + 4, 1) + 0.0 AS exponential_aic,
+       round_even(ln(2) / rate, 2) + 0.0 AS exp_doubling FROM q)""" for a in _STARTS))
+def log_exponential_sensitivity(spark, d):
+    out = G.sensitivity(cumulative_orders(spark, d), _STARTS, spaces=("log",))[0]
+    return out.select("series_id", "start", "n", (F.col("exponential_aic") + 0.0).alias("exponential_aic"),
+                      (F.col("exp_doubling") + 0.0).alias("exp_doubling"))
+
+
+@query("headline_of_given_curves", "FIT11", "FIT12", sql=f"""WITH {_GIVEN},
+g AS (SELECT *, (y / lag(y) OVER (PARTITION BY series_id ORDER BY month)::DOUBLE - 1) * 100 AS mom FROM cum),
+h AS (SELECT series_id, max(month) FILTER (NOT partial) AS last_full_month, max(t) FILTER (NOT partial) AS last_full_t,
+             arg_max(y, month) FILTER (NOT partial) AS last_value,
+             CAST(round_even(arg_max(mom, month) FILTER (NOT partial), 0) AS BIGINT) AS mom_pct,
+             CAST(round_even(arg_max(y, month) FILTER (NOT partial) / arg_min(y, month)::DOUBLE, 0) AS BIGINT) AS growth_multiple,
+             sum(y)::BIGINT AS cumulative FROM g GROUP BY 1),
+f AS (SELECT series_id, max(CASE WHEN model = 'logistic' THEN CAST(round_even(amp, 0) AS BIGINT) END) AS logistic_ceiling,
+             max(CASE WHEN model = 'gompertz' THEN CAST(round_even(amp, 0) AS BIGINT) END) AS gompertz_ceiling FROM given GROUP BY 1)
+SELECT h.*, round_even(ln(2) / 0.03, 2) AS doubling_now, round_even(ln(2) / 0.03, 2) AS doubling_then, logistic_ceiling, gompertz_ceiling,
+       (SELECT month FROM cum c WHERE c.series_id = h.series_id AND t = 40) AS inflection_month,
+       CAST(round_even(last_value / logistic_ceiling::DOUBLE * 100, 0) AS BIGINT) AS logistic_pct,
+       CAST(round_even(last_value / gompertz_ceiling::DOUBLE * 100, 0) AS BIGINT) AS gompertz_pct
+FROM h JOIN f USING (series_id)""")
+def headline_of_given_curves(spark, d):
+    s = cumulative_orders(spark, d)
+    params = given_parameters(s).where("space = 'lin'")
+    fits = G.fit_quality(G.fit_points(s, [("lin", START, None)]), params)
+    return G.headline(S.headline_counts(s, ["series_id"]), fits, fits, G.project(params, s))

@@ -8,7 +8,7 @@ from eventlens.operators import attribution as A
 from eventlens.operators import distribution as D
 from eventlens.operators import growth as G
 from eventlens.plans.distribution import r6, rounded
-from eventlens.plans.growth import CONFIGS, cumulative_orders
+from eventlens.plans.growth import START, _GIVEN, cumulative_orders, given_parameters
 from eventlens.plans.registry import ORACLES, query
 from eventlens.plans.series import CAP, TODAY
 from eventlens.plans.sqlbase import ORDER_PUSHES, SIZED_PUSHES, YM, YQ
@@ -68,19 +68,23 @@ def partitioned_archive_scan(spark, d):
     return rounded(D.velocity(archive.read_archive(spark, path, "1997_01", "199806")), "pushes_per_dev")
 
 
-@query("fits_json_round_trip", "SNK2", "FIT4")
+@query("fits_json_round_trip", "SNK2", "FIT8", sql=f"""WITH {_GIVEN},
+axis AS (SELECT series_id, model, amp, rate, shift, unnest(generate_series(0, last_t + 12)) AS t FROM given WHERE space = 'lin')
+SELECT a.series_id, a.model, {r6('a.amp', 'amp')}, q.n, {r6('q.aic', 'aic')}, CAST(a.t AS INTEGER) AS t,
+       CAST(round_even(CASE a.model WHEN 'exponential' THEN a.amp * exp(a.rate * a.t)
+            WHEN 'logistic' THEN a.amp / (1 + exp(-a.rate * (a.t - a.shift))) ELSE a.amp * exp(-exp(-a.rate * (a.t - a.shift))) END, 0) AS BIGINT) AS fitted
+FROM axis a JOIN quality q ON q.series_id = a.series_id AND q.model = a.model AND q.space = 'lin'""")
 def fits_json_round_trip(spark, d):
     """Fit records as nested JSON: parameters and fitted curve inside one row per series and model."""
     s = cumulative_orders(spark, d)
-    fits = G.fit_growth(s, CONFIGS[:1])
-    curve = G.project(fits, s).groupBy("series_id", "model").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("t", "fitted"))), lambda p: p["fitted"]).alias("fitted"))
-    blob = fits.join(curve, ["series_id", "model"]).select(
-        "series_id", "model", F.struct("amp", "rate", "shift").alias("params"), "aic", "r2", "n", "space",
-        "doubling_months", "ceiling", "inflection_t", "runaway", "fitted")
+    params = given_parameters(s).where("space = 'lin'")
+    fits = G.fit_quality(G.fit_points(s, [("lin", START, None)]), params)
     path = scratch_path(spark, "fits-json")
+    blob = G.fit_records(fits, G.project(params, s))
     sinks.write_json(blob, path)
-    return spark.read.schema(blob.schema).json(path)
+    back = spark.read.schema(blob.schema).json(path)
+    out = back.select("series_id", "model", F.col("params.amp").alias("amp"), "n", "aic", F.posexplode("fitted").alias("t", "fitted"))
+    return rounded(out, "amp", "aic")
 
 
 @query("streamed_month_estimates", "STR1", "SRC5", "SE6", sql=ORACLES["month_estimates"])

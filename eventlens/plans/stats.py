@@ -300,6 +300,16 @@ def kernel_changepoints(spark, d):
     return changepoint.changepoints(monthly_orders(spark, d), ["series_id"], penalty=1.0)
 
 
+@query("kernel_break_labels", "ST8", "ST10", "SC18", sql=f"""{_SEGMENT_SQL},
+a AS (SELECT s.series_id, pos AS break_t, date, month, abs(date_diff('day', DATE '1997-03-01', date)) <= 90 AS near_reference
+      FROM back JOIN series s ON s.series_id = back.series_id AND s.t = pos WHERE pos > 0)
+SELECT *, min(CASE WHEN near_reference THEN month END) OVER (PARTITION BY series_id) AS nearest FROM a""")
+def kernel_break_labels(spark, d):
+    s = materialise(monthly_orders(spark, d))
+    b = changepoint.changepoints(s, ["series_id"], penalty=1.0)
+    return stats.annotate_breaks(b, s, ["series_id"], "1997-03-01")
+
+
 @query("break_report", "ST10", "ST6", "ST7", "ST8")
 def break_report(spark, d):
     """Every detected break of every series with its regression and level test."""
