@@ -29,8 +29,7 @@ def latest_per_key(df: DataFrame, keys: list[str], version: list[str]) -> DataFr
     rest = [c for c in df.columns if c not in keys]
     ordered = version + [c for c in rest if c not in version]
     packed = F.max(F.struct(*ordered)).alias("_row")
-    return df.groupBy(*keys).agg(packed).select(*[F.col(k) if k in keys else F.col(f"_row.{k}").alias(k)
-                                                  for k in df.columns])
+    return df.groupBy(*keys).agg(packed).select(*keys, "_row.*").select(*df.columns)
 
 
 def top1_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

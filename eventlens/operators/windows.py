@@ -66,18 +66,23 @@ def plan_windows(df: DataFrame, probe: str, cap: int = config.WINDOW_CAP, inflat
     return df.withColumn("windows", split_range(F.col("start"), F.col("end"), planned_count(F.col(probe), cap, inflate)))
 
 
-def _halves(w: Column) -> Column:
-    """The two halves of a window; the first takes the odd day."""
-    first_end = F.date_add(w["start"], F.floor(F.datediff(w["end"], w["start"]) / 2).cast("int"))
-    return F.array(_window(w["start"], first_end), _window(F.date_add(first_end, 1), w["end"]))
+def _halves(w: str) -> str:
+    """SQL for the two halves of window ``w``; the first takes the odd day."""
+    mid = f"date_add({w}.start, CAST(floor(datediff({w}.`end`, {w}.start) / 2) AS INT))"
+    return (f"array(named_struct('start', {w}.start, 'end', {mid}), "
+            f"named_struct('start', date_add({mid}, 1), 'end', {w}.`end`))")
 
 
-def bisect(df: DataFrame, windows: str, measure, too_big) -> DataFrame:
-    """Halve every multi-day window of the array for which ``too_big(measure(window))`` holds, until none is left."""
+def bisect(df: DataFrame, windows: str, measure: str, too_big: str) -> DataFrame:
+    """Halve every multi-day window of the array whose measure is too big, until none is left.
+
+    ``measure`` is SQL over a window ``w``; ``too_big`` is SQL over its result ``{m}``.
+    """
+    step = F.expr(
+        f"flatten(transform(transform({windows}, w -> struct(w AS w, {measure} AS m)), x -> "
+        f"CASE WHEN x.w.start < x.w.`end` AND {too_big.format(m='x.m')} THEN {_halves('x.w')} ELSE array(x.w) END))")
     for _ in range(BISECTION_ROUNDS):
-        measured = F.transform(windows, lambda w: F.struct(w.alias("w"), measure(w).alias("m")))
-        df = df.withColumn(windows, F.flatten(F.transform(measured, lambda x: F.when(
-            (x["w"]["start"] < x["w"]["end"]) & too_big(x["m"]), _halves(x["w"])).otherwise(F.array(x["w"])))))
+        df = df.withColumn(windows, step)
     return df
 
 
@@ -85,9 +90,10 @@ def bisection_tree(df: DataFrame, windows: str) -> DataFrame:
     """Extends the array by every window that bisection could ever visit."""
     levels = [windows]
     for k in range(BISECTION_ROUNDS):
-        wide = F.filter(levels[-1], lambda w: w["start"] < w["end"])
+        last = levels[-1]
         levels.append(f"_level{k}")
-        df = df.withColumn(levels[-1], F.flatten(F.transform(wide, _halves)))
+        df = df.withColumn(levels[-1], F.expr(
+            f"flatten(transform(filter({last}, w -> w.start < w.`end`), w -> {_halves('w')}))"))
     return df.withColumn(windows, F.array_distinct(F.concat(*levels))).drop(*levels[1:])
 
 
@@ -98,18 +104,19 @@ def daily_counts(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("_day", "_n"))).alias("day_counts"), F.sum("_n").alias("total"))
 
 
-def window_total(day_counts: Column, w: Column) -> Column:
-    return F.aggregate(F.sequence(w["start"], w["end"]), F.lit(0).cast("bigint"),
-                       lambda acc, day: acc + F.coalesce(day_counts[day], F.lit(0)))
+def window_total(day_counts: str, w: str) -> str:
+    """SQL for the rows of window ``w``, from a map of daily counts."""
+    return (f"aggregate(sequence({w}.start, {w}.`end`), CAST(0 AS BIGINT), "
+            f"(acc, day) -> acc + coalesce({day_counts}[day], 0))")
 
 
 def adaptive_windows(df: DataFrame, keys: list[str], ts: str, cap: int, today="9999-12-31",
                      inflate: float = config.WINDOW_INFLATE) -> DataFrame:
     """Date windows that hold at most ``cap`` rows each (or are a single day), with their counts."""
     m = plan_windows(month_bounds(daily_counts(df, keys, ts), "month", today), "total", cap, inflate)
-    m = bisect(m, "windows", lambda w: window_total(F.col("day_counts"), w), lambda n: n > cap)
-    counted = F.transform("windows", lambda w: F.struct(
-        w["start"].alias("start"), w["end"].alias("end"), window_total(F.col("day_counts"), w).alias("n")))
+    n = window_total("day_counts", "w")
+    m = bisect(m, "windows", n, f"{{m}} > {cap}")
+    counted = F.expr(f"transform(windows, w -> named_struct('start', w.start, 'end', w.`end`, 'n', {n}))")
     return m.select(*keys, "month", F.explode(counted).alias("w")).select(*keys, "month", "w.start", "w.end", "w.n")
 
 
@@ -162,9 +169,9 @@ def estimate_months(obs: DataFrame, keys: list[str], today, cap: int = config.WI
     seen = F.col("seen")
     m = m.withColumn("probe_whole_month", seen[_window(F.col("start"), F.col("end"))]["first"])
     m = plan_windows(m, "probe_whole_month", cap, inflate)
-    big = lambda v: F.coalesce((v["first"] > cap) | (v["complete"] & (v["median"] > cap)), F.lit(False))
-    m = bisect(m, "windows", lambda w: seen[w], big)
-    leaves = F.transform("windows", lambda w: seen[w])
+    m = bisect(m, "windows", "seen[w]",
+               f"coalesce({{m}}.first > {cap} OR ({{m}}.complete AND {{m}}.median > {cap}), false)")
+    leaves = F.expr("transform(windows, w -> seen[w])")
     known = ["probe_whole_month", "partial", F.col("days").alias("days_covered")]
     # still partitioned by (keys, month): this aggregation needs no further shuffle
     rows = m.select(*keys, "month", *known, F.explode_outer(leaves).alias("s"))

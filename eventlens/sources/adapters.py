@@ -171,7 +171,7 @@ def observation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = W.bisection_tree(m, "windows").withColumn("windows", F.array_union(whole, "windows"))
     w = m.select("tool", "day_counts", F.explode("windows").alias("w"))
     exact = F.col("tool") == LOG_EXACT_TOOL
-    w = w.select("tool", "w.start", "w.end", _reported(W.window_total(F.col("day_counts"), F.col("w"))).alias("base"),
+    w = w.select("tool", "w.start", "w.end", _reported(F.expr(W.window_total("day_counts", "w"))).alias("base"),
                  F.explode(F.when(exact, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(2)))).alias("draw"))
     stale = F.when(F.dayofmonth("start") % 5 == 0, F.sequence(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
     return w.select("*", F.explode(stale).alias("take")).select(
