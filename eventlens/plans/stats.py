@@ -10,7 +10,7 @@ from eventlens.operators import changepoint, stats
 from eventlens.plans.distribution import r6, rounded
 from eventlens.plans.registry import query
 from eventlens.plans.text import DOC_FEATURES
-from eventlens.session import materialise
+from eventlens.session import materialise, spread
 from eventlens.sources.adapters import table
 
 # ---- shared inputs ---------------------------------------------------------
@@ -65,7 +65,7 @@ def student_p_sql(t: str, nu: str) -> str:
 
 def labelled_features(spark, d):
     """Features of labelled documents; joining first leaves the rest of the texts unparsed."""
-    docs = table(spark, d, "documents").select("doc_id", "text").join(
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).join(
         table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
     return X.text_features(docs, "text").drop("text")
 

@@ -72,7 +72,11 @@ def document_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_pushes(d: DataFrame) -> DataFrame:
-    """created_at, type, login, repo_name, payload; one push per document, one commit per line."""
+    """created_at, type, login, repo_name, payload; one push per document, one commit per line.
+
+    The payload comes out of a generator, so that it is a stored value to later
+    filters, as in a real archive, and not an expression they would each repeat.
+    """
     doc = F.col("doc_id")
     commits = F.transform(F.split("text", "\n"), lambda line, i: _commit(doc, line, i.cast("bigint")))
     present = doc % 47 != 0
@@ -87,7 +91,7 @@ def document_pushes(d: DataFrame) -> DataFrame:
             F.when(doc % 37 == 0, "devin-ai-integration").when(doc % 37 == 1, "google-labs-jules[bot]")
             .otherwise(F.concat(F.lit("dev-"), (doc * 7) % 211)).alias("login"),
             F.concat("lang", F.lit("/"), "source", F.lit("-"), doc % 13).alias("repo_name"),
-            payload.alias("payload"),
+            F.explode(F.array(payload)).alias("payload"),
         )
     )
 
