@@ -110,9 +110,11 @@ def _fit_group(pdf: pd.DataFrame) -> list[tuple]:
         if len(t) < (2 if model == "exponential" else 3) or not (y > 0).all():
             out.append((model, np.nan, np.nan, np.nan, "too few points or values that are not positive"))
         elif model == "exponential":
-            out.append((model, *_fit_exponential(t, y, weight, space), None))
+            with np.errstate(over="ignore"):  # curves far from the data may overflow and lose
+                out.append((model, *_fit_exponential(t, y, weight, space), None))
         else:
-            out.append((model, *_fit_sigmoid(model, t, y, weight, space), None))
+            with np.errstate(over="ignore"):
+                out.append((model, *_fit_sigmoid(model, t, y, weight, space), None))
     return out
 
 

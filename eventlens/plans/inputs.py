@@ -17,7 +17,7 @@ from eventlens.sources import archive, sinks, tables
 from eventlens.sources.adapters import document_archive, document_pushes, observation_log, order_archive
 from eventlens.streaming import incremental as I
 
-_DOC_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
+_DOC_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING"
 
 
 @query("monthly_csv_round_trip", "SRC3", "SRC6", sql=f"""WITH {ORDER_PUSHES}

@@ -53,8 +53,8 @@ _TRAILERS = "[" + ", ".join(_esc(t) for t in adapters.TRAILERS) + "]"
 # one row per document line, before any filter
 DOC_LINES = f"""
 doc_lines AS (
-  SELECT doc_id, n_chars, lang, source, pos, line, doc_id * 31 + pos * 7 AS k
-  FROM (SELECT doc_id, n_chars, lang, source,
+  SELECT doc_id, lang, source, pos, line, doc_id * 31 + pos * 7 AS k
+  FROM (SELECT doc_id, lang, source,
                unnest(string_split(text, chr(10))) AS line,
                generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
         FROM documents)
@@ -62,13 +62,13 @@ doc_lines AS (
 doc_commits AS (
   SELECT doc_id,
          TIMESTAMP '2025-01-01' + to_hours(CAST((doc_id * 37) % 12000 AS INTEGER)) AS created_at,
-         CASE WHEN n_chars % 11 = 0 THEN 'WatchEvent' ELSE 'PushEvent' END AS type,
+         'PushEvent' AS type,
          CASE WHEN doc_id % 37 = 0 THEN 'devin-ai-integration'
               WHEN doc_id % 37 = 1 THEN 'google-labs-jules[bot]'
               ELSE 'dev-' || ((doc_id * 7) % 211) END AS login,
          lang || '/' || source || '-' || (doc_id % 13) AS repo_name,
          doc_id || ':' || pos AS sha,
-         CASE WHEN k % 43 <> 0 THEN
+         CASE WHEN line <> '' THEN
            (CASE WHEN k % 7 = 1 THEN {sql_list(adapters.PREFIXES)}[((k // 7) % {len(adapters.PREFIXES)}) + 1] ELSE '' END)
            || line ||
            (CASE WHEN k % 5 = 0 THEN {_TRAILERS}[((k // 5) % {len(adapters.TRAILERS)}) + 1] ELSE '' END)
@@ -77,7 +77,6 @@ doc_commits AS (
          CASE WHEN k % 41 = 0 THEN {sql_list(adapters.EMAILS)}[((k // 41) % {len(adapters.EMAILS)}) + 1]
               WHEN k % 41 <> 1 THEN 'dev' || (k % 97) || '@example.org' END AS author_email
   FROM doc_lines
-  WHERE doc_id % 47 <> 0
 )"""
 
 

@@ -54,7 +54,7 @@ def _commit(doc: Column, line: Column, pos: Column) -> Column:
     k = doc * 31 + pos * 7
     trailer = F.when(k % 5 == 0, _pick(TRAILERS, (k / 5).cast("bigint") % len(TRAILERS))).otherwise("")
     lead = F.when(k % 7 == 1, _pick(PREFIXES, (k / 7).cast("bigint") % len(PREFIXES))).otherwise("")
-    message = F.when(k % 43 != 0, F.concat(lead, line, trailer))
+    message = F.when(line != "", F.concat(lead, line, trailer))  # an empty line has no message
     email = (
         F.when(k % 41 == 0, _pick(EMAILS, (k / 41).cast("bigint") % len(EMAILS)))
         .when(k % 41 != 1, F.concat(F.lit("dev"), k % 97, F.lit("@example.org")))
@@ -68,7 +68,7 @@ def _commit(doc: Column, line: Column, pos: Column) -> Column:
 
 
 def document_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_pushes(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")))
+    return document_pushes(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")))
 
 
 def document_pushes(d: DataFrame) -> DataFrame:
@@ -79,15 +79,13 @@ def document_pushes(d: DataFrame) -> DataFrame:
     """
     doc = F.col("doc_id")
     commits = F.transform(F.split("text", "\n"), lambda line, i: _commit(doc, line, i.cast("bigint")))
-    present = doc % 47 != 0
-    payload = F.to_json(F.struct(F.size("commits").cast("bigint").alias("size"),
-                                 F.when(present, F.col("commits")).alias("commits")))
+    payload = F.to_json(F.struct(F.size("commits").cast("bigint").alias("size"), "commits"))
     return (
-        d.select("doc_id", "lang", "source", "n_chars", commits.alias("commits"))
+        d.select("doc_id", "lang", "source", commits.alias("commits"))
         .select(
             (F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")
              + F.make_dt_interval(F.lit(0), ((doc * 37) % 12000).cast("int"))).alias("created_at"),
-            F.when(F.col("n_chars") % 11 == 0, "WatchEvent").otherwise("PushEvent").alias("type"),
+            F.lit("PushEvent").alias("type"),
             F.when(doc % 37 == 0, "devin-ai-integration").when(doc % 37 == 1, "google-labs-jules[bot]")
             .otherwise(F.concat(F.lit("dev-"), (doc * 7) % 211)).alias("login"),
             F.concat("lang", F.lit("/"), "source", F.lit("-"), doc % 13).alias("repo_name"),
