@@ -9,7 +9,6 @@ what it means in its home dialect.
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 _WORD = "[0-9A-Za-z_]"
 _ASCII_EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"

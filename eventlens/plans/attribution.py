@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventlens import config
-from eventlens.functions.rules import arm, first_match
+from eventlens.functions.rules import arm, contains_any, first_match
 from eventlens.operators import attribution as A
 from eventlens.plans.registry import query
 from eventlens.plans.sqlbase import ORDER_PUSHES, YM, case_sql, commits_cte, needle_sql, tool_sql, DOC_LINES
@@ -123,8 +123,6 @@ FROM (SELECT DISTINCT doc_id, repo_name, type FROM doc_commits) JOIN hit USING (
 WHERE h_all AND type = 'PushEvent' GROUP BY 1""")
 def payload_prefilter(spark, d):
     rows = prefilter(pushes(document_archive(spark, d)), config.NEEDLES_ALL)
-    from eventlens.functions.rules import contains_any
-
     return rows.groupBy("repo_name").agg(
         F.count("*").alias("pushes_all"),
         F.count_if(contains_any(F.col("payload"), config.NEEDLES_SINGLE)).alias("pushes_single"))

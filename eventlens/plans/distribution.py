@@ -10,7 +10,7 @@ from eventlens.operators.ranking import sample_rows, top_k
 from eventlens.operators.ranks import exact_quantiles
 from eventlens.plans.registry import query
 from eventlens.plans.sqlbase import (
-    ORDER_PUSHES, REPO_LANGUAGES, SIZED_PUSHES, YM, YQ, commits_cte, lit, signal_sql, sql_list,
+    ORDER_PUSHES, REPO_LANGUAGES, SIZED_PUSHES, YM, YQ, commits_cte, lit,
 )
 from eventlens.sources.adapters import document_archive, order_archive, repo_languages, table
 from eventlens.sources.archive import explode_commits, pushes
