@@ -61,12 +61,12 @@ def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         yield begin, len(texts)
 
 
-def packed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """One lower-cased buffer with a space after each document, and the offset of each (one more at the end)."""
+def packed(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """One buffer with a space after each document, A-Z in lower case, and the offset of each (one more at the end)."""
     buf = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     offsets = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=offsets[1:])
-    return _LOWER[buf], offsets
+    return (_LOWER[buf] if lower else buf), offsets
 
 
 def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
