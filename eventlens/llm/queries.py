@@ -1,6 +1,6 @@
 """All queries of the subpackage, by importing the modules that register them."""
 
-from eventlens.llm import decontaminate, mixing, pii, quality, sharding, simhash, toxicity  # noqa: F401
+from eventlens.llm import decontaminate, licenses, mixing, pii, quality, sharding, simhash, toxicity  # noqa: F401
 from eventlens.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
