@@ -133,8 +133,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     of ``docs`` named size, shard or slot are replaced.
     """
     kept = [c for c in docs.columns if c not in ("size", "shard", "slot")]
-    rows = docs.select(F.struct(*kept).alias("row"), *_keyed(docs, id_col, text_col))
-    keys = materialise(rows.drop("row"))
+    # columns of docs travel under names of their own, so that they neither clash nor, if unused, are exchanged
+    own = {c: f"_column_{i}" for i, c in enumerate(kept)}
+    keyed = _keyed(docs, id_col, text_col)
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], *keyed)
+    keys = materialise(docs.select(*keyed))
     boundaries = find_boundaries(keys, shards, tolerance, group_slack)
     # slots follow the id key; ranges of it keep each task's part of a shard small
     total = keys.agg(F.sum("size")).first()[0] or 0
@@ -147,13 +150,14 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     )
     inside = Window.partitionBy("shard", "range").orderBy("id_key", "text_key", "size")
     numbered = rows.select("*", *placed).withColumn("number", F.row_number().over(inside) - 1)
-    return numbered.join(before, ["shard", "range"]).select("row.*", "size", "shard", (F.col("before") + F.col("number")).alias("slot"))
+    return numbered.join(before, ["shard", "range"]).select(
+        *[F.col(n).alias(c) for c, n in own.items()], "size", "shard", (F.col("before") + F.col("number")).alias("slot"))
 
 
 @query("op7_shard")
 def op7(spark, d):
     """Shard and slot of every document, by equal bytes."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = table(spark, d, "documents").select("doc_id", "text", F.crc32(text_or_empty()).alias("text_crc32"))
     return shard_documents(docs).select(
-        "doc_id", "size", F.crc32(text_or_empty()).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
