@@ -24,16 +24,15 @@ compared by an aggregation over all parts.
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections import defaultdict
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventlens.llm.arrays import ROW, by_target, dump, frame, from_sorted_planes, heads, load, part_of, part_of_ids, record_batch, sorted_planes
 from eventlens.llm.common import MULTIPLIER, mix64, query, table
 from eventlens.llm.runindex import RunLengthIndex
 from eventlens.session import materialise
@@ -49,25 +48,6 @@ _LAST = np.iinfo(np.int64).max
 _INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 
 
-def _dump(*arrays) -> bytes:
-    return zstandard.compress(pickle.dumps(arrays, 5), 1)
-
-
-def _load(blob: bytes) -> tuple:
-    return pickle.loads(zstandard.decompress(blob))
-
-
-def _planes(values: np.ndarray) -> bytes:
-    """Sorted 64-bit values as differences, byte planes apart, so that the high zeros compress."""
-    steps = np.diff(values, prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _from_planes(data: bytes) -> np.ndarray:
-    steps = np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-    return np.cumsum(steps)
-
-
 class _Hasher:
     """Hashes of any span of a buffer from prefix sums; spans of equal bytes have equal hashes."""
 
@@ -106,7 +86,7 @@ def find_anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
     ahead = np.minimum.accumulate(rows, axis=1).ravel()
     behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
     anchor = (np.minimum(behind[starts], ahead[starts + width - 1]) & mask).astype(np.int64)
-    cut = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)]))
+    cut = np.flatnonzero(heads(anchor, starts - np.arange(len(starts))))
     first, last, anchor = starts[cut], starts[np.append(cut[1:], len(starts)) - 1], anchor[cut]
     shape = mix64(((anchor - first) * 4096 + (last - first)).astype(np.uint64))
     context = mix64(hasher.spans(first, last + length) + shape)
@@ -138,55 +118,31 @@ def _segments(texts: list[bytes], length: int):
         yield flush()
 
 
-def _by_target(target: np.ndarray, *arrays):
-    order = np.argsort(target, kind="stable")
-    target = target[order]
-    cut = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]])) if len(target) else []
-    for a, b in zip(cut, np.append(cut[1:], len(target))):
-        yield int(target[a]), [x[order[a:b]] for x in arrays]
-
-
-def _part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return (((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-
-
-def _doc_part(ids: np.ndarray, parts: int) -> np.ndarray:
-    return _part_of(mix64(ids.view(np.uint64) + np.uint64(1)), parts)
-
-
-_ROW = "part int, kind string, blob binary"
-_ARROW_ROW = pa.schema([("part", pa.int32()), ("kind", pa.string()), ("blob", pa.binary())])
-
-
-def _rows(rows: list[tuple[int, str, bytes]]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["part", "kind", "blob"])
-
-
 def _ranges(rows: list, ids, ordinals, starts, ends, parts: int) -> None:
-    for part, arrays in _by_target(_doc_part(ids, parts), ids, ordinals, starts, ends):
-        rows.append((part, "range", _dump(*arrays)))
+    for part, arrays in by_target(part_of_ids(ids, parts), ids, ordinals, starts, ends):
+        rows.append((part, "range", dump(*arrays)))
 
 
 def _requests(rows: list, parts: int, **columns) -> None:
     """Contexts to cut out, by the part of their document."""
     names = ["id", "ordinal", "gram", "reference", "hot", "first", "anchor", "last"]
-    for part, arrays in _by_target(_doc_part(columns["id"], parts), *[columns[n] for n in names]):
-        rows.append((part, "cut", _dump(*arrays)))
+    for part, arrays in by_target(part_of_ids(columns["id"], parts), *[columns[n] for n in names]):
+        rows.append((part, "cut", dump(*arrays)))
 
 
 def _distinct_contexts(ids, ordinals, grams, contexts, first, anchor, last, length, parts, rows):
     """Sends the contexts of one flush: equal ones once, those of hot anchors straight on."""
     order = np.lexsort((anchor, ordinals, ids, contexts, grams))
     ids, ordinals, grams, contexts, first, anchor, last = (x[order] for x in (ids, ordinals, grams, contexts, first, anchor, last))
-    new_gram = np.concatenate([[True], grams[1:] != grams[:-1]])
-    leads = new_gram | np.concatenate([[True], contexts[1:] != contexts[:-1]])
+    new_gram = heads(grams)
+    leads = heads(grams, contexts)
     _ranges(rows, ids[~leads], ordinals[~leads], first[~leads], last[~leads] + length, parts)
     ids, ordinals, grams, contexts, first, anchor, last = (x[leads] for x in (ids, ordinals, grams, contexts, first, anchor, last))
     group = np.cumsum(new_gram[leads]) - 1
     hot = np.bincount(group)[group] > HOT
     earliest = np.zeros(len(ids), dtype=bool)
     order = np.lexsort((anchor, ordinals, ids, group))
-    earliest[order[np.concatenate([[True], np.diff(group[order]) > 0])]] = True
+    earliest[order[heads(group[order])]] = True
     straight = hot & ~earliest
     n = int(straight.sum())
     if n:
@@ -195,13 +151,13 @@ def _distinct_contexts(ids, ordinals, grams, contexts, first, anchor, last, leng
     keep = np.flatnonzero(~straight)
     keep = keep[np.argsort(grams[keep], kind="stable")]
     ids, ordinals, grams, contexts, first, anchor, last, hot = (x[keep] for x in (ids, ordinals, grams, contexts, first, anchor, last, hot))
-    part = _part_of(grams, parts)
+    part = part_of(grams, parts)
     cut = np.searchsorted(part, np.arange(parts + 1))
     for p in np.unique(part):
         s = slice(cut[p], cut[p + 1])
         docs, index = np.unique(np.stack([ids[s], ordinals[s]], axis=1), axis=0, return_inverse=True)
-        rows.append((int(p), "anchor", _dump(
-            docs, index.ravel().astype(np.uint32), _planes(grams[s]), contexts[s], anchor[s].astype(np.uint32 if anchor[s].max() < 1 << 32 else np.int64),
+        rows.append((int(p), "anchor", dump(
+            docs, index.ravel().astype(np.uint32), sorted_planes(grams[s]), contexts[s], anchor[s].astype(np.uint32 if anchor[s].max() < 1 << 32 else np.int64),
             (anchor[s] - first[s]).astype(np.uint16), (anchor[s] - last[s]).astype(np.uint16), hot[s])))
 
 
@@ -218,7 +174,7 @@ def _anchor_rows(length: int, parts: int):
         def flush():
             rows: list = []
             _distinct_contexts(*[np.concatenate(x) for x in zip(*held)], length, parts, rows)
-            return pa.RecordBatch.from_pandas(_rows(rows), schema=_ARROW_ROW, preserve_index=False)
+            return record_batch(rows)
 
         for batch in batches:
             ids, ordinals, texts = _texts(batch)
@@ -242,12 +198,12 @@ def _anchor_rows(length: int, parts: int):
 def _compare_contexts(length: int, parts: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [(p, k, b) for p, k, b in zip(pdf["part"], pdf["kind"], pdf["blob"]) if k != "anchor"]
-        blobs = [_load(b) for k, b in zip(pdf["kind"], pdf["blob"]) if k == "anchor"]
+        blobs = [load(b) for k, b in zip(pdf["kind"], pdf["blob"]) if k == "anchor"]
         if not blobs:
-            return _rows(rows)
+            return frame(rows)
         docs = np.concatenate([b[0][b[1]] for b in blobs])
         ids, ordinals = docs[:, 0], docs[:, 1]
-        grams = np.concatenate([_from_planes(b[2]) for b in blobs])
+        grams = np.concatenate([from_sorted_planes(b[2]) for b in blobs])
         contexts = np.concatenate([b[3] for b in blobs])
         anchor = np.concatenate([b[4].astype(np.int64) for b in blobs])
         first = anchor - np.concatenate([b[5] for b in blobs])
@@ -255,8 +211,8 @@ def _compare_contexts(length: int, parts: int):
         hot = np.concatenate([b[7] for b in blobs])
         order = np.lexsort((anchor, ordinals, ids, contexts, grams))
         ids, ordinals, grams, contexts, anchor, first, last, hot = (x[order] for x in (ids, ordinals, grams, contexts, anchor, first, last, hot))
-        new_gram = np.concatenate([[True], grams[1:] != grams[:-1]])
-        leads = new_gram | np.concatenate([[True], contexts[1:] != contexts[:-1]])
+        new_gram = heads(grams)
+        leads = heads(grams, contexts)
         _ranges(rows, ids[~leads], ordinals[~leads], first[~leads], last[~leads] + length, parts)
         group = np.cumsum(new_gram) - 1
         hot_group = np.bincount(group, weights=hot) > 0
@@ -264,10 +220,10 @@ def _compare_contexts(length: int, parts: int):
         s = np.flatnonzero(leads & several[group])
         if len(s):
             by_order = s[np.lexsort((anchor[s], ordinals[s], ids[s], group[s]))]
-            reference = np.concatenate([[True], np.diff(group[by_order]) > 0])
+            reference = heads(group[by_order])
             _requests(rows, parts, id=ids[by_order], ordinal=ordinals[by_order], gram=grams[by_order], reference=reference,
                       hot=hot_group[group[by_order]], first=first[by_order], anchor=anchor[by_order], last=last[by_order])
-        return _rows(rows)
+        return frame(rows)
 
     return run
 
@@ -279,12 +235,12 @@ def _pack_texts(parts: int):
         held, size = defaultdict(list), 0
 
         def flush():
-            rows = [(p, "text", _dump(x)) for p, x in held.items()]
-            return pa.RecordBatch.from_pandas(_rows(rows), schema=_ARROW_ROW, preserve_index=False)
+            rows = [(p, "text", dump(x)) for p, x in held.items()]
+            return record_batch(rows)
 
         for batch in batches:
             ids, ordinals, texts = _texts(batch)
-            for p, i, o, t in zip(_doc_part(ids, parts).tolist(), ids.tolist(), ordinals.tolist(), texts):
+            for p, i, o, t in zip(part_of_ids(ids, parts).tolist(), ids.tolist(), ordinals.tolist(), texts):
                 held[p].append((i, o, t))
                 size += len(t)
                 if size >= _FLUSH_BYTES:
@@ -301,18 +257,18 @@ def _cut_contexts(length: int, shards: int):
 
     def run(key: tuple, texts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(asked):
-            return _rows([])
-        blobs = [_load(b) for b in asked["blob"]]
+            return frame([])
+        blobs = [load(b) for b in asked["blob"]]
         ids, ordinals, grams, reference, hot, first, anchor, last = (np.concatenate(x) for x in zip(*blobs))
         of: dict[tuple[int, int], list[int]] = defaultdict(list)
         for row, k in enumerate(zip(ids.tolist(), ordinals.tolist())):
             of[k].append(row)
         held = defaultdict(list)
         spread = (mix64(ids.view(np.uint64)) % np.uint64(SPREAD))
-        shard = _part_of(mix64(grams), shards)
-        shard_of_part = lambda gram, part: int(_part_of(mix64(np.array([gram], dtype=np.uint64) + np.uint64(part + 1)), shards)[0])
+        shard = part_of(mix64(grams), shards)
+        shard_of_part = lambda gram, part: int(part_of(mix64(np.array([gram], dtype=np.uint64) + np.uint64(part + 1)), shards)[0])
         for blob in texts["blob"]:
-            for i, o, t in _load(blob)[0]:
+            for i, o, t in load(blob)[0]:
                 for r in of.get((i, o), ()):
                     content = t[first[r] : last[r] + length]
                     row = (int(grams[r]), i, o, int(first[r]), int(anchor[r]), bool(reference[r]), bool(hot[r]), content)
@@ -323,7 +279,7 @@ def _cut_contexts(length: int, shards: int):
                             held[target].append(row)
                     else:
                         held[shard_of_part(grams[r], int(spread[r]))].append(row)
-        return _rows([(p, "context", _dump(x)) for p, x in held.items()])
+        return frame([(p, "context", dump(x)) for p, x in held.items()])
 
     return run
 
@@ -332,11 +288,11 @@ def _search_shard(length: int, parts: int):
     """Ranges of strings that references hold, or, among the rest, earlier contexts; digests of hot ones left over."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        contexts = sorted({row for b in pdf["blob"] for row in _load(b)[0]})
+        contexts = sorted({row for b in pdf["blob"] for row in load(b)[0]})
         references = [c for c in contexts if c[5]]
         others = [c for c in contexts if not c[5]]
         if not others:
-            return _rows([])
+            return frame([])
         found = []
         step = max(1, (1 << 20) // 160)
         index = RunLengthIndex([c[7] for c in references]) if references else None
@@ -368,7 +324,7 @@ def _search_shard(length: int, parts: int):
         if left_at:
             digest, i, o, a, hot = (np.concatenate(x) for x in zip(*left_at))
             if hot.any():
-                rows.append((0, "digest", _dump(digest[hot], i[hot], o[hot], a[hot])))
+                rows.append((0, "digest", dump(digest[hot], i[hot], o[hot], a[hot])))
                 digest, i, o, a = digest[~hot], i[~hot], o[~hot], a[~hot]
             order = np.lexsort((a, o, i, digest))
             again = order[1:][digest[order][1:] == digest[order][:-1]]
@@ -376,10 +332,10 @@ def _search_shard(length: int, parts: int):
         order = np.lexsort((at, ordinals, ids))
         ids, ordinals, at = ids[order], ordinals[order], at[order]
         if len(ids):
-            cut = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (ordinals[1:] != ordinals[:-1]) | (at[1:] > at[:-1] + 1)]))
+            cut = np.flatnonzero(heads(ids, ordinals, np.cumsum(np.diff(at, prepend=at[0]) > 1)))
             end = at[np.append(cut[1:], len(ids)) - 1] + length
             _ranges(rows, ids[cut], ordinals[cut], at[cut], end, parts)
-        return _rows(rows)
+        return frame(rows)
 
     return run
 
@@ -387,7 +343,7 @@ def _search_shard(length: int, parts: int):
 def _explode_digests(batches):
     for pdf in batches:
         for blob in pdf["blob"]:
-            digest, i, o, a = _load(blob)
+            digest, i, o, a = load(blob)
             yield pd.DataFrame({"digest": digest.view(np.int64), "id": i, "ordinal": o, "at": a})
 
 
@@ -397,7 +353,7 @@ def _pack_ranges(length: int, parts: int):
             rows: list = []
             at = pdf["at"].to_numpy()
             _ranges(rows, pdf["id"].to_numpy(), pdf["ordinal"].to_numpy(), at, at + length, parts)
-            yield _rows(rows)
+            yield frame(rows)
 
     return run
 
@@ -415,18 +371,18 @@ _RESULT = "id long, ordinal int, n_bytes long, n_removed long, n_spans long, kep
 
 def _apply_ranges(with_kept: bool):
     def run(key: tuple, texts: pd.DataFrame, ranges: pd.DataFrame) -> pd.DataFrame:
-        blobs = [_load(b) for b in ranges["blob"]]
+        blobs = [load(b) for b in ranges["blob"]]
         of = {}
         if blobs:
             ids, ordinals, starts, ends = (np.concatenate(x) for x in zip(*blobs))
             order = np.lexsort((ordinals, ids))
             ids, ordinals, starts, ends = ids[order], ordinals[order], starts[order], ends[order]
-            cut = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (ordinals[1:] != ordinals[:-1])]))
+            cut = np.flatnonzero(heads(ids, ordinals))
             for a, b in zip(cut, np.append(cut[1:], len(ids))):
                 of[int(ids[a]), int(ordinals[a])] = union_of(starts[a:b], ends[a:b])
         rows = []
         for blob in texts["blob"]:
-            for i, o, t in _load(blob)[0]:
+            for i, o, t in load(blob)[0]:
                 starts, ends = (x.tolist() for x in of.get((i, o), (np.zeros(0, int), np.zeros(0, int))))
                 kept = b"".join(t[a:b] for a, b in zip([0, *ends], [*starts, len(t)]))
                 rows.append((i, o, len(t), len(t) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(),
@@ -463,18 +419,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _numbered(docs, id_col, text_col)
-    found = materialise(rows.mapInArrow(_anchor_rows(length, parts), _ROW).groupBy("part").applyInPandas(_compare_contexts(length, parts), _ROW))
-    texts = rows.mapInArrow(_pack_texts(parts), _ROW)
+    found = materialise(rows.mapInArrow(_anchor_rows(length, parts), ROW).groupBy("part").applyInPandas(_compare_contexts(length, parts), ROW))
+    texts = rows.mapInArrow(_pack_texts(parts), ROW)
     cut = (
         texts.groupBy("part").cogroup(found.where("kind = 'cut'").groupBy("part"))
-        .applyInPandas(_cut_contexts(length, parts), _ROW).groupBy("part").applyInPandas(_search_shard(length, parts), _ROW)
+        .applyInPandas(_cut_contexts(length, parts), ROW).groupBy("part").applyInPandas(_search_shard(length, parts), ROW)
     )
     searched = materialise(cut)
     left = searched.where("kind = 'digest'").mapInPandas(_explode_digests, "digest long, id long, ordinal long, at long")
     left = left.distinct()
     order = F.struct("id", "ordinal", "at")
     first = left.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    later = left.join(first, "digest").where(order != F.col("first")).select("id", "ordinal", "at").mapInPandas(_pack_ranges(length, parts), _ROW)
+    later = left.join(first, "digest").where(order != F.col("first")).select("id", "ordinal", "at").mapInPandas(_pack_ranges(length, parts), ROW)
     ranges = found.where("kind = 'range'").unionByName(searched.where("kind = 'range'")).unionByName(later)
     out = texts.groupBy("part").cogroup(ranges.groupBy("part")).applyInPandas(_apply_ranges(with_kept), _RESULT)
     own = F.when(F.col("id") < _LAST, F.col("id")).alias(id_col)
