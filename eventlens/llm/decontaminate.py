@@ -135,7 +135,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
     """``docs`` with a column ``found``: number of words, merged word spans in which windows occur, and item ids.
 
     Words are counted from 0 and ends are exclusive.  A null or empty text has no words; items without words match
-    nothing; equal items are all reported.  A column of ``docs`` named like ``found`` is replaced.
+    nothing; equal items are all reported; an item without an id is searched but not named.  A column of ``docs`` named like ``found`` is replaced.
     """
     spark = docs.sparkSession
     windows = materialise(item_windows(items, item_id, item_text, window))

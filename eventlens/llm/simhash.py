@@ -199,7 +199,8 @@ def near_links(fps: DataFrame, bits: int = MAX_BITS, dense: int = DENSE) -> Data
     crowded = lists.where(F.col("size") > dense).select("fp").distinct()
     if matches >= 4:
         # a pair of a long list meets again under one of the longer sets, or has been found in a short list
-        again = _lists(crowded, list(combinations(everything, matches)))
+        # (of at most six bytes, which with their number fit a key)
+        again = _lists(crowded, list(combinations(everything, min(matches, 6))))
         links = links.unionByName(_links_of_lists(again, bits))
     else:
         links = links.unionByName(_links_of_lists(lists.where(F.col("size") > dense), bits))
