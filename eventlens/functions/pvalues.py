@@ -7,6 +7,8 @@ pandas functions.  They run on one row per test, never on raw data.
 from __future__ import annotations
 
 import math
+from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,11 +18,6 @@ from pyspark.sql.types import DoubleType
 _erfc = np.vectorize(math.erfc, otypes=[float])
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
-# Exact distributions are tabulated up to this many pairs; beyond it the normal
-# approximation is used.
-EXACT_PAIRS = 200_000  # inversions of a tie-free series
-EXACT_RANK_PAIRS = 4_000  # rank sums with a sample of at most eight values
-
 
 @pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
@@ -73,40 +70,80 @@ def student_two_sided(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(np.where(ok, incomplete_beta(safe_nu / 2.0, 0.5, x), np.nan))
 
 
-def _convolve_runs(counts: np.ndarray, width: int) -> np.ndarray:
-    """Product of a polynomial with 1 + q + ... + q^(width-1)."""
-    total = np.concatenate([np.cumsum(counts), np.full(width - 1, counts.sum())])
-    total[width:] -= np.cumsum(counts)[: len(total) - width]
-    return total
-
-
 def kendall_exact_p(n: int, discordant: int) -> float:
-    """Two-sided p of a tie-free Kendall test from the distribution of inversions."""
-    probs = np.ones(1)
-    for width in range(2, n + 1):
-        probs = _convolve_runs(probs, width) / width
+    """Two-sided p of a tie-free Kendall test from the distribution of inversions.
+
+    Up to one inversion (either way) there are n permutations or one, at any
+    length; otherwise the counts of inversions are built up, 33 values at most.
+    """
     c = min(discordant, n * (n - 1) // 2 - discordant)
-    return float(min(1.0, 2.0 * probs[: c + 1].sum()))
+    if c <= 1:
+        ways = 1 if c == 0 else n
+        return float(min(1.0, 2 * ways * math.exp(-math.lgamma(n + 1)))) if n > 1 else 1.0
+    if n > 33:
+        raise ValueError("the exact test is for 33 values at most, or up to one discordant or concordant pair")
+    counts = [1]
+    for width in range(2, n + 1):
+        longer = [0] * (len(counts) + width - 1)
+        for shift in range(width):
+            for i, v in enumerate(counts):
+                longer[i + shift] += v
+        counts = longer
+    return min(1.0, 2 * sum(counts[: c + 1]) / math.factorial(n))
+
+
+@lru_cache(maxsize=None)
+def _bounded_sums(parts: int) -> tuple[int, list[int]]:
+    """Numbers of multisets of 1 .. parts with a sum of at most x, for the first x = 0, 1, ...
+
+    Along any residue of the period the number is a polynomial of degree
+    ``parts`` in x, so parts + 1 periods determine all of them.
+    """
+    period = math.lcm(*range(1, parts + 1))
+    ways = [1] * (period * (parts + 1))
+    for size in range(1, parts + 1):
+        for x in range(size, len(ways)):
+            ways[x] += ways[x - size]
+    return period, ways
+
+
+def _multisets_up_to(parts: int, x: int) -> int:
+    """Value at any x, by interpolation along its residue; exact in whole numbers."""
+    if x < 0:
+        return 0
+    period, ways = _bounded_sums(parts)
+    if x < len(ways):
+        return ways[x]
+    at, residue = divmod(x, period)
+    total = Fraction(0)
+    for j in range(parts + 1):
+        weight = Fraction(1)
+        for k in range(parts + 1):
+            if k != j:
+                weight *= Fraction(at - k, j - k)
+        total += weight * ways[residue + j * period]
+    return int(total)
 
 
 def rank_sum_exact_p(n1: int, n2: int, u: float) -> float:
-    """Two-sided p of a tie-free rank-sum test.
+    """Two-sided p of a tie-free rank-sum test whose smaller sample has at most eight values.
 
-    P(U = k) satisfies f(m, n) = m/(m+n) f(m-1, n) shifted by n + n/(m+n) f(m, n-1);
-    the smaller sample is the outer index, so the table stays small.
+    The ways to reach a rank sum are the coefficients of a product of quotients
+    (1 - q^(n+i)) / (1 - q^i), i = 1 .. m: the sums of multisets of 1 .. m, less
+    those with too many parts, over the subsets of the numerator.  The work
+    depends on m alone, and the count is a whole number for samples of any size.
     """
     m, n = min(n1, n2), max(n1, n2)
-    rows = [np.ones(1)] * (n + 1)
-    for i in range(1, m + 1):
-        nxt = [np.ones(1)]
-        for j in range(1, n + 1):
-            out = np.zeros(i * j + 1)
-            out[j: j + len(rows[j])] += i / (i + j) * rows[j]
-            out[: len(nxt[j - 1])] += j / (i + j) * nxt[j - 1]
-            nxt.append(out)
-        rows = nxt
-    k = int(math.ceil(max(u, n1 * n2 - u) - 1e-9))
-    return float(min(1.0, 2.0 * rows[n][k:].sum()))
+    if m > 8:
+        raise ValueError("the exact test is for a sample of eight values at most")
+    k = int(math.floor(min(u, n1 * n2 - u) + 1e-9))
+    # a sum over k of coefficients is the coefficient of one more factor 1 / (1 - q),
+    # which is what counting sums "of at most" does
+    tail = 0
+    for chosen in range(1 << m):
+        less = sum(n + i + 1 for i in range(m) if chosen >> i & 1)
+        tail += (-1) ** bin(chosen).count("1") * _multisets_up_to(m, k - less)
+    return float(min(Fraction(1), Fraction(2 * tail, math.comb(n + m, m))))
 
 
 @pandas_udf(DoubleType())

@@ -29,7 +29,7 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, in_first: Column, l
         *keys, "n1", "n2", u.alias("u"),
         (1 - 2 * u / (n1 * n2)).alias("rank_biserial"),
         z.alias("z"),
-        ((F.least("n1", "n2") <= 8) & (F.col("tie_term") == 0) & (n1 * n2 <= P.EXACT_RANK_PAIRS)).alias("_exact"),
+        ((F.least("n1", "n2") <= 8) & (F.col("tie_term") == 0)).alias("_exact"),
     )
     asymptotic = F.when(F.col("z").isNull(), 1.0).otherwise(
         F.least(F.lit(1.0), F.when(F.col("z") > 0, P.normal_two_sided("z")).otherwise(2 - P.normal_two_sided("z"))))
@@ -108,8 +108,7 @@ def kendall_trend(df: DataFrame, keys: list[str], t: str, value: str, limit: int
         *keys, "n", "discordant",
         F.try_divide(conc_minus, F.sqrt(pairs * (pairs - F.col("tied_pairs")))).alias("tau"),
         F.try_divide(conc_minus, F.sqrt(var)).alias("z"),
-        ((F.col("tied_pairs") == 0) & ((n <= 33) | (F.least(F.col("discordant"), pairs - F.col("discordant")) <= 1)
-                                       ) & (pairs <= P.EXACT_PAIRS)).alias("_exact"),
+        ((F.col("tied_pairs") == 0) & ((n <= 33) | (F.least(F.col("discordant"), pairs - F.col("discordant")) <= 1))).alias("_exact"),
     )
     exact = P.kendall_exact(F.when(F.col("_exact"), F.col("n")).otherwise(2),
                             F.when(F.col("_exact"), F.col("discordant")).otherwise(0.0))

@@ -118,6 +118,33 @@ def order_value_rank_test(spark, d):
     return rounded(out, "rank_biserial", "z", "p_value")
 
 
+# Three orders of each priority against all others, by a key without ties: the exact distribution of the rank sum,
+# counted as the ways to write a sum of three ordered numbers of at most n2.
+_UNTIED = "(o_orderkey * 7919) % 1000003"
+
+
+@query("small_sample_rank_test", "ST1", "ST11", sql=f"""
+WITH vals AS (SELECT o_orderpriority AS series, {_UNTIED} AS value,
+                     row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) <= 3 AS first FROM orders),
+ranked AS (SELECT *, rank() OVER (PARTITION BY series ORDER BY value) AS rk FROM vals),
+u AS (SELECT series, count(*) FILTER (first) AS n1, count(*) FILTER (NOT first) AS n2, sum(rk) FILTER (first) - 6 AS u FROM ranked GROUP BY 1),
+k AS (SELECT *, CAST(least(u, n1 * n2 - u) AS BIGINT) AS k FROM u),
+a AS (SELECT *, unnest(generate_series(0, least(n2, k // 3))) AS a FROM k),
+b AS (SELECT *, unnest(generate_series(a, least(n2, (k - a) // 2))) AS b FROM a),
+ways AS (SELECT series, any_value(n1) AS n1, any_value(n2) AS n2, any_value(u) AS u, sum(least(n2, k - a - b) - b + 1) AS tail FROM b GROUP BY 1)
+SELECT series, n1, n2, CAST(u AS DOUBLE) AS u,
+       {r6('least(1.0, 2 * tail / ((n2 + 1)::DOUBLE * (n2 + 2) * (n2 + 3) / 6))::DOUBLE', 'p_value')} FROM ways""")
+def small_sample_rank_test(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("series"), "o_orderkey", F.expr(_UNTIED).alias("value"))
+    # the three smallest keys of a priority: an aggregate, so that no priority is one task
+    least = F.slice(F.array_sort(F.collect_set("o_orderkey")), 1, 3)
+    some = o.groupBy("series", F.pmod(F.xxhash64("o_orderkey"), F.lit(64)).alias("part")).agg(least.alias("keys"))
+    some = some.groupBy("series").agg(F.slice(F.array_sort(F.flatten(F.collect_list("keys"))), 1, 3).alias("keys"))
+    rows = o.join(some, "series").withColumn("first", F.array_contains("keys", F.col("o_orderkey")))
+    out = stats.mann_whitney(rows, ["series"], "value", F.col("first"))
+    return rounded(out.select("series", "n1", "n2", "u", "p_value"), "p_value")
+
+
 @query("era_summary", "ST3", sql=f"""
 SELECT o_orderpriority AS series, {r6("round(avg(o_totalprice) FILTER (o_orderdate < TIMESTAMP '1998-05-01'), 4)", 'pre_mean')},
        {r6("round(avg(o_totalprice) FILTER (o_orderdate >= TIMESTAMP '1998-05-01'), 4)", 'post_mean')},

@@ -81,6 +81,30 @@ def test_rank_sum_exact_distribution(n1, n2):
         assert P.rank_sum_exact_p(n1, n2, u) == pytest.approx(brute_rank_p(n1, n2, u))
 
 
+def test_rank_sum_is_exact_at_any_size():
+    m, n = 4, 700
+    ways = [1] + [0] * (m * n)  # coefficients of the product, term by term
+    for i in range(1, m + 1):
+        for x in range(len(ways) - 1, n + i - 1, -1):
+            ways[x] -= ways[x - n - i]
+        for x in range(i, len(ways)):
+            ways[x] += ways[x - i]
+    for u in (0, 1, 37, 800, 1400, 2799):
+        k = min(u, m * n - u)
+        assert P.rank_sum_exact_p(m, n, u) == pytest.approx(min(1.0, 2 * sum(ways[: k + 1]) / math.comb(n + m, m)), rel=1e-12)
+    assert P.rank_sum_exact_p(8, 600, 0) == pytest.approx(2 / math.comb(608, 8), rel=1e-12)
+    assert 0.2 < P.rank_sum_exact_p(8, 50_000_000, 1.5e8) < 0.3
+    with pytest.raises(ValueError):
+        P.rank_sum_exact_p(9, 20, 3)
+
+
+def test_long_kendall_with_one_inversion():
+    assert P.kendall_exact_p(40, 1) == pytest.approx(2 / math.factorial(39), rel=1e-9)
+    assert P.kendall_exact_p(90_000, 0) == 0.0 and P.kendall_exact_p(34, 34 * 33 // 2) == pytest.approx(2 / math.factorial(34), rel=1e-9)
+    with pytest.raises(ValueError):
+        P.kendall_exact_p(34, 5)
+
+
 def test_kendall_exact_distribution():
     for n in (3, 5, 6):
         inv = [sum(p[i] > p[j] for i in range(n) for j in range(i + 1, n)) for p in itertools.permutations(range(n))]
