@@ -29,27 +29,34 @@ def attributed_commits(archive: DataFrame, tool: str = "claude", needles=None, u
 def labelled_commits(archive: DataFrame, use_prefilter: bool = True) -> DataFrame:
     """Commits of every tool with their label; unlabelled commits are dropped.
 
-    The label is computed once and then filtered on, so each regular
-    expression runs at most once per commit.
+    The label comes out of a generator: the filter on it can't be moved below
+    the projection, so each regular expression runs at most once per commit.
     """
     rows = prefilter(pushes(archive), config.NEEDLES_ALL, use_prefilter)
     commits = explode_commits(rows, ("message", "author_name", "author_email"),
                               keep=["created_at", "login", "repo_name"])
-    return (
-        commits.withColumn("tool", first_match(config.TOOL_RULES))
-        .where(F.col("tool").isNotNull())
-        .drop("message", "author_name", "author_email")
-    )
+    return commits.select("created_at", "login", "repo_name", F.explode(F.array(first_match(config.TOOL_RULES))).alias("tool")).where(
+        F.col("tool").isNotNull())
+
+
+def identity_counts(rows: DataFrame, keys: list[Column | str]) -> DataFrame:
+    """Rows per key, repository and developer: additive, and all that distinct counts need."""
+    return rows.groupBy(*keys, "repo_name", "login").agg(F.count("*").alias("commits"))
+
+
+def count_identities(rows: DataFrame, keys: list[Column], names: list[str], count: str, repos: str, developers: str, approx: bool) -> DataFrame:
+    """Rows, distinct repositories and distinct developers per key.
+
+    Distinct counts of two columns copy every row, so rows collapse to one per identity first.
+    """
+    per = identity_counts(rows, keys)
+    return per.groupBy(*names).agg(
+        F.sum("commits").alias(count), distinct_count("repo_name", approx).alias(repos), distinct_count("login", approx).alias(developers))
 
 
 def monthly_counts(archive: DataFrame, approx: bool = False, **kw) -> DataFrame:
-    return (
-        attributed_commits(archive, **kw)
-        .groupBy(*year_month())
-        .agg(F.count("*").alias("commits"),
-             distinct_count("repo_name", approx).alias("distinct_repos"),
-             distinct_count("login", approx).alias("distinct_developers"))
-    )
+    return count_identities(attributed_commits(archive, **kw), year_month(), ["year", "month"],
+                            "commits", "distinct_repos", "distinct_developers", approx)
 
 
 def top_entities(archive: DataFrame, k: int = 500, **kw) -> DataFrame:
@@ -99,23 +106,11 @@ def commit_sample(archive: DataFrame, k: int = 1000, per_month: bool = False, **
 
 def tool_monthly(archive: DataFrame, approx: bool = False, use_prefilter: bool = True) -> DataFrame:
     """All tools in one scan: commits, distinct repositories and developers per month and tool."""
-    return (
-        labelled_commits(archive, use_prefilter)
-        .groupBy(*year_month(), "tool")
-        .agg(F.count("*").alias("commits"),
-             distinct_count("repo_name", approx).alias("distinct_repos"),
-             distinct_count("login", approx).alias("distinct_developers"))
-        .orderBy("year", "month", F.desc("commits"), "tool")
-    )
+    return count_identities(labelled_commits(archive, use_prefilter), [*year_month(), "tool"], ["year", "month", "tool"],
+                            "commits", "distinct_repos", "distinct_developers", approx).orderBy("year", "month", F.desc("commits"), "tool")
 
 
 def monthly_totals(archive: DataFrame, approx: bool = False) -> DataFrame:
     """Denominators; the payload column is never read."""
-    return (
-        pushes(archive)
-        .groupBy(*year_month())
-        .agg(F.count("*").alias("total_push_events"),
-             distinct_count("login", approx).alias("unique_pushers"),
-             distinct_count("repo_name", approx).alias("unique_repos"))
-        .orderBy("year", "month")
-    )
+    return count_identities(pushes(archive), year_month(), ["year", "month"],
+                            "total_push_events", "unique_repos", "unique_pushers", approx).orderBy("year", "month")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens import config
@@ -49,16 +49,23 @@ def velocity_by_team_size(archive: DataFrame) -> DataFrame:
 
 
 def _weighted_mean(value: str) -> Column:
+    """In doubles: whole numbers are exact up to 2^53, and no size, however large, overflows."""
     known = F.when(F.col(value).isNotNull(), F.col("n"))
-    return F.try_divide(F.sum(F.col(value) * F.col("n")), F.sum(known))
+    return F.try_divide(F.sum(F.col(value).cast("double") * F.col("n")), F.sum(known))
+
+
+def _with_deviations(hist: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Adds ``_squares``: the squared deviation of each value from the mean of its group, times its count."""
+    w = Window.partitionBy(*keys)
+    known = F.when(F.col(value).isNotNull(), F.col("n"))
+    mean = F.try_divide(F.sum(F.col(value).cast("double") * F.col("n")).over(w), F.sum(known).over(w))
+    return hist.withColumn("_squares", F.pow(F.col(value).cast("double") - mean, F.lit(2.0)) * F.col("n"))
 
 
 def _weighted_stddev(value: str) -> Column:
-    """Sample standard deviation from exact integer sums."""
-    n = F.sum(F.when(F.col(value).isNotNull(), F.col("n"))).cast("double")
-    s1 = F.sum(F.col(value) * F.col("n")).cast("double")
-    s2 = F.sum(F.col(value) * F.col(value) * F.col("n")).cast("double")
-    return F.when(n > 1, F.sqrt(F.greatest((s2 - s1 * s1 / n) / (n - 1), F.lit(0.0))))
+    """Sample standard deviation of a histogram with deviations."""
+    n = F.sum(F.when(F.col(value).isNotNull(), F.col("n")))
+    return F.when(n > 1, F.sqrt(F.sum("_squares") / (n - 1)))
 
 
 def sized_pushes(archive: DataFrame) -> DataFrame:
@@ -86,7 +93,7 @@ def size_distribution(archive: DataFrame, approx: bool = False) -> DataFrame:
             out = out.withColumn(name, F.col("_q")[i])
         return out.drop("_q").orderBy(*keys)
     return small_domain_quantiles(
-        histogram(rows, keys, "size"), keys, "size", SIZE_PROBS,
+        _with_deviations(histogram(rows, keys, "size"), keys, "size"), keys, "size", SIZE_PROBS,
         F.sum("n").alias("total_push_events"),
         _weighted_mean("size").alias("avg_commits_per_push"),
         _weighted_stddev("size").alias("stddev_commits_per_push"),

@@ -36,10 +36,13 @@ def top1_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     return topn_per_group(df, keys, order, 1)
 
 
-def hash_fraction(*cols, buckets: int = 1_000_000) -> Column:
-    """A reproducible uniform integer in [0, buckets) from the row's key."""
+HASH_STEPS = 1 << 32
+
+
+def hash_fraction(*cols) -> Column:
+    """A reproducible uniform integer in [0, HASH_STEPS) from the row's key."""
     digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cols]))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % buckets
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
 def sample_rows(df: DataFrame, keys: list[str], fraction: float, cap: int | None = None, era: str | None = None,
@@ -49,26 +52,46 @@ def sample_rows(df: DataFrame, keys: list[str], fraction: float, cap: int | None
     The hash form depends only on the key, so every engine and every retry
     picks the same rows, and a capped sample keeps the smallest hashes.
     """
+    if not 0 < fraction <= 1 or int(fraction * HASH_STEPS) < 1:
+        raise ValueError("the fraction must be at least one step of the hash and at most one")
     if not seeded:
         out = df.sample(fraction=fraction)
         out = out.limit(cap) if cap else out
     else:
-        out = df.withColumn("_h", hash_fraction(*keys)).where(F.col("_h") < F.lit(int(fraction * 1_000_000)))
+        out = df.withColumn("_h", hash_fraction(*keys)).where(F.col("_h") < F.lit(int(fraction * HASH_STEPS)))
         out = (_smallest_hashes(out, keys, cap) if cap else out).drop("_h")
     return out.withColumn("era", F.lit(era)) if era else out
 
 
+def _reached(counts: DataFrame, step: str, cap: int) -> DataFrame:
+    """One row: the first step at which the running count reaches the cap, and the rows before it.
+
+    ``counts`` has at most 65,536 rows.  Both columns are null if the cap is never reached.
+    """
+    upto = F.sum("_c").over(Window.partitionBy(F.lit(1)).orderBy(step))
+    run = counts.withColumn("_upto", upto).where(F.col("_upto") >= cap)
+    first = F.min(F.struct(F.col(step).alias("step"), (F.col("_upto") - F.col("_c")).alias("before")))
+    return run.agg(first.alias("_first")).select(F.lit(1).alias("_one"), F.col("_first.step").alias(f"{step}_end"), F.col("_first.before").alias("_before"))
+
+
 def _smallest_hashes(sample: DataFrame, keys: list[str], cap: int) -> DataFrame:
     """The ``cap`` rows with the least hash.
 
-    The sample is written once; the counts per hash (at most a million rows)
-    give the hash at which the cap is reached, so that the final top-k sees
-    about ``cap`` rows in all instead of ``cap`` rows from every task.
+    The sample is written once.  Counts by the upper and then by the lower half
+    of the hash (at most 65,536 rows each) give the hash at which the cap is
+    reached; rows below it pass without being ordered, and only rows of that one
+    hash are ranked.
     """
-    sample = materialise(sample)
-    counts = sample.groupBy("_h").agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(F.lit(1)).orderBy("_h"))
-    reached = counts.select("_h", upto.alias("_upto")).where(F.col("_upto") >= cap).agg(F.min("_h")).first()[0]
-    if reached is None:
-        return sample
-    return top_k(sample.where(F.col("_h") <= reached), [F.asc("_h"), *[F.asc(k) for k in keys]], cap)
+    sample = materialise(sample.withColumn("_top", F.shiftright("_h", 16)))
+    top = _reached(sample.groupBy("_top").agg(F.count("*").alias("_c")), "_top", cap)
+    inside = sample.select("_top", "_h", F.lit(1).alias("_one")).join(F.broadcast(top), "_one").where(F.col("_top") == F.col("_top_end"))
+    # the rows of earlier steps count as one step before all others
+    low = inside.groupBy("_h").agg(F.count("*").alias("_c")).unionByName(top.where("_top_end IS NOT NULL").select(
+        F.lit(-1).cast("long").alias("_h"), F.col("_before").alias("_c")))
+    end = _reached(low, "_h", cap).select("_one", "_h_end", F.col("_before").alias("_h_before"))
+    rows = sample.withColumn("_one", F.lit(1)).join(F.broadcast(end), "_one")
+    drop = ["_one", "_h_end", "_h_before", "_top"]
+    below = rows.where(F.col("_h_end").isNull() | (F.col("_h") < F.col("_h_end"))).drop(*drop)
+    rank = F.row_number().over(Window.partitionBy("_h").orderBy(*keys))
+    at = rows.where(F.col("_h") == F.col("_h_end")).withColumn("_rank", rank).where(F.col("_h_before") + F.col("_rank") <= cap)
+    return below.unionByName(at.drop("_rank", *drop))

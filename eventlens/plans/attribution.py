@@ -53,10 +53,10 @@ def top_repositories(spark, d):
 @query("top_repositories_by_month", "W2", "AG2", sql=f"""{_SINGLE},
 r AS (SELECT strftime(created_at, '%Y-%m') AS month, repo_name, {_PER_REPO}
       FROM commits WHERE {_IS_CLAUDE} GROUP BY 1, 2)
-SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY month ORDER BY commits DESC, repo_name) <= 10""".replace(
+SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY month ORDER BY commits DESC, repo_name) <= 500""".replace(
     ")\n,\nr AS", "),\nr AS"))
 def top_repositories_by_month(spark, d):
-    return A.top_entities_by_month(document_archive(spark, d), k=10)
+    return A.top_entities_by_month(document_archive(spark, d))
 
 
 @query("variant_breakdown", "AG3", "PF6", sql=f"""{_SINGLE}
@@ -79,9 +79,9 @@ def latest_commit_sample(spark, d):
 
 @query("latest_commit_sample_by_month", "W2", "SR2", "SRC2", "SO1", sql=f"""{_SINGLE}
 SELECT {_SAMPLE}, strftime(created_at, '%Y-%m') AS month FROM commits WHERE {_IS_CLAUDE}
-QUALIFY row_number() OVER (PARTITION BY month ORDER BY created_at DESC, sha) <= 25""")
+QUALIFY row_number() OVER (PARTITION BY month ORDER BY created_at DESC, sha) <= 1000""")
 def latest_commit_sample_by_month(spark, d):
-    return A.commit_sample(document_archive(spark, d), k=25, per_month=True)
+    return A.commit_sample(document_archive(spark, d), per_month=True)
 
 
 @query("monthly_totals", "AG5", "PF1", "SC11", "SC1", sql=f"""WITH {ORDER_PUSHES}

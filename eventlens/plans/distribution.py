@@ -120,15 +120,15 @@ def message_flags(spark, d):
 
 
 def _hash_sql(key: str) -> str:
-    return f"(('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 8))::BIGINT % 1000000)"
+    return f"(('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 8))::BIGINT)"
 
 
 @query("hash_sample_by_era", "PF12", "SC13", "SR3", "PF13", sql=f"""{_COMMITS}
 SELECT * FROM (SELECT created_at, login, repo_name, message, sha, 'pre' AS era FROM commits
-  WHERE created_at < TIMESTAMP '2025-10-01' AND {_hash_sql('sha')} < 50000 ORDER BY {_hash_sql('sha')}, sha LIMIT 500000)
+  WHERE created_at < TIMESTAMP '2025-10-01' AND {_hash_sql('sha')} < 214748364 ORDER BY {_hash_sql('sha')}, sha LIMIT 500000)
 UNION ALL
 SELECT * FROM (SELECT created_at, login, repo_name, message, sha, 'post' AS era FROM commits
-  WHERE created_at >= TIMESTAMP '2025-10-01' AND {_hash_sql('sha')} < 50000 ORDER BY {_hash_sql('sha')}, sha LIMIT 500000)""")
+  WHERE created_at >= TIMESTAMP '2025-10-01' AND {_hash_sql('sha')} < 214748364 ORDER BY {_hash_sql('sha')}, sha LIMIT 500000)""")
 def hash_sample_by_era(spark, d):
     from eventlens.sources.archive import month_range
 
@@ -139,6 +139,14 @@ def hash_sample_by_era(spark, d):
     return sample("2025-01", "2025-09", "pre").unionByName(sample("2025-10", "2030-12", "post"))
 
 
+@query("capped_hash_sample", "PF12", "SR3", sql=f"""{_COMMITS}
+SELECT sha, message FROM commits WHERE {_hash_sql('sha')} < 2147483648 ORDER BY {_hash_sql('sha')}, sha LIMIT 1500""")
+def capped_hash_sample(spark, d):
+    """A cap that bites: the 1,500 rows of least hash."""
+    rows = explode_commits(pushes(document_archive(spark, d)), ("sha", "message")).select("sha", "message")
+    return sample_rows(rows, ["sha"], 0.5, 1500)
+
+
 @query("annual_rollup", "AG12", sql=f"""WITH {ORDER_PUSHES},
 m AS (SELECT {YM}, count(*) AS p, count(DISTINCT login) AS u FROM order_pushes GROUP BY 1, 2)
 SELECT year, sum(p)::BIGINT AS total_pushes, {r6("avg(u)", "avg_unique_pushers")},

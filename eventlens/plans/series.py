@@ -47,6 +47,11 @@ months AS (
 )"""
 
 
+_ALL_MONTHS = _MONTHS.replace(f"WHERE o_orderdate < TIMESTAMP '{TODAY}' ", "").replace(f"least(last_day(min(d)), DATE '{TODAY}' - 1)", "last_day(min(d))").replace(
+    f"last_day(min(d)) >= DATE '{TODAY}'", "false")
+FUTURE = "9999-12-31"
+
+
 def _split_sql(src: str, n: str, extra: str) -> str:
     """Rows of the even split of [start, end] of ``src`` into n windows."""
     q = f"((\"end\" - start + 1) // {n})"
@@ -67,7 +72,7 @@ def month_bounds(spark, d):
     return W.month_bounds(m, "month", TODAY)
 
 
-@query("split_windows", "SE2", sql=f"""WITH {_MONTHS},
+@query("split_windows", "SE2", sql=f"""WITH {_ALL_MONTHS},
 m AS (SELECT *, least(CAST(total % 9 + 1 AS BIGINT), "end" - start + 1) AS n FROM months)
 {_split_sql('m', 'n', 'tool, month')}""")
 def split_windows(spark, d):
@@ -76,13 +81,12 @@ def split_windows(spark, d):
 
 
 def _months(spark, d):
-    o = table(spark, d, "orders").where(F.col("o_orderdate") < F.lit(TODAY).cast("timestamp_ntz"))
-    m = o.groupBy(F.col("o_orderpriority").alias("tool"), F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(
+    m = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("tool"), F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(
         F.count("*").alias("total"))
-    return W.month_bounds(m, "month", TODAY)
+    return W.month_bounds(m, "month", FUTURE)
 
 
-@query("planned_windows", "SE3", "SE2", sql=f"""WITH {_MONTHS},
+@query("planned_windows", "SE3", "SE2", sql=f"""WITH {_ALL_MONTHS},
 m AS (SELECT *, {_N.format(p='total', cap=20)} AS n FROM months)
 {_split_sql('m', 'n', 'tool, month, n AS n_windows')}""")
 def planned_windows(spark, d):
@@ -97,7 +101,7 @@ def _halves_sql(src: str) -> str:
   FROM {src}, (VALUES (0), (1)) h(i)"""
 
 
-@query("adaptive_windows", "SE4", sql=f"""WITH RECURSIVE {_MONTHS},
+@query("adaptive_windows", "SE4", sql=f"""WITH RECURSIVE {_ALL_MONTHS},
 m AS (SELECT *, {_N.format(p='total', cap=9)} AS n FROM months),
 cnt AS (SELECT tool, d, sum(n) OVER (PARTITION BY tool, strftime(d, '%Y-%m') ORDER BY d) AS c, strftime(d, '%Y-%m') AS month FROM days),
 w(tool, month, start, "end", n) AS (
@@ -109,8 +113,8 @@ w(tool, month, start, "end", n) AS (
 )
 SELECT * FROM w WHERE n <= 9 OR start = "end" """)
 def adaptive_windows(spark, d):
-    o = table(spark, d, "orders").where(F.col("o_orderdate") < F.lit(TODAY).cast("timestamp_ntz"))
-    return W.adaptive_windows(o.withColumnRenamed("o_orderpriority", "tool"), ["tool"], "o_orderdate", 9, TODAY)
+    o = table(spark, d, "orders")
+    return W.adaptive_windows(o.withColumnRenamed("o_orderpriority", "tool"), ["tool"], "o_orderdate", 9)
 
 
 # ---- observation log -------------------------------------------------------
@@ -315,15 +319,22 @@ def monthly_growth(spark, d):
     return rounded(S.growth_pct(s, ["series_id"], "y"), "growth_pct")
 
 
+_YEARLY = {"total_pushes": "sum(p)::BIGINT", "avg_unique_pushers": "avg(u)", "avg_pushes_per_dev": "avg(p / u::DOUBLE)"}
+
+
 @query("yearly_growth", "W3", "AG12", sql=f"""WITH {ORDER_PUSHES},
-m AS (SELECT {YM}, count(*) AS p FROM order_pushes GROUP BY 1, 2),
-a AS (SELECT year, sum(p)::BIGINT AS total_pushes FROM m GROUP BY 1)
-SELECT year, total_pushes, {r6('(total_pushes / lag(total_pushes) OVER (ORDER BY year)::DOUBLE - 1) * 100', 'growth_pct')} FROM a""")
+m AS (SELECT {YM}, count(*) AS p, count(DISTINCT login) AS u FROM order_pushes GROUP BY 1, 2),
+a AS (SELECT year, {', '.join(f"{e} AS {n}" for n, e in _YEARLY.items())} FROM m GROUP BY 1)
+SELECT year, {', '.join(r6(f"({n} / lag({n}) OVER (ORDER BY year)::DOUBLE - 1) * 100", f"{n}_growth_pct") for n in _YEARLY)} FROM a""")
 def yearly_growth(spark, d):
+    """Year-on-year change of all three yearly measures."""
     from eventlens.operators.distribution import annual_rollup
 
-    a = annual_rollup(velocity(order_archive(spark, d))).select("year", "total_pushes").withColumn("_all", F.lit(1))
-    return rounded(S.growth_pct(a, ["_all"], "total_pushes", "year").drop("_all"), "growth_pct")
+    a = annual_rollup(velocity(order_archive(spark, d))).withColumn("_all", F.lit(1))
+    for n in _YEARLY:
+        a = S.growth_pct(a, ["_all"], n, "year", out=f"{n}_growth_pct")
+    names = [f"{n}_growth_pct" for n in _YEARLY]
+    return rounded(a.select("year", *names), *names)
 
 
 @query("last_full_period", "W5", sql=f"""WITH RECURSIVE {_STITCH}

@@ -75,12 +75,12 @@ def standardised_vectors(spark, d):
 
 
 # A fixed score of the stored vectors, to check the metrics apart from the fit.
-_SCORE = "1 / (1 + exp(-12 * (embedding[1]::DOUBLE + embedding[2]::DOUBLE)))"
+_SCORE = ("1 / (1 + exp(-2 * list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * ((i * 37) % 64 - 31.5) / 32))))")
 
 
 def _scored(spark, d):
-    e = F.col("embedding")
-    z = (e[0].cast("double") + e[1].cast("double")) * 12
+    weighted = F.transform("embedding", lambda x, i: x.cast("double") * (((i + 1) * 37) % 64 - 31.5) / 32)
+    z = F.aggregate(weighted, F.lit(0.0), lambda a, b: a + b) * 2
     return _emb(spark, d).select("label", (1 / (1 + F.exp(-z))).alias("score"))
 
 
@@ -126,13 +126,13 @@ def stacked_eras(spark, d):
 @query("message_vectors", "ML1")
 def message_vectors(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return V.vectorise(docs, "text", dims=256).drop("text")
+    return V.vectorise(docs, "text").drop("text")
 
 
 @query("message_vector_drift", "ML1", "ML2", "ML3")
 def message_vector_drift(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "labels"), "doc_id")
-    return V.centroid_drift(V.vectorise(docs, "text", dims=256), "vector", F.col("quality") == 0)
+    return V.centroid_drift(V.vectorise(docs, "text"), "vector", F.col("quality") == 0)
 
 
 @query("era_classifier", "ML4", "ML5", "ML6", "ML7", "ML8", "ML9")

@@ -70,17 +70,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan with fewer splits than cores one split per core.
-
-    Meant for CPU-heavy row work (JSON parsing, regular expressions) over a few
-    small files.  A scan that already has enough splits is returned untouched,
-    so large inputs never pay this shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def spread_groups(df: DataFrame, keys: list[str]) -> DataFrame:
     """Hash-partition by key into a fixed number of tasks.
 

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.operators import windows as W
-from eventlens.session import spread
 
 # Appended to commit messages; '' and near misses included.
 TRAILERS = [
@@ -68,7 +67,7 @@ def _commit(doc: Column, line: Column, pos: Column) -> Column:
 
 
 def document_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_pushes(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")))
+    return document_pushes(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def document_pushes(d: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.operators import windows as W
-from eventlens.operators.attribution import labelled_commits
+from eventlens.operators.attribution import identity_counts, labelled_commits, year_month
 from eventlens.sources.tables import OBSERVATION_SCHEMA, dedupe_observations
 
 
@@ -58,9 +58,7 @@ _KEYS = ["year", "month", "tool", "repo_name", "login"]
 
 def count_identities(archive: DataFrame) -> DataFrame:
     """Commits per month, tool, repository and developer: additive, and enough for exact distinct counts."""
-    return labelled_commits(archive).groupBy(
-        F.year("created_at").alias("year"), F.month("created_at").alias("month"), "tool", "repo_name", "login"
-    ).agg(F.count("*").alias("commits"))
+    return identity_counts(labelled_commits(archive), [*year_month(), "tool"])
 
 
 def merge_identities(counts: DataFrame) -> DataFrame:

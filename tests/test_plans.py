@@ -9,7 +9,7 @@ from eventlens.operators import distribution as D
 from eventlens.operators.ranking import topn_per_group
 from eventlens.sources import archive as R
 from eventlens.sources import sinks
-from eventlens.sources.adapters import order_archive
+from eventlens.sources.adapters import document_archive, order_archive
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,3 +67,15 @@ def test_no_cartesian_products(spark):
     for name in ("tool_monthly", "size_by_language", "segmented_regression", "growth_projection", "tool_matrix", "stratified_split"):
         text = plan(QUERIES[name](spark, SF))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
+def test_labels_are_evaluated_once_and_nothing_moves_before_the_parse(spark):
+    df = A.tool_monthly(document_archive(spark, SF))
+    optimised = df._jdf.queryExecution().optimizedPlan().toString()
+    once = A.labelled_commits(document_archive(spark, SF))._jdf.queryExecution().analyzed().toString()
+    assert optimised.count("RLIKE") == once.count("RLIKE") == 11
+    text = plan(df)
+    below_parse = text.split("from_json")[-1]
+    assert "Exchange" not in below_parse and "Expand" in text
+    expand = text.split("Expand")[1]
+    assert "HashAggregate" in expand  # one row per identity by then

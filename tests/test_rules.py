@@ -153,3 +153,16 @@ def test_single_arm_matches_case_arm(spark):
     df = spark.createDataFrame([("x", "aider: y", "n", "e")], SCHEMA)
     assert df.select(arm(config.TOOL_RULES, "aider").alias("a")).first().a
     assert df.where(F.col("login") == "x").count() == 1
+
+
+def test_one_huge_size_does_not_overflow(spark):
+    from eventlens.operators.distribution import size_distribution
+
+    day = dt.datetime(2025, 1, 5)
+    df = frame(spark, [push(None, size=s, when=day) for s in (1, 2, 4_000_000_000, 9_000_000_000_000_000_000, None)])
+    r = size_distribution(df).first()
+    assert r.total_push_events == 5 and r.avg_commits_per_push == pytest.approx(9_000_000_004_000_000_003 / 4)
+    assert r.stddev_commits_per_push == pytest.approx(4.5e18, rel=1e-6)
+    close = [4_000_000_000 + x for x in (0, 1, 2)]
+    r = size_distribution(frame(spark, [push(None, size=s, when=day) for s in close])).first()
+    assert r.stddev_commits_per_push == pytest.approx(1.0)

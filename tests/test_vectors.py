@@ -67,3 +67,15 @@ def test_hash_sample_is_reproducible_and_capped(spark):
     assert a == b and 400 < len(a) < 600
     capped = {r.k for r in sample_rows(df, ["k"], 0.1, cap=50).collect()}
     assert len(capped) == 50 and capped <= a
+
+
+def test_capped_sample_is_the_least_hashes(spark):
+    from eventlens.operators.ranking import hash_fraction
+
+    df = spark.range(3000).selectExpr("id % 700 AS k")  # hashes tie
+    rows = [(r[0], r[1]) for r in df.select(hash_fraction("k"), "k").collect()]
+    for cap in (1, 7, 500, 2999, 3000, 9000):
+        got = sorted(r.k for r in sample_rows(df, ["k"], 1.0, cap=cap).collect())
+        assert got == sorted(k for _, k in sorted(rows)[:cap])
+    with pytest.raises(ValueError):
+        sample_rows(df, ["k"], 1e-10)
