@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -88,18 +88,29 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_POWERS = np.cumprod(np.full(4096, MULTIPLIER, dtype=np.uint64))
+class SpanHasher:
+    """Hashes of any span of a buffer from prefix sums; spans of equal bytes have equal hashes."""
+
+    _powers = np.ones(1, dtype=np.uint64)
+    _inverses = np.ones(1, dtype=np.uint64)
+
+    def __init__(self, buf: np.ndarray):
+        n = len(buf)
+        if len(SpanHasher._powers) <= n:
+            size = max(n + 1, SLICE_BYTES + 1)
+            inverse = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
+            SpanHasher._powers = np.cumprod(np.full(size, MULTIPLIER, dtype=np.uint64))
+            SpanHasher._inverses = np.cumprod(np.full(size, inverse, dtype=np.uint64))
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
+        value = buf.astype(np.uint64)
+        value += np.uint64(1)
+        value *= SpanHasher._powers[:n]
+        np.cumsum(value, out=self.sums[1:])
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix64((self.sums[ends] - self.sums[starts]) * SpanHasher._inverses[starts])
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span; spans are in order and do not overlap."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    length = ends - starts
-    first = np.cumsum(length) - length
-    position = np.arange(int(length.sum()), dtype=np.int64) - np.repeat(first, length)
-    where = position + np.repeat(starts, length)
-    value = (buf[where].astype(np.uint64) + np.uint64(1)) * _POWERS[position & 4095]
-    if int(length.max()) > 4096:
-        value *= (position >> 12).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    return mix64(np.add.reduceat(value, first) + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit hash of the bytes of each span."""
+    return SpanHasher(buf).spans(starts, ends)

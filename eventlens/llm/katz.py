@@ -31,8 +31,10 @@ HEAD_WORDS = 1 << 20
 MAX_DISCOUNTED = 5
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x94057B7EF767814F)
-_FLUSH_TOKENS = 1 << 22
+_FLUSH_TOKENS = 1 << 21
 _RARE = np.uint64(1) << np.uint64(63)
+_HIGH = np.uint64(0xFFFFFFFF00000000)
+_TURN = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
@@ -99,14 +101,19 @@ class Lexicon:
 
     unknown: float = 1.0
 
-    def part_of_pairs(self, history: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Partition of pairs; those of a history with more than a partition's share of tokens are spread by word."""
+    def spread(self, history: np.ndarray) -> np.ndarray:
+        """Number of partitions for the pairs of each history: as many as its tokens fill."""
         frequent = history < _RARE
         count = np.zeros(len(history), dtype=np.int64)
         count[frequent] = self.counts[history[frequent].astype(np.int64)]
         count[history == START] = self.documents
-        spread = (count // max(1, self.tokens // self.parts) + 1).astype(np.uint64)
-        return part_of(mix64(history + (mix64(word) % spread) * np.uint64(0x9E3779B97F4A7C15)), self.parts)
+        return (count // max(1, self.tokens // self.parts) + 1).astype(np.uint64)
+
+    def place(self, history: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(order key, partition) of pairs: equal pairs, histories and partitions come together in the key's order."""
+        mixed = mix64(word)
+        home = mix64(history + (mixed % self.spread(history)) * _TURN)
+        return (home & _HIGH) | (mixed >> np.uint64(32)), part_of(home, self.parts)
 
 
 def _good_lexicon(lexicon: Lexicon, discounted: float) -> Lexicon:
@@ -121,11 +128,12 @@ def _good_lexicon(lexicon: Lexicon, discounted: float) -> Lexicon:
 
 def _tokens(batch: pa.RecordBatch):
     """(begin, end of a slice of the batch, words' document numbers, words' hashes)."""
-    texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-    for begin, end in slices(texts):
-        buf, offsets = packed(texts[begin:end])
-        starts, ends = word_spans(buf)
-        yield begin, end, np.searchsorted(offsets, starts, side="right") - 1, span_hashes(buf, starts, ends)
+    for first in range(0, len(batch), 1000):
+        texts = [t or b"" for t in batch.column(1).slice(first, 1000).cast(pa.binary()).to_pylist()]
+        for begin, end in slices(texts):
+            buf, offsets = packed(texts[begin:end])
+            starts, ends = word_spans(buf)
+            yield first + begin, first + end, np.searchsorted(offsets, starts, side="right") - 1, span_hashes(buf, starts, ends)
 
 
 def _pairs(n_docs: int, owner: np.ndarray, codes: np.ndarray, end: np.uint64):
@@ -167,29 +175,38 @@ def _count_words(batches):
         yield pa.record_batch({"word": h.view(np.int64), "n": n})
 
 
+def _pack_pairs(h: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
+    """Pairs in which equal histories stand together."""
+    first = np.flatnonzero(heads(h))
+    return dump(planes(h[first]), narrow(np.diff(np.append(first, len(h)))), planes(w), narrow(n))
+
+
+def _pair_arrays(blob: bytes):
+    h, times, w, n = load(blob)
+    return np.repeat(from_planes(h), times), from_planes(w), n.astype(np.int64)
+
+
 def _count_pairs(lexicon):
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
-        def merged():
-            h, w, n = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((w, h))
-            h, w, n = h[order], w[order], n[order]
-            cut = np.flatnonzero(heads(h, w))
-            return h[cut], w[cut], np.add.reduceat(n, cut)
-
         def flush():
-            h, w, n = merged()
-            rows = [(p, "count", dump(sorted_planes(a), planes(b), narrow(c)))
-                    for p, (a, b, c) in by_target(lexicon.value.part_of_pairs(h, w), h, w, n)]
-            return record_batch(rows)
+            h, w = (np.concatenate(x) for x in zip(*held))
+            key, part = lexicon.value.place(h, w)
+            order = np.argsort(key)
+            h, w, part = h[order], w[order], part[order]
+            cut = np.flatnonzero(heads(h, w))
+            n = np.diff(np.append(cut, len(h)))
+            h, w, part = h[cut], w[cut], part[cut]
+            bounds = np.searchsorted(part, np.arange(lexicon.value.parts + 1))
+            return record_batch([(int(p), "count", _pack_pairs(*(x[bounds[p] : bounds[p + 1]] for x in (h, w, n)))) for p in np.unique(part)])
 
         for batch in batches:
             for begin, end, owner, hashes in _tokens(batch):
                 codes = lexicon.value.codes(np.append(hashes, END))
                 h, w, _ = _pairs(end - begin, owner, codes[:-1], codes[-1])
-                held.append((h, w, np.ones(len(h), dtype=np.int64)))
+                held.append((h, w))
                 size += len(h)
                 if size >= _FLUSH_TOKENS:
                     yield flush()
@@ -201,23 +218,18 @@ def _count_pairs(lexicon):
 
 
 def _merge_pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row of sorted pairs per partition, with the number of pairs of each small count."""
-    blobs = [load(b) for b in pdf["blob"]]
-    h = np.concatenate([from_sorted_planes(b[0]) for b in blobs])
-    w = np.concatenate([from_planes(b[1]) for b in blobs])
-    n = np.concatenate([b[2].astype(np.int64) for b in blobs])
-    order = np.lexsort((w, h))
-    h, w, n = h[order], w[order], n[order]
-    cut = np.flatnonzero(heads(h, w))
-    h, w, n = h[cut], w[cut], np.add.reduceat(n, cut)
+    """One row of pairs per partition, with the number of pairs of each small count."""
+    h, w, n = (np.concatenate(x) for x in zip(*[_pair_arrays(b) for b in pdf["blob"]]))
+    together = (mix64(h) & _HIGH) | (mix64(w) >> np.uint64(32))
+    order = np.argsort(together)
+    new = heads(h[order], w[order])
+    if not np.array_equal(new, heads(together[order])):  # two pairs of one key: sort by the pairs themselves
+        order = np.lexsort((w, h))
+        new = heads(h[order], w[order])
+    cut = np.flatnonzero(new)
+    h, w, n = h[order][cut], w[order][cut], np.add.reduceat(n[order], cut)
     small = np.bincount(np.minimum(n, MAX_DISCOUNTED + 2), minlength=MAX_DISCOUNTED + 3)
-    return pd.DataFrame({"part": [key[0]], "kind": ["pairs"], "blob": [dump(sorted_planes(h), planes(w), narrow(n))],
-                         "small": [small[: MAX_DISCOUNTED + 2].tolist()]})
-
-
-def _pair_arrays(blob: bytes):
-    h, w, n = load(blob)
-    return from_sorted_planes(h), from_planes(w), n.astype(np.int64)
+    return pd.DataFrame({"part": [key[0]], "kind": ["pairs"], "blob": [_pack_pairs(h, w, n)], "small": [small[: MAX_DISCOUNTED + 2].tolist()]})
 
 
 def _history_sums(lexicon, discounts: Discounts):
@@ -276,12 +288,12 @@ def fit_katz(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
         least = r["least"]
     small = {r["n"]: r["types"] for r in words.where(F.col("n") <= MAX_DISCOUNTED + 1).groupBy("n").agg(F.count("*").alias("types")).collect()}
     discounts = Discounts.of(small)
-    frequent = words.where(F.col("n") >= (least if least is not None else 1 << 62)).toPandas()
-    hashes = frequent["word"].to_numpy(dtype=np.int64).view(np.uint64)
+    frequent = words.where(F.col("n") >= (least if least is not None else 1 << 62)).toArrow()
+    hashes = frequent["word"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     total = sum(r["n"] for r in steps)
     documents = words.where(F.col("word") == int(END.view(np.int64))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    lexicon = Lexicon(hashes[order], frequent["n"].to_numpy(dtype=np.int64)[order], total, sum(r["types"] for r in steps), discounts, 1.0, parts, documents)
+    lexicon = Lexicon(hashes[order], frequent["n"].to_numpy()[order], total, sum(r["types"] for r in steps), discounts, 1.0, parts, documents)
     discounted = total - sum(c * small.get(c, 0) * (1 - f) for c, f in enumerate(discounts.factor.tolist()))
     lexicon = _good_lexicon(lexicon, discounted)
     shared = spark.sparkContext.broadcast(lexicon)
@@ -315,13 +327,10 @@ def _pack_histories(lexicon):
             order = np.argsort(h)
             h = h[order]
             values = [pdf[c].to_numpy()[order] for c in ("n", "scale", "backoff")]
-            count = np.zeros(len(h), dtype=np.int64)
-            count[h < _RARE] = lex.counts[h[h < _RARE].astype(np.int64)]
-            count[h == START] = lex.documents
-            spread = count // max(1, lex.tokens // lex.parts) + 1
+            spread = lex.spread(h).astype(np.int64)
             which = np.repeat(np.arange(len(h)), spread)
             turn = np.arange(len(which)) - np.repeat(np.cumsum(spread) - spread, spread)
-            part = part_of(mix64(h[which] + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), lex.parts)
+            part = part_of(mix64(h[which] + turn.astype(np.uint64) * _TURN), lex.parts)
             pair = np.unique(np.stack([part, which], axis=1), axis=0) if len(which) else np.zeros((0, 2), dtype=np.int64)
             rows = [(p, "histories", dump(sorted_planes(h[i]), *[v[i] for v in values])) for p, (i,) in by_target(pair[:, 0], pair[:, 1])]
             yield frame(rows)
@@ -354,20 +363,15 @@ def _ask(lexicon):
             cut = np.flatnonzero(heads(rare_w, rare_d))
             times = np.diff(np.append(cut, len(rare_w)))
             rows.append((chunk % lex.parts, "rare", dump(chunk, rare_w[cut], rare_d[cut], times)))
-            key = mix64(h * np.uint64(3) + mix64(w))
-            order = np.lexsort((d, key))
-            h, w, d, key = h[order], w[order], d[order], key[order]
-            cut = np.flatnonzero(heads(key, d))
-            h, w, d, key, times = h[cut], w[cut], d[cut], key[cut], np.diff(np.append(cut, len(order)))
-            part = lex.part_of_pairs(h, w)
-            order = np.lexsort((d, w, h, part))
-            h, w, d, times, part = h[order], w[order], d[order], times[order], part[order]
+            key, part = lex.place(h, w)
+            order = np.argsort(key)
+            h, w, d, part = h[order], w[order], d[order], part[order]
             bounds = np.searchsorted(part, np.arange(lex.parts + 1))
             for p in np.unique(part):
                 s = slice(bounds[p], bounds[p + 1])
-                first = np.flatnonzero(heads(h[s], w[s]))
-                rows.append((int(p), "ask", dump(chunk, sorted_planes(h[s][first]), planes(w[s][first]),
-                                                 narrow(np.diff(np.append(first, bounds[p + 1] - bounds[p]))), narrow(d[s]), narrow(times[s]))))
+                cut = np.flatnonzero(heads(h[s], w[s]))
+                n = np.diff(np.append(cut, s.stop - s.start))
+                rows.append((int(p), "ask", dump(chunk, _pack_pairs(h[s][cut], w[s][cut], n), narrow(d[s]))))
             return record_batch(rows)
 
         for batch in batches:
@@ -408,8 +412,8 @@ def _answer(lexicon, discounts: Discounts):
         order = np.argsort(pair)
         pair, count = pair[order], count[order]
         for blob in blobs.get("ask", []):
-            chunk, h, w, docs_of, d, times = load(blob)
-            h, w = from_sorted_planes(h), from_planes(w)
+            chunk, asked, d = load(blob)
+            h, w, times = _pair_arrays(asked)
             value = np.zeros(len(h))
             known = np.zeros(len(h), dtype=bool)
             if len(history):
@@ -428,14 +432,13 @@ def _answer(lexicon, discounts: Discounts):
                 lower = np.ones(len(h), dtype=bool)
             frequent = lower & (w < _RARE)
             value[frequent] += np.log10(lex.probability(lex.counts[w[frequent].astype(np.int64)]))
-            owner = np.repeat(np.arange(len(h)), docs_of)
-            times = times.astype(np.int64)
-            total = np.bincount(d, weights=value[owner] * times)
+            owner = np.repeat(np.arange(len(h)), times)
+            total = np.bincount(d, weights=value[owner])
             has = np.flatnonzero(np.bincount(d))
             rows.append((chunk, "sum", dump(narrow(has), total[has])))
             rare = (lower & (w >= _RARE))[owner]
             if rare.any():
-                rows.append((chunk, "backed", dump(chunk, w[owner[rare]], d[rare].astype(np.int64), times[rare])))
+                rows.append((chunk, "backed", dump(chunk, w[owner[rare]], d[rare].astype(np.int64), np.ones(int(rare.sum()), dtype=np.int64))))
         return frame(rows)
 
     return run
