@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.llm.arrays import ROW, by_target, dump, frame, from_sorted_planes, heads, load, part_of, part_of_ids, record_batch, sorted_planes
-from eventlens.llm.common import MULTIPLIER, mix64, query, table
+from eventlens.llm.common import SpanHasher, mix64, query, table
 from eventlens.llm.runindex import RunLengthIndex
 from eventlens.session import materialise
 
@@ -41,28 +41,10 @@ LENGTH = 100
 GRAM = 32
 HOT = 64
 SPREAD = 64
-_SEGMENT = 1 << 21
-_FLUSH_ANCHORS = 1 << 20
-_FLUSH_BYTES = 32 << 20
+_SEGMENT = 1 << 19
+_FLUSH_ANCHORS = 1 << 19
+_FLUSH_BYTES = 16 << 20
 _LAST = np.iinfo(np.int64).max
-_INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
-
-
-class _Hasher:
-    """Hashes of any span of a buffer from prefix sums; spans of equal bytes have equal hashes."""
-
-    _powers = np.ones(1, dtype=np.uint64)
-    _inverses = np.ones(1, dtype=np.uint64)
-
-    def __init__(self, buf: np.ndarray):
-        if len(_Hasher._powers) <= len(buf):
-            _Hasher._powers = np.cumprod(np.full(len(buf) + 1, MULTIPLIER, dtype=np.uint64))
-            _Hasher._inverses = np.cumprod(np.full(len(buf) + 1, _INVERSE, dtype=np.uint64))
-        self.sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _Hasher._powers[: len(buf)], out=self.sums[1:])
-
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[ends] - self.sums[starts]) * _Hasher._inverses[starts])
 
 
 def find_anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
@@ -76,7 +58,7 @@ def find_anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
     starts = np.flatnonzero(np.arange(len(buf)) + length <= offsets[1:][owner])
     if not len(starts):
         return None
-    hasher = _Hasher(buf)
+    hasher = SpanHasher(buf)
     m = len(buf) - GRAM + 1
     at = np.arange(m)
     grams = hasher.spans(at, at + GRAM)
@@ -161,9 +143,13 @@ def _distinct_contexts(ids, ordinals, grams, contexts, first, anchor, last, leng
             (anchor[s] - first[s]).astype(np.uint16), (anchor[s] - last[s]).astype(np.uint16), hot[s])))
 
 
-def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    return (batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False),
-            [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()])
+def _texts(batches):
+    """(ids, ordinals, texts) of a thousand rows at a time."""
+    for batch in batches:
+        for begin in range(0, len(batch), 1000):
+            some = batch.slice(begin, 1000)
+            yield (some.column(0).to_numpy(zero_copy_only=False), some.column(1).to_numpy(zero_copy_only=False),
+                   [t or b"" for t in some.column(2).cast(pa.binary()).to_pylist()])
 
 
 def _anchor_rows(length: int, parts: int):
@@ -176,8 +162,7 @@ def _anchor_rows(length: int, parts: int):
             _distinct_contexts(*[np.concatenate(x) for x in zip(*held)], length, parts, rows)
             return record_batch(rows)
 
-        for batch in batches:
-            ids, ordinals, texts = _texts(batch)
+        for ids, ordinals, texts in _texts(batches):
             for buf, offsets, number, begin in _segments(texts, length):
                 found = find_anchors(buf, offsets, length)
                 if found is None:
@@ -238,8 +223,7 @@ def _pack_texts(parts: int):
             rows = [(p, "text", dump(x)) for p, x in held.items()]
             return record_batch(rows)
 
-        for batch in batches:
-            ids, ordinals, texts = _texts(batch)
+        for ids, ordinals, texts in _texts(batches):
             for p, i, o, t in zip(part_of_ids(ids, parts).tolist(), ids.tolist(), ordinals.tolist(), texts):
                 held[p].append((i, o, t))
                 size += len(t)
@@ -317,7 +301,7 @@ def _search_shard(length: int, parts: int):
             if len(r):
                 buf = np.frombuffer(b"".join(c[7] for c in some), dtype=np.uint8)
                 at = np.cumsum([0] + [len(c[7]) for c in some])[r] + i
-                digest = _Hasher(buf).spans(at, at + length)
+                digest = SpanHasher(buf).spans(at, at + length)
                 hot = np.array([c[6] for c in some])
                 left_at.append((digest, ids[r], ordinals[r], start[r] + i, hot[r]))
         ids, ordinals, at = (np.concatenate(x) for x in zip(*hit_at))
