@@ -107,8 +107,8 @@ def _fit_group(pdf: pd.DataFrame) -> list[tuple]:
     weight = 1.0 / sigma**2
     out = []
     for model in MODELS:
-        if len(t) < (2 if model == "exponential" else 3) or not (y > 0).all():
-            out.append((model, np.nan, np.nan, np.nan, "too few points or values that are not positive"))
+        if len(t) < (2 if model == "exponential" else 3) or (space == "log" and not (y > 0).all()) or not (y > 0).any():
+            out.append((model, np.nan, np.nan, np.nan, "too few points, or values without a logarithm"))
         elif model == "exponential":
             with np.errstate(over="ignore"):  # curves far from the data may overflow and lose
                 out.append((model, *_fit_exponential(t, y, weight, space), None))
@@ -252,11 +252,14 @@ def sensitivity(series: DataFrame, starts: list[str], spaces=SENSITIVITY_SPACES)
     return table, summary
 
 
-def headline(counts: DataFrame, fits: DataFrame, past: DataFrame, projection: DataFrame) -> DataFrame:
-    """Counts joined with doubling times then and now, ceilings, and the inflection month per series.
+def headline(counts: DataFrame, fits: DataFrame, past: DataFrame, projection: DataFrame, past_projection: DataFrame,
+             totals: DataFrame) -> DataFrame:
+    """Counts joined with doubling times then and now, ceilings, the inflection month, what the past exponential
+    fit says of the last full month, and the share of the total then, per series.
 
     counts: ``series.headline_counts``; fits and past: one configuration each;
-    projection: of ``fits``.  An inflection past the axis has no month.
+    projection and past_projection: of ``fits`` and ``past``; totals: month, total.
+    An inflection past the axis has no month; a month without a total no share.
     """
     of = lambda model, c: F.max(F.when(F.col("model") == model, F.col(c)))
     now = fits.groupBy("series_id").agg(
@@ -267,7 +270,14 @@ def headline(counts: DataFrame, fits: DataFrame, past: DataFrame, projection: Da
     then = past.groupBy("series_id").agg(F.bround(of("exponential", "doubling_months"), 2).alias("doubling_then"))
     labels = projection.where(F.col("model") == "logistic").select("series_id", F.col("t").alias("_t0"),
                                                                    F.col("month").alias("inflection_month"))
-    out = counts.join(now, "series_id", "left").join(then, "series_id", "left").join(labels, ["series_id", "_t0"], "left")
+    said = past_projection.where(F.col("model") == "exponential").select(
+        "series_id", F.col("t").alias("last_full_t"), F.col("fitted").alias("past_prediction"))
+    whole = totals.select(F.col("month").alias("last_full_month"), F.col("total").alias("_total"))
+    out = (
+        counts.join(now, "series_id", "left").join(then, "series_id", "left").join(labels, ["series_id", "_t0"], "left")
+        .join(said, ["series_id", "last_full_t"], "left").join(whole, "last_full_month", "left")
+        .withColumn("share_last_pct", F.bround(F.try_divide(F.col("last_value") * 100.0, F.col("_total")), 1)).drop("_total")
+    )
     pct = lambda c: F.bround(F.try_divide(F.col("last_value"), F.col(c)) * 100).cast("bigint")
     return out.withColumns({"logistic_pct": pct("logistic_ceiling"), "gompertz_pct": pct("gompertz_ceiling")}).drop("_t0")
 

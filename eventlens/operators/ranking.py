@@ -66,12 +66,12 @@ def sample_rows(df: DataFrame, keys: list[str], fraction: float, cap: int | None
 def _reached(counts: DataFrame, step: str, cap: int) -> DataFrame:
     """One row: the first step at which the running count reaches the cap, and the rows before it.
 
-    ``counts`` has at most 65,536 rows.  Both columns are null if the cap is never reached.
+    ``counts`` (_all, step, _c) has at most 65,537 rows.  There is no row if the cap is never reached.
     """
-    upto = F.sum("_c").over(Window.partitionBy(F.lit(1)).orderBy(step))
-    run = counts.withColumn("_upto", upto).where(F.col("_upto") >= cap)
+    upto = F.sum("_c").over(Window.partitionBy("_all").orderBy(step))
     first = F.min(F.struct(F.col(step).alias("step"), (F.col("_upto") - F.col("_c")).alias("before")))
-    return run.agg(first.alias("_first")).select(F.lit(1).alias("_one"), F.col("_first.step").alias(f"{step}_end"), F.col("_first.before").alias("_before"))
+    return counts.withColumn("_upto", upto).where(F.col("_upto") >= cap).groupBy("_all").agg(first.alias("_first")).select(
+        "_all", F.col("_first.step").alias(f"{step}_end"), F.col("_first.before").alias("_before"))
 
 
 def _smallest_hashes(sample: DataFrame, keys: list[str], cap: int) -> DataFrame:
@@ -82,15 +82,15 @@ def _smallest_hashes(sample: DataFrame, keys: list[str], cap: int) -> DataFrame:
     reached; rows below it pass without being ordered, and only rows of that one
     hash are ranked.
     """
-    sample = materialise(sample.withColumn("_top", F.shiftright("_h", 16)))
-    top = _reached(sample.groupBy("_top").agg(F.count("*").alias("_c")), "_top", cap)
-    inside = sample.select("_top", "_h", F.lit(1).alias("_one")).join(F.broadcast(top), "_one").where(F.col("_top") == F.col("_top_end"))
+    sample = materialise(sample.withColumns({"_top": F.shiftright("_h", 16), "_all": F.lit(0)}))
+    top = _reached(sample.groupBy("_all", "_top").agg(F.count("*").alias("_c")), "_top", cap)
+    inside = sample.select("_all", "_top", "_h").join(F.broadcast(top), "_all").where(F.col("_top") == F.col("_top_end"))
     # the rows of earlier steps count as one step before all others
-    low = inside.groupBy("_h").agg(F.count("*").alias("_c")).unionByName(top.where("_top_end IS NOT NULL").select(
-        F.lit(-1).cast("long").alias("_h"), F.col("_before").alias("_c")))
-    end = _reached(low, "_h", cap).select("_one", "_h_end", F.col("_before").alias("_h_before"))
-    rows = sample.withColumn("_one", F.lit(1)).join(F.broadcast(end), "_one")
-    drop = ["_one", "_h_end", "_h_before", "_top"]
+    low = inside.groupBy("_all", "_h").agg(F.count("*").alias("_c")).unionByName(
+        top.select("_all", F.lit(-1).cast("long").alias("_h"), F.col("_before").alias("_c")))
+    end = _reached(low, "_h", cap).withColumnRenamed("_before", "_h_before")
+    rows = sample.join(F.broadcast(end), "_all", "left")
+    drop = ["_all", "_h_end", "_h_before", "_top"]
     below = rows.where(F.col("_h_end").isNull() | (F.col("_h") < F.col("_h_end"))).drop(*drop)
     rank = F.row_number().over(Window.partitionBy("_h").orderBy(*keys))
     at = rows.where(F.col("_h") == F.col("_h_end")).withColumn("_rank", rank).where(F.col("_h_before") + F.col("_rank") <= cap)

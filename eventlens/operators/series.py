@@ -42,14 +42,19 @@ def left_lookup(df: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(lookup, keys, "left")
 
 
-def stitch_series(exact: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    """Exact rows where they exist, other rows for months after the last exact month of the series.
+def stitch_series(exact: DataFrame, other: DataFrame, keys: list[str], by_month: bool = False) -> DataFrame:
+    """Exact rows, and other rows for months after the last month that the exact source has for any series.
 
-    One union and one small window per series, so each input is read once.
+    ``by_month`` decides month by month instead: the other source fills every
+    month of a series that the exact one lacks, also in between.  Both tables have
+    a row per series and month, so the windows are small.
     """
     both = exact.withColumn("_exact", F.lit(True)).unionByName(
         other.withColumn("_exact", F.lit(False)), allowMissingColumns=True)
-    last = F.max(F.when(F.col("_exact"), F.col("month"))).over(Window.partitionBy(*keys))
+    if by_month:
+        known = F.bool_or("_exact").over(Window.partitionBy(*keys, "month"))
+        return both.withColumn("_known", known).where(F.col("_exact") | ~F.col("_known")).drop("_exact", "_known")
+    last = F.max(F.when(F.col("_exact"), F.col("month"))).over(Window.partitionBy())
     return both.withColumn("_last", last).where(
         F.col("_exact") | F.col("_last").isNull() | (F.col("month") > F.col("_last"))).drop("_exact", "_last")
 
@@ -70,21 +75,29 @@ def pivot_series(df: DataFrame, index: str, column: str, names: list[str], value
     return out.where(F.col("_ok").isNull()).drop("_ok")
 
 
-def any_partial(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.bool_or("partial").alias("partial"))
-
-
 def complete_total(df: DataFrame, tools: list[str], keys: tuple = ("month",), extra: list[Column] = ()) -> DataFrame:
-    """Sum of estimate, lo and hi over a fixed tool set, only where every tool is present."""
+    """Sum of estimate, lo and hi over a fixed tool set, only where every tool is present.
+
+    A period that is partial for any tool is partial.  A repeated (period, tool) row is an error.
+    """
     known = df.where(F.col("tool").isin(tools) & F.col("estimate").isNotNull())
     return (
         known.groupBy(*keys)
         .agg(F.sum("estimate").alias("estimate"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"),
-             F.bool_or("partial").alias("partial"), F.countDistinct("tool").alias("_tools"), *extra)
-        .where(F.col("_tools") == len(tools)).drop("_tools")
+             F.bool_or("partial").alias("partial"), F.countDistinct("tool").alias("_tools"), _repeats(), *extra)
+        .where(_one_row_each()).where(F.col("_tools") == len(tools)).drop("_tools", "_repeats")
     )
 
 
+def _repeats() -> Column:
+    return (F.count("*") - F.countDistinct("tool")).alias("_repeats")
+
+
+def _one_row_each() -> Column:
+    """True, or an error where a group has more rows than tools."""
+    return F.assert_true(F.col("_repeats") == 0, F.lit("more than one row for a tool and period")).isNull()
+
+
 def sigma_log(estimate: Column, lo: Column, hi: Column) -> Column:
     """Relative uncertainty of an estimate, from the spread of its draws."""
     return F.greatest(F.lit(config.SIGMA_FLOOR), F.try_divide(hi - lo, 2 * estimate))
@@ -98,7 +111,8 @@ def build_series(exact: DataFrame, estimates: DataFrame, tools: list[str], focus
     """
     is_focus = F.col("tool") == focus
     ex = exact.where(F.col("tool").isin(tools)).groupBy("month").agg(
-        F.sum(F.when(is_focus, F.col("value"))).alias("focus"), F.sum("value").alias("total"))
+        F.sum(F.when(is_focus, F.col("value"))).alias("focus"), F.sum("value").alias("total"),
+        _repeats()).where(_one_row_each())
     point = lambda name, y: F.struct(F.lit(name).alias("series_id"), y.cast("bigint").alias("y"))
     ex = ex.select("month", F.explode(F.array(point(focus, F.col("focus")), point("total", F.col("total")))).alias("p")).select(
         "p.series_id", "month", "p.y", F.col("p.y").alias("lo"), F.col("p.y").alias("hi"),
@@ -115,14 +129,22 @@ def build_series(exact: DataFrame, estimates: DataFrame, tools: list[str], focus
     return with_t(stitch_series(ex, est, ["series_id"]), ["series_id"])
 
 
-def tool_matrix(df: DataFrame, keys: list[str], value: str, first: str, last: str) -> DataFrame:
+def tool_matrix(df: DataFrame, keys: list[str], value: str, first: str, last: str, listed: list | None = None) -> DataFrame:
     """Every month of a label range for every series; gaps are null.
 
-    The months of a series travel as one map, at most one entry per calendar month.
+    ``listed`` fixes the values of the (single) key: those without any row get
+    nulls for all months, others are left out.  Rows without a month are left
+    out.  The months of a series travel as one map, at most one entry per
+    calendar month.
     """
     day = lambda label: F.to_date(F.lit(f"{label}-01"))
     months = F.transform(F.sequence(day(first), day(last), F.expr("interval 1 month")), lambda d: F.date_format(d, "yyyy-MM"))
-    known = df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("month", value))).alias("_known"))
+    known = df.where(F.col("month").isNotNull()).groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("month", value))).alias("_known"))
+    if listed is not None:
+        (key,) = keys
+        wanted = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in listed])).alias(key))
+        known = wanted.join(known, key, "left")
     return known.select(*keys, "_known", F.explode(months).alias("month")).select(
         *keys, "month", F.col("_known")[F.col("month")].alias(value))
 

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, StandardScaler, Tokenizer
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,11 +21,11 @@ from eventlens.session import materialise
 
 def vectorise(df: DataFrame, text: str, out: str = "vector", dims: int = 1024,
               encoder: Callable[[DataFrame, str, str], DataFrame] | None = None) -> DataFrame:
-    """Adds a unit-length ``array<double>`` per message.
+    """Adds a unit-length vector per message.
 
     ``encoder(df, text, out)`` may supply any other embedding, for example an
     iterator pandas function around a sentence model.  The default hashes
-    terms and weighs them by inverse document frequency.
+    terms and weighs them by inverse document frequency; its vectors stay sparse.
     """
     if encoder is not None:
         return encoder(df, text, out)
@@ -34,12 +35,17 @@ def vectorise(df: DataFrame, text: str, out: str = "vector", dims: int = 1024,
               IDF(inputCol="_tf", outputCol="_idf"),
               Normalizer(inputCol="_idf", outputCol="_unit", p=2.0)]
     fitted = Pipeline(stages=stages).fit(rows).transform(rows)
-    return fitted.withColumn(out, vector_to_array("_unit")).drop("_text", "_words", "_tf", "_idf", "_unit")
+    return fitted.withColumnRenamed("_unit", out).drop("_text", "_words", "_tf", "_idf")
+
+
+def _vector(df: DataFrame, column: str) -> Column:
+    """A column of arrays or of vectors, as vectors."""
+    return F.col(column) if isinstance(df.schema[column].dataType, VectorUDT) else array_to_vector(F.col(column).cast("array<double>"))
 
 
 def centroids(df: DataFrame, vector: str, group: Column) -> DataFrame:
     """group, centroid, n.  Vectors are summed whole on the map side, never exploded per dimension."""
-    rows = df.select(group.alias("group"), array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    rows = df.select(group.alias("group"), _vector(df, vector).alias("_v"))
     g = rows.groupBy("group").agg(Summarizer.metrics("mean", "count").summary(F.col("_v")).alias("s"))
     return g.select("group", vector_to_array("s.mean").alias("centroid"), F.col("s.count").alias("n"))
 
@@ -81,30 +87,38 @@ def drift_dimensions(df: DataFrame, vector: str, in_pre: Column, top: int = 10)
 def stratified_split(df: DataFrame, key: str, label: str, train_fraction: float = 0.8, seed: int = 42) -> DataFrame:
     """Adds ``is_train``: exactly floor(fraction * n) rows of every label, chosen by a hash of the key.
 
-    The order within a label is by hash, but a label is never one task: rows
-    are partitioned by (label, hash bucket), which spreads evenly however
-    unequal the labels are, and the counts of lower buckets complete the rank.
+    The hash decides by itself for all rows but those of the one hash bucket
+    per label that holds the cut; only these are ranked.
     """
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
     rows = df.withColumns({"_h": digest, "_b": F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")})
     w = Window.partitionBy(label)
-    below = F.sum("_c").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    upto = F.sum("_c").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     counts = rows.groupBy(label, "_b").agg(F.count("*").alias("_c")).select(
-        label, "_b", F.coalesce(below, F.lit(0)).alias("_below"),
-        F.floor(F.sum("_c").over(w) * F.lit(train_fraction)).alias("_cut"))
-    rank = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key))
-    return join_on(rows, counts, [label, "_b"]).withColumn(
-        "is_train", F.col("_below") + rank <= F.col("_cut")).drop("_h", "_b", "_below", "_cut")
+        label, "_b", "_c", upto.alias("_upto"), F.floor(F.sum("_c").over(w) * F.lit(train_fraction)).alias("_cut"))
+    # one row per label: the bucket at which the cut is reached, and how many of its rows are before the cut
+    at = counts.where(F.col("_upto") >= F.col("_cut")).groupBy(label).agg(
+        F.min(F.struct(F.col("_b").alias("b"), (F.col("_cut") - F.col("_upto") + F.col("_c")).alias("room"))).alias("_at")).select(
+        label, F.col("_at.b").alias("_cut_b"), F.col("_at.room").alias("_room"))
+    placed = join_on(rows, at, [label])
+    clear = placed.where(F.col("_b") != F.col("_cut_b")).withColumn("is_train", F.col("_b") < F.col("_cut_b"))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", key))
+    edge = placed.where(F.col("_b") == F.col("_cut_b")).withColumn("is_train", rank <= F.col("_room"))
+    return clear.unionByName(edge).drop("_h", "_b", "_cut_b", "_room")
 
 
 def standardise(train: DataFrame, rows: DataFrame, vector: str, out: str = "scaled") -> DataFrame:
-    """Centres and scales by the training mean and population deviation; a constant dimension becomes 0."""
-    as_vec = lambda df: df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
-    model = StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True).fit(as_vec(train))
-    n = train.count()
-    ratio = float(n / (n - 1)) ** 0.5 if n > 1 else 1.0
-    scaled = model.transform(as_vec(rows))
-    return scaled.withColumn(out, F.transform(vector_to_array("_s"), lambda x: x * ratio)).drop("_v", "_s")
+    """Centres and scales by the training mean and population deviation; a constant dimension becomes 0.
+
+    One pass over the training rows gives all three moments, a number per dimension each.
+    """
+    s = train.select(_vector(train, vector).alias("_v")).agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("s")).select(
+        vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("variance"), F.col("s.count").alias("n")).first()
+    shrink = (s.n - 1) / s.n if s.n > 1 else 1.0
+    factor = [1 / (v * shrink) ** 0.5 if v > 0 else 0.0 for v in s.variance]
+    values = F.col(vector).cast("array<double>") if not isinstance(rows.schema[vector].dataType, VectorUDT) else vector_to_array(vector)
+    centred = F.zip_with(values, F.lit([float(m) for m in s["mean"]]), lambda x, m: x - m)
+    return rows.withColumn(out, F.zip_with(centred, F.lit(factor), lambda x, f: x * f))
 
 
 def fit_classifier(train: DataFrame, vector: str, label: str, c: float = 1.0, max_iter: int = 1000) -> LogisticRegressionModel:

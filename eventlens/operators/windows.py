@@ -98,8 +98,11 @@ def bisection_tree(df: DataFrame, windows: str) -> DataFrame:
 
 
 def daily_counts(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """keys, month, days (map of day to count), total.  At most 31 entries per row."""
-    daily = df.groupBy(*keys, F.to_date(ts).alias("_day")).agg(F.count("*").alias("_n"))
+    """keys, month, days (map of day to count), total.  At most 31 entries per row.
+
+    Rows without a timestamp belong to no day and are left out (``check_inputs`` counts them).
+    """
+    daily = df.where(F.col(ts).isNotNull()).groupBy(*keys, F.to_date(ts).alias("_day")).agg(F.count("*").alias("_n"))
     return daily.groupBy(*keys, F.date_format("_day", "yyyy-MM").alias("month")).agg(
         F.map_from_entries(F.collect_list(F.struct("_day", "_n"))).alias("day_counts"), F.sum("_n").alias("total"))
 
@@ -123,6 +126,9 @@ def adaptive_windows(df: DataFrame, keys: list[str], ts: str, cap: int, today="9
 def draw_stats(obs: DataFrame, keys: list[str], draws: int = config.WINDOW_DRAWS) -> DataFrame:
     """Per window: the draws that count, their median (truncated), least and greatest.
 
+    ``keys`` must hold whatever identifies a request besides its dates, the query
+    text ``q`` included: draws of different queries are never mixed.
+
     A window whose first draw is exact needs only that draw; any other needs
     all ``draws``.  ``complete`` says whether the log holds what is needed.
     """
@@ -152,16 +158,25 @@ def month_estimate(windows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def estimate_months(obs: DataFrame, keys: list[str], today, cap: int = config.WINDOW_CAP,
-                    draws: int = config.WINDOW_DRAWS, inflate: float = config.WINDOW_INFLATE) -> DataFrame:
+                    draws: int = config.WINDOW_DRAWS, inflate: float = config.WINDOW_INFLATE,
+                    current_query: Column | None = None) -> DataFrame:
     """Monthly estimates replayed from a deduplicated observation log.
 
+    ``current_query`` is the query text of today, as a column of the log; calls
+    with another text don't count.  Without it there is one row per query text
+    (column ``q``, if the log has it).
+
     For each month the whole-month probe sizes the windows, any window whose
     first draw or median exceeds the cap is halved, and the windows left are
     summed.  ``complete`` is false, and the estimate null, when a draw that
     the replay needs is not in the log.  Two shuffles: one row per window, then
     the windows of a month (at most 496) into one row.
     """
-    stats = draw_stats(obs, keys, draws)
+    if current_query is None:
+        keys = [*keys, "q"] if "q" in obs.columns else keys
+    else:
+        obs = obs.where(F.col("q") == current_query)
+    stats = draw_stats(obs.where(F.col("start").isNotNull() & F.col("end").isNotNull()), keys, draws)
     packed = F.struct("first", "median", "lo", "hi", "n_draws", "complete")
     m = stats.groupBy(*keys, F.date_format("start", "yyyy-MM").alias("month")).agg(
         F.map_from_entries(F.collect_list(F.struct(_window(F.col("start"), F.col("end")).alias("k"), packed.alias("v")))).alias("seen"))

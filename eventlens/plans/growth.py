@@ -150,7 +150,11 @@ def growth_headline(spark, d):
     s = cumulative_orders(spark, d)
     now = G.fit_growth(s, [("lin", START, None)])
     then = G.fit_growth(s, [("lin", START, PAST)])
-    return G.headline(S.headline_counts(s, ["series_id"]), now, then, G.project(now, s))
+    return G.headline(S.headline_counts(s, ["series_id"]), now, then, G.project(now, s), G.project(then, s), _totals(s))
+
+
+def _totals(s):
+    return s.groupBy("month").agg(F.sum("y").alias("total"))
 
 
 # ---- checks of the uses, with parameters that SQL can derive ---------------
@@ -196,10 +200,14 @@ f AS (SELECT series_id, max(CASE WHEN model = 'logistic' THEN CAST(round_even(am
 SELECT h.*, round_even(ln(2) / 0.03, 2) AS doubling_now, round_even(ln(2) / 0.03, 2) AS doubling_then, logistic_ceiling, gompertz_ceiling,
        (SELECT month FROM cum c WHERE c.series_id = h.series_id AND t = 40) AS inflection_month,
        CAST(round_even(last_value / logistic_ceiling::DOUBLE * 100, 0) AS BIGINT) AS logistic_pct,
-       CAST(round_even(last_value / gompertz_ceiling::DOUBLE * 100, 0) AS BIGINT) AS gompertz_pct
+       CAST(round_even(last_value / gompertz_ceiling::DOUBLE * 100, 0) AS BIGINT) AS gompertz_pct,
+       (SELECT CAST(round_even(amp * exp(rate * h.last_full_t), 0) AS BIGINT) FROM given x
+        WHERE x.series_id = h.series_id AND space = 'lin' AND model = 'exponential') AS past_prediction,
+       round_even(last_value * 100.0::DOUBLE / (SELECT sum(y) FROM cum c WHERE c.month = h.last_full_month), 1) + 0.0 AS share_last_pct
 FROM h JOIN f USING (series_id)""")
 def headline_of_given_curves(spark, d):
     s = cumulative_orders(spark, d)
     params = given_parameters(s).where("space = 'lin'")
     fits = G.fit_quality(G.fit_points(s, [("lin", START, None)]), params)
-    return G.headline(S.headline_counts(s, ["series_id"]), fits, fits, G.project(params, s))
+    curves = G.project(params, s)
+    return G.headline(S.headline_counts(s, ["series_id"]), fits, fits, curves, curves, _totals(s))

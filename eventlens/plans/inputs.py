@@ -10,7 +10,7 @@ from eventlens.operators import growth as G
 from eventlens.plans.distribution import r6, rounded
 from eventlens.plans.growth import START, _GIVEN, cumulative_orders, given_parameters
 from eventlens.plans.registry import ORACLES, query
-from eventlens.plans.series import CAP, TODAY
+from eventlens.plans.series import CAP, TODAY, current_query
 from eventlens.plans.sqlbase import ORDER_PUSHES, SIZED_PUSHES, YM, YQ
 from eventlens.session import scratch_path
 from eventlens.sources import archive, sinks, tables
@@ -89,15 +89,19 @@ def fits_json_round_trip(spark, d):
 
 @query("streamed_month_estimates", "STR1", "SRC5", "SE6", sql=ORACLES["month_estimates"])
 def streamed_month_estimates(spark, d):
-    log, store = scratch_path(spark, "log"), scratch_path(spark, "observations")
-    observation_log(spark, d).repartition(6).write.json(log)
-    I.ingest_observations(spark, log, store, scratch_path(spark, "progress"), files_per_batch=3)
-    return I.ingested_estimates(spark, store, TODAY, cap=CAP)
+    """The result table after several batches, one of them after a restart."""
+    log, store, results, progress = (scratch_path(spark, n) for n in ("log", "observations", "months", "progress"))
+    rows = observation_log(spark, d)
+    first = F.col("draw") == 0
+    for some in (first, ~first):
+        rows.where(some).repartition(4).write.mode("append").json(log)
+        I.ingest_observations(spark, log, store, results, progress, TODAY, files_per_batch=3, cap=CAP, current_query=current_query())
+    return I.latest_results(spark, results)
 
 
 @query("streamed_tool_monthly", "STR2", "AG4", sql=ORACLES["tool_monthly"])
 def streamed_tool_monthly(spark, d):
-    docs = spark.readStream.schema(_DOC_SCHEMA).option("pathGlobFilter", "documents*.parquet").parquet(d)
-    store = scratch_path(spark, "identities")
-    I.ingest_archive(document_pushes(docs), store, scratch_path(spark, "progress"))
-    return I.ingested_tool_monthly(spark, store)
+    docs = spark.readStream.schema(_DOC_SCHEMA).option("pathGlobFilter", "documents*.parquet").option("maxFilesPerTrigger", 50).parquet(d)
+    store, results = scratch_path(spark, "identities"), scratch_path(spark, "tool-months")
+    I.ingest_archive(spark, document_pushes(docs), store, results, scratch_path(spark, "progress"))
+    return I.ingested_tool_monthly(spark, results)

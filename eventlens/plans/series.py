@@ -172,13 +172,18 @@ def latest_observations(spark, d):
 
 
 @query("window_draws", "SE5", "AG16", sql=f"""WITH RECURSIVE {_TREE}
-SELECT tool, start, "end", exact, first, n_draws, median, lo, hi, true AS complete FROM stat""")
+SELECT tool, 'priority:' || tool AS q, start, "end", exact, first, n_draws, median, lo, hi, true AS complete FROM stat""")
 def window_draws(spark, d):
-    return W.draw_stats(dedupe_observations(observation_log(spark, d)), ["tool"])
+    return W.draw_stats(dedupe_observations(observation_log(spark, d)), ["tool", "q"])
+
+
+def current_query():
+    """Query text of each tool today."""
+    return F.concat(F.lit("priority:"), F.col("tool"))
 
 
 def _estimates(spark, d):
-    return W.estimate_months(dedupe_observations(observation_log(spark, d)), ["tool"], TODAY, CAP)
+    return W.estimate_months(dedupe_observations(observation_log(spark, d)), ["tool"], TODAY, CAP, current_query=current_query())
 
 
 @query("month_estimates", "SE6", "AG16", "AG17", "SE5", sql=f"""WITH RECURSIVE {_ESTIMATES}
@@ -188,12 +193,15 @@ def month_estimates(spark, d):
 
 
 @query("planned_month_estimates", "AG17", "AG16", sql=f"""WITH RECURSIVE {_TREE}
-SELECT tool, strftime(start, '%Y-%m') AS month, sum(median)::BIGINT AS estimate, sum(lo)::BIGINT AS lo, sum(hi)::BIGINT AS hi, count(*) AS n_windows
-FROM stat WHERE start = "end" GROUP BY 1, 2""")
+SELECT p.tool, p.month, sum(s.median)::BIGINT AS estimate, sum(s.lo)::BIGINT AS lo, sum(s.hi)::BIGINT AS hi, count(*) AS n_windows
+FROM planned p JOIN stat s USING (tool, start, "end") GROUP BY 1, 2""")
 def planned_month_estimates(spark, d):
-    """Estimates from the single-day windows alone."""
-    stats = W.draw_stats(dedupe_observations(observation_log(spark, d)), ["tool"])
-    return W.month_estimate(stats.where(F.col("start") == F.col("end")), ["tool"])
+    """Estimates from the windows that the whole-month probe plans, without bisection."""
+    stats = W.draw_stats(dedupe_observations(observation_log(spark, d)), ["tool", "q"]).where(F.col("q") == current_query())
+    months = stats.select("tool", F.date_format("start", "yyyy-MM").alias("month")).distinct()
+    bounds = W.month_bounds(months, "month", TODAY).join(stats.select("tool", "start", "end", F.col("first").alias("probe")), ["tool", "start", "end"])
+    plan = W.plan_windows(bounds, "probe", CAP).select("tool", F.explode("windows").alias("w")).select("tool", "w.start", "w.end")
+    return W.month_estimate(plan.join(stats, ["tool", "start", "end"]), ["tool"])
 
 
 @query("upserted_months", "SNK1", "SO2", "W6", sql="""
@@ -299,6 +307,33 @@ def tool_matrix(spark, d):
     return S.tool_matrix(c, ["tool"], "y", span.a, span.b)
 
 
+_LISTED = [*TOOLS, "6-NONE"]
+
+
+@query("listed_tool_matrix", "SE9", "J3", sql=f"""
+WITH c AS (SELECT o_orderpriority AS tool, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS y FROM orders WHERE o_orderpriority <> '3-MEDIUM' GROUP BY 1, 2),
+t AS (SELECT unnest([{', '.join(repr(t) for t in _LISTED)}]) AS tool),
+g AS (SELECT tool, strftime(unnest(generate_series(TIMESTAMP '1995-11-01', TIMESTAMP '2001-02-01', INTERVAL 1 MONTH)), '%Y-%m') AS month FROM t)
+SELECT tool, month, y FROM g LEFT JOIN c USING (tool, month)""")
+def listed_tool_matrix(spark, d):
+    """All listed tools, two of them without a row."""
+    c = table(spark, d, "orders").where("o_orderpriority <> '3-MEDIUM'").groupBy(
+        F.col("o_orderpriority").alias("tool"), F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("y"))
+    return S.tool_matrix(c, ["tool"], "y", "1995-11", "2001-02", listed=_LISTED)
+
+
+@query("filled_months", "J4", "SE8", sql=f"""WITH RECURSIVE {_ESTIMATES},
+exact AS (SELECT o_orderpriority AS tool, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS y FROM orders
+          WHERE o_orderdate < TIMESTAMP '1999-07-01' AND month(o_orderdate) <> 3 GROUP BY 1, 2)
+SELECT tool, month, y, 'exact' AS source FROM exact
+UNION ALL SELECT tool, month, estimate, 'estimate' FROM estimates ANTI JOIN exact USING (tool, month)""")
+def filled_months(spark, d):
+    """Month by month: estimates fill what the exact counts lack, gaps in between included."""
+    exact = exact_counts(spark, d).where(~F.col("month").endswith("-03")).select("tool", "month", F.col("value").alias("y"), F.lit("exact").alias("source"))
+    other = _estimates(spark, d).select("tool", "month", F.col("estimate").alias("y"), F.lit("estimate").alias("source"))
+    return S.stitch_series(exact, other, ["tool"], by_month=True)
+
+
 @query("pivoted_series", "AG13", sql=f"""
 SELECT strftime(o_orderdate, '%Y-%m') AS month,
   {', '.join(f"count(*) FILTER (o_orderpriority = '{t}') AS n_{t[0]}, max(o_totalprice) FILTER (o_orderpriority = '{t}') AS top_{t[0]}" for t in TOOLS)}
@@ -373,11 +408,32 @@ def quarterly_dates(spark, d):
     return quarter_date(size_distribution(order_archive(spark, d, with_size=True)).select("year", "quarter", "total_push_events"))
 
 
-@query("input_check", "SRC7", sql="""
-SELECT 'orders' AS input, count(*) AS n_rows, count(*) > 0 AS present, strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') AS first,
-       strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS last, count(*) FILTER (o_orderkey IS NULL OR o_custkey IS NULL) AS n_null_rows FROM orders
-UNION ALL SELECT 'documents', count(*), count(*) > 0, NULL, NULL, count(*) FILTER (doc_id IS NULL OR text IS NULL OR lang IS NULL) FROM documents""")
+# input: its time column and all its columns
+_CHECKED = {
+    "region": (None, "r_regionkey r_name"),
+    "nation": (None, "n_nationkey n_name n_regionkey"),
+    "customer": (None, "c_custkey c_name c_nationkey c_acctbal c_mktsegment"),
+    "supplier": (None, "s_suppkey s_name s_nationkey s_acctbal"),
+    "part": (None, "p_partkey p_name p_brand p_type p_size p_retailprice"),
+    "orders": ("o_orderdate", "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority"),
+    "lineitem": ("l_shipdate", "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate"),
+    "events": ("ts", "event_id ts user_id event_type value props"),
+    "documents": (None, "doc_id text lang source n_chars"),
+    "embeddings": (None, "vec_id embedding label"),
+    "pages": (None, "page_id url html"),
+    "benchmark": (None, "item_id text"),
+    "labels": (None, "doc_id quality toxic"),
+    "conversations": (None, "conv_id turn role text"),
+}
+
+
+def _check_sql(name: str, ts: str | None, columns: str) -> str:
+    edge = lambda f: f"CAST({f}({ts}) AS VARCHAR)" if ts else "NULL"
+    return f"""SELECT '{name}' AS input, count(*) AS n_rows, count(*) > 0 AS present, {edge('min')} AS first, {edge('max')} AS last,
+       count(*) FILTER ({' OR '.join(f'{c} IS NULL' for c in columns.split())}) AS n_null_rows FROM {name}"""
+
+
+@query("input_check", "SRC7", sql="\nUNION ALL ".join(_check_sql(n, *x) for n, x in _CHECKED.items()))
 def input_check(spark, d):
-    return check_inputs({
-        "orders": (table(spark, d, "orders"), "o_orderdate"),
-        "documents": (table(spark, d, "documents").select("doc_id", "text", "lang"), None)})
+    """All tables with all their columns."""
+    return check_inputs({n: (table(spark, d, n), ts) for n, (ts, _) in _CHECKED.items()})

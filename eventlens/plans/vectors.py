@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from eventlens import config
@@ -126,7 +127,8 @@ def stacked_eras(spark, d):
 @query("message_vectors", "ML1")
 def message_vectors(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return V.vectorise(docs, "text").drop("text")
+    out = V.vectorise(docs, "text").drop("text")
+    return out.withColumn("vector", vector_to_array("vector"))
 
 
 @query("message_vector_drift", "ML1", "ML2", "ML3")

@@ -2,8 +2,9 @@
 
 Each micro-batch is reduced to a mergeable form and written under its batch
 number, overwriting whatever a failed attempt left there, so a restart repeats
-no work and loses none.  Readers merge the batches; the merged result equals the
-batch computation over all files.
+no work and loses none.  A batch then brings the result table up to date for the
+months that it touches; every version of that table is written next to the
+one before, so a failed write loses nothing.
 """
 
 from __future__ import annotations
@@ -15,22 +16,20 @@ from pyspark.sql import functions as F
 
 from eventlens.operators import windows as W
 from eventlens.operators.attribution import identity_counts, labelled_commits, year_month
+from eventlens.sources.sinks import write_upsert
 from eventlens.sources.tables import OBSERVATION_SCHEMA, dedupe_observations
 
 
-def consume_available(stream: DataFrame, store: str, checkpoint: str, reduce: Callable[[DataFrame], DataFrame]) -> None:
-    """Process every file not seen before, then stop."""
-
-    def put(batch: DataFrame, batch_id: int) -> None:
-        reduce(batch).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-
+def consume_available(stream: DataFrame, put: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Hand every file not seen before to ``put``, in batches, then stop."""
     q = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
-def compact(spark: SparkSession, store: str, target: str, merge: Callable[[DataFrame], DataFrame]) -> None:
+def compact(spark: SparkSession, store: str, target: str, merge: Callable[[DataFrame], DataFrame], partition_by: list[str] = ()) -> None:
     """Fold all batches of a store into one, written to a new store."""
-    merge(spark.read.parquet(store).drop("batch")).write.mode("overwrite").parquet(f"{target}/batch=0")
+    folded = merge(spark.read.parquet(store).drop("batch")).withColumn("batch", F.lit(0))
+    folded.write.mode("overwrite").partitionBy(*partition_by, "batch").parquet(target)
 
 
 # ---- observation log -------------------------------------------------------
@@ -42,14 +41,34 @@ def observation_stream(spark: SparkSession, path: str, files_per_batch: int = 10
     )
 
 
-def ingest_observations(spark: SparkSession, path: str, store: str, checkpoint: str, files_per_batch: int = 100) -> None:
-    """Keep the last record per key of each batch; keys repeated across batches are settled on read."""
-    consume_available(observation_stream(spark, path, files_per_batch), store, checkpoint, dedupe_observations)
+def _upsert(spark: SparkSession, new: DataFrame, results: str, batch_id: int, keys: list[str]) -> None:
+    """The result table after a batch: its rows replace those of the same key in the table after the batch before."""
+    previous = f"{results}/batch={batch_id - 1}" if batch_id else None
+    write_upsert(spark, new.withColumn("version", F.lit(batch_id).cast("long")), f"{results}/batch={batch_id}", previous, keys, "version")
 
 
-def ingested_estimates(spark: SparkSession, store: str, today, **kw) -> DataFrame:
-    obs = dedupe_observations(spark.read.parquet(store).drop("batch"))
-    return W.estimate_months(obs, ["tool"], today, **kw)
+def latest_results(spark: SparkSession, results: str) -> DataFrame:
+    rows = spark.read.parquet(results)
+    last = rows.agg(F.max("batch")).first()[0]
+    return rows.where(F.col("batch") == last).drop("batch", "version")
+
+
+def ingest_observations(spark: SparkSession, path: str, store: str, results: str, checkpoint: str, today,
+                        files_per_batch: int = 100, **estimate) -> None:
+    """Keep the last record per key of each batch, and estimate anew the (tool, month)s that it touches.
+
+    Keys repeated across batches are settled on read.  ``estimate`` goes to ``estimate_months``.
+    """
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        dedupe_observations(batch).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        month = F.date_format("start", "yyyy-MM").alias("month")
+        seen = spark.read.parquet(store)
+        touched = seen.where(F.col("batch") == batch_id).select("tool", month).distinct()
+        obs = seen.drop("batch").withColumn("month", month).join(touched, ["tool", "month"], "left_semi").drop("month")
+        _upsert(spark, W.estimate_months(dedupe_observations(obs), ["tool"], today, **estimate), results, batch_id, ["tool", "month"])
+
+    consume_available(observation_stream(spark, path, files_per_batch), put, checkpoint)
 
 
 # ---- attributed counts -----------------------------------------------------
@@ -65,20 +84,39 @@ def merge_identities(counts: DataFrame) -> DataFrame:
     return counts.groupBy(*_KEYS).agg(F.sum("commits").alias("commits"))
 
 
-def ingest_archive(stream: DataFrame, store: str, checkpoint: str) -> None:
-    consume_available(stream, store, checkpoint, count_identities)
+def tool_counts(identities: DataFrame) -> DataFrame:
+    return identities.groupBy("year", "month", "tool").agg(
+        F.sum("commits").alias("commits"),
+        F.countDistinct("repo_name").alias("distinct_repos"),
+        F.countDistinct("login").alias("distinct_developers"),
+    )
+
+
+def ingest_archive(spark: SparkSession, stream: DataFrame, store: str, results: str, checkpoint: str) -> None:
+    """Identity counts by month directory, and the counts of the months that a batch touches.
+
+    Only the directories of those months are read again.  The stream's own
+    ``maxFilesPerTrigger`` bounds a batch.
+    """
 
+    def put(batch: DataFrame, batch_id: int) -> None:
+        new = count_identities(batch).withColumn("batch", F.lit(batch_id))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month", "batch").parquet(store)
+        rows = spark.read.parquet(store)
+        # at most one row per calendar month
+        touched = rows.where(F.col("batch") == batch_id).select("year", "month").distinct()
+        again = rows.join(F.broadcast(touched), ["year", "month"], "left_semi").drop("batch")
+        _upsert(spark, tool_counts(again), results, batch_id, ["year", "month", "tool"])
 
-def ingested_tool_monthly(spark: SparkSession, store: str, months: list[tuple[int, int]] | None = None) -> DataFrame:
-    """Counts per month and tool over everything ingested, or over touched months only."""
-    rows = spark.read.parquet(store)
+    consume_available(stream, put, checkpoint)
+
+
+def ingested_tool_monthly(spark: SparkSession, results: str, months: list[tuple[int, int]] | None = None) -> DataFrame:
+    """Counts per month and tool over everything ingested, or those of some months."""
+    rows = latest_results(spark, results)
     if months is not None:
         wanted = F.lit(False)
         for y, m in months:
             wanted = wanted | ((F.col("year") == y) & (F.col("month") == m))
         rows = rows.where(wanted)
-    return rows.groupBy("year", "month", "tool").agg(
-        F.sum("commits").alias("commits"),
-        F.countDistinct("repo_name").alias("distinct_repos"),
-        F.countDistinct("login").alias("distinct_developers"),
-    ).orderBy("year", "month", F.desc("commits"), "tool")
+    return rows.orderBy("year", "month", F.desc("commits"), "tool")

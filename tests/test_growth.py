@@ -76,13 +76,15 @@ def test_sensitivity(series):
     assert s.ceiling_min == pytest.approx(11490726, rel=1e-3) and s.ceiling_max == pytest.approx(105657393, rel=1e-3)
 
 
-def test_headline(series, full):
+def test_headline(spark, series, full):
     counts = S.headline_counts(series, ["series_id"])
     past = G.fit_growth(series, [("lin", "2025-02", "2026-03")])
-    r = G.headline(counts, full, past, G.project(full, series)).first()
+    totals = spark.createDataFrame([("2026-07", 40_000_000), ("2026-06", 1)], "month string, total long")
+    r = G.headline(counts, full, past, G.project(full, series), G.project(past, series), totals).first()
     assert (r.last_full_month, r.last_value, r.mom_pct, r.growth_multiple, r.cumulative) == ("2026-07", 19804129, 14, 825172, 96418643)
     assert (r.doubling_now, r.doubling_then, r.inflection_month) == (2.62, 1.22, "2026-04")
     assert r.logistic_pct == 88 and r.gompertz_pct == 67
+    assert r.past_prediction == pytest.approx(98478304, rel=1e-3) and r.share_last_pct == pytest.approx(49.5)
 
 
 def test_projection_axis(series, full):
@@ -97,3 +99,11 @@ def test_too_short_series_fails_softly(spark):
     rows = {r.model: r for r in G.fit_growth(df, [("lin", "2025-01", None)]).collect()}
     assert rows["logistic"].error and rows["logistic"].aic is None
     assert rows["exponential"].error is None
+
+
+def test_a_zero_month_only_stops_logarithms(spark):
+    rows = [("s", f"2025-{m:02d}", m - 1, 0 if m == 1 else 2 ** m, False, 0.1) for m in range(1, 9)]
+    s = spark.createDataFrame(rows, "series_id string, month string, t long, y long, partial boolean, sigma double")
+    fits = G.fit_growth(s, [("lin", "2025-01", None), ("log", "2025-01", None)]).collect()
+    assert {(r.space, r.error is None) for r in fits} == {("lin", True), ("log", False)}
+    assert [r.doubling_months for r in fits if r.space == "lin" and r.model == "exponential"] == [pytest.approx(1, rel=0.01)]

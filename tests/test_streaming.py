@@ -21,33 +21,45 @@ def test_tool_counts_equal_batch(spark):
 
 def test_archive_ingest_resumes(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    src, store, ckpt = (str(tmp_path / n) for n in ("src", "store", "ckpt"))
+    src, store, out, ckpt = (str(tmp_path / n) for n in ("src", "store", "out", "ckpt"))
     schema = docs.schema
     stream = lambda: document_pushes(spark.readStream.schema(schema).parquet(src))
     for lo in (0, 1):
         docs.where(f"doc_id % 2 = {lo}").write.mode("append").parquet(src)
-        I.ingest_archive(stream(), store, ckpt)
-        I.ingest_archive(stream(), store, ckpt)  # nothing new: no batch
+        I.ingest_archive(spark, stream(), store, out, ckpt)
+        I.ingest_archive(spark, stream(), store, out, ckpt)  # nothing new: no batch
     expected = rows(A.tool_monthly(document_archive(spark, SF)))
-    assert rows(I.ingested_tool_monthly(spark, store)) == expected
+    assert rows(I.ingested_tool_monthly(spark, out)) == expected
     compacted = str(tmp_path / "compacted")
-    I.compact(spark, store, compacted, I.merge_identities)
-    assert rows(I.ingested_tool_monthly(spark, compacted)) == expected
-    one = I.ingested_tool_monthly(spark, store, months=[(2025, 3)]).collect()
+    I.compact(spark, store, compacted, I.merge_identities, ["year", "month"])
+    assert rows(I.tool_counts(spark.read.parquet(compacted))) == expected
+    one = I.ingested_tool_monthly(spark, out, months=[(2025, 3)]).collect()
     assert one and all((r.year, r.month) == (2025, 3) for r in one)
 
 
+def test_only_touched_months_are_written_again(spark, tmp_path):
+    src, store, out, ckpt = (str(tmp_path / n) for n in ("src", "store", "out", "ckpt"))
+    schema = "created_at timestamp_ntz, type string, login string, repo_name string, payload string"
+    push = lambda day, login: (day, "PushEvent", login, "r", '{"commits":[{"sha":"1","message":"Generated with Claude Code","author":{"name":"n","email":"e"}}]}')
+    for rows_ in ([push("2025-01-03", "a"), push("2025-02-03", "a")], [push("2025-02-04", "b")]):
+        data = spark.createDataFrame(rows_, "created_at string, type string, login string, repo_name string, payload string")
+        data.withColumn("created_at", data.created_at.cast("timestamp_ntz")).write.mode("append").parquet(src)
+        I.ingest_archive(spark, spark.readStream.schema(schema).parquet(src), store, out, ckpt)
+    got = {(r.month, r.version): (r.commits, r.distinct_developers) for r in spark.read.parquet(f"{out}/batch=1").collect()}
+    assert got == {(1, 0): (1, 1), (2, 1): (2, 2)}
+
+
 def test_observation_ingest_settles_duplicates(spark, tmp_path):
     src = tmp_path / "log"
     src.mkdir()
-    store, ckpt = str(tmp_path / "store"), str(tmp_path / "ckpt")
+    store, out, ckpt = (str(tmp_path / n) for n in ("store", "out", "ckpt"))
     rec = lambda ts, draw, n: json.dumps({
         "ts": f"2026-03-01T00:00:{ts:02d}Z", "tool": "aider", "q": "q", "start": "2026-02-01", "end": "2026-02-28",
         "draw": draw, "total_count": n, "incomplete_results": True})
     (src / "a.jsonl").write_text("\n\n".join([rec(1, 0, 1), rec(2, 1, 6401), rec(3, 0, 6400)]))
-    I.ingest_observations(spark, str(src), store, ckpt)
-    assert I.ingested_estimates(spark, store, "2026-08-16").first().complete is False
+    I.ingest_observations(spark, str(src), store, out, ckpt, "2026-08-16")
+    assert I.latest_results(spark, out).first().complete is False
     (src / "b.jsonl").write_text("\n".join([rec(5, 2, 6402), rec(0, 1, 9)]))  # a late, older duplicate
-    I.ingest_observations(spark, str(src), store, ckpt)
-    r = I.ingested_estimates(spark, store, "2026-08-16").first()
+    I.ingest_observations(spark, str(src), store, out, ckpt, "2026-08-16")
+    r = I.latest_results(spark, out).first()
     assert r.complete and (r.estimate, r.lo, r.hi) == (6401, 6400, 6402)

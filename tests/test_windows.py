@@ -166,3 +166,38 @@ def test_upsert_newer_wins(spark):
     new = spark.createDataFrame([("claude", "2026-02", 200, 2), ("jules", "2026-02", 5, 2)], schema)
     got = {r.tool: r.estimate for r in S.upsert_latest(old, new, ["tool", "month"]).collect()}
     assert got == {"claude": 200, "jules": 5}
+
+
+def test_draws_of_different_queries_are_not_mixed(spark):
+    obs = spark.createDataFrame(
+        [("aider", q, D(2026, 2, 1), D(2026, 2, 28), i, n, True) for q, n in (("old", 900), ("new", 100)) for i in range(3)],
+        "tool string, q string, start date, end date, draw int, total_count long, incomplete_results boolean")
+    both = {r.q: r.estimate for r in W.estimate_months(obs, ["tool"], "2026-08-16").collect()}
+    assert both == {"old": 900, "new": 100}
+    one = W.estimate_months(obs, ["tool"], "2026-08-16", current_query=F.lit("new")).collect()
+    assert [(r.tool, r.estimate) for r in one] == [("aider", 100)]
+
+
+def test_rows_without_a_time_are_left_out(spark):
+    ts = spark.createDataFrame([("a", "2026-02-03"), ("a", None)], "tool string, day string").selectExpr("tool", "CAST(day AS TIMESTAMP) AS ts")
+    assert [r.n for r in W.adaptive_windows(ts, ["tool"], "ts", 5).collect()] == [1]
+    m = spark.createDataFrame([("a", "2026-02", 5), ("a", None, 6), ("z", "2026-02", 7)], "tool string, month string, y long")
+    got = {(r.tool, r.month): r.y for r in S.tool_matrix(m, ["tool"], "y", "2026-01", "2026-02", listed=["a", "b"]).collect()}
+    assert got == {("a", "2026-01"): None, ("a", "2026-02"): 5, ("b", "2026-01"): None, ("b", "2026-02"): None}
+
+
+def test_repeated_rows_of_a_total_are_an_error(spark):
+    df = spark.createDataFrame([("a", "2026-02", 100, 100, 100, False), ("a", "2026-02", 100, 100, 100, False), ("b", "2026-02", 10, 10, 10, False)],
+                               "tool string, month string, estimate long, lo long, hi long, partial boolean")
+    assert S.complete_total(df.dropDuplicates(), ["a", "b"]).first().estimate == 110
+    with pytest.raises(Exception, match="more than one row"):
+        S.complete_total(df, ["a", "b"]).collect()
+
+
+def test_stitching_by_the_last_month_or_month_by_month(spark):
+    exact = spark.createDataFrame([("a", "2026-01", 1), ("a", "2026-03", 3), ("b", "2026-01", 1)], "tool string, month string, y long")
+    other = spark.createDataFrame([(t, f"2026-0{i}", 10 * i) for t in "ab" for i in range(1, 5)], "tool string, month string, y long")
+    rows = lambda by: sorted((r.tool, r.month, r.y) for r in S.stitch_series(exact, other, ["tool"], by_month=by).collect())
+    assert rows(False) == [("a", "2026-01", 1), ("a", "2026-03", 3), ("a", "2026-04", 40), ("b", "2026-01", 1), ("b", "2026-04", 40)]
+    assert rows(True) == [("a", "2026-01", 1), ("a", "2026-02", 20), ("a", "2026-03", 3), ("a", "2026-04", 40),
+                          ("b", "2026-01", 1), ("b", "2026-02", 20), ("b", "2026-03", 30), ("b", "2026-04", 40)]
