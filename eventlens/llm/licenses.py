@@ -1,8 +1,8 @@
 """License scans in DataFrame operations only: notices by TF-IDF cosine to templates, then inheritance by directory.
 
 Every line of a file is a possible notice (a header or the body of a license file).  A line whose cosine to a
-template reaches the threshold must hold one of the template's heaviest tokens, those without which the rest is too
-light; lines without any such token are skipped, which loses nothing.  A file without a notice of its own takes the
+template reaches the threshold must hold one of the tokens without which the template's others are too light; lines
+without any such token are skipped.  So are lines that share too small a part of every template.  Neither loses a match.  A file without a notice of its own takes the
 license of the nearest directory above it that has a license file with a notice: each directory is joined to its
 ancestors by path, then files to their directories.
 """
@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.llm.common import ascii_lower, query, table, text_or_empty
+from eventlens.session import materialise
 
 THRESHOLD = 0.6
 #: Short notices of common licenses.
@@ -37,6 +39,10 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 LICENSE_FILES = ("LICENSE", "LICENCE", "COPYING", "LICENSE.txt", "LICENCE.txt", "LICENSE.md", "COPYING.txt")
+#: Common English words, the commonest first: where a choice is free, these are the tokens not asked for.
+COMMON_WORDS = (
+    "the of and to in a is that for it as with on be by are this or from at an was not have which you were all their there use no any into"
+).split()
 TOKEN = "[a-z0-9]+"
 _MAX_TEMPLATES = 2000
 
@@ -55,40 +61,59 @@ class _Weights:
         for number, ((name, _), ts) in enumerate(zip(templates, tokens)):
             vector = {t: ts.count(t) * self.idf[t] for t in set(ts)}
             norm = math.sqrt(sum(v * v for v in vector.values()))
-            left = 1.0
-            for t, v in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
+            # tokens that a match can do without: as many common ones as stay under the threshold together
+            spare = threshold**2 * (1 - 1e-9)
+            rank = {t: COMMON_WORDS.index(t) if t in COMMON_WORDS else len(COMMON_WORDS) for t in vector}
+            for t, v in sorted(vector.items(), key=lambda x: (rank[x[0]], x[1], x[0])):
                 self.rows.append((number, name, t, v / norm))
-                if math.sqrt(max(left, 0.0)) >= threshold - 1e-9:
+                if (v / norm) ** 2 < spare:
+                    spare -= (v / norm) ** 2
+                else:
                     self.needed.add(t)
-                left -= (v / norm) ** 2
 
     def pattern(self) -> str:
         return "(?i)(?<![a-z0-9])(?:" + "|".join(sorted(self.needed)) + ")(?![a-z0-9])"
 
+    def shared(self, present: Column) -> Column:
+        """The largest part of a template's square that the tokens of an array make up."""
+        parts = []
+        for number in dict.fromkeys(n for n, *_ in self.rows):
+            own = [F.when(F.array_contains(present, t), F.lit(w * w)).otherwise(F.lit(0.0)) for n, _, t, w in self.rows if n == number]
+            parts.append(reduce(lambda a, b: a + b, own))
+        return F.greatest(*parts) if len(parts) > 1 else parts[0]
+
     def frame(self, spark: SparkSession) -> DataFrame:
-        values = ", ".join(f"({n}, '{name}', '{t}', {w!r}D)" for n, name, t, w in self.rows)
-        return spark.sql(f"SELECT * FROM VALUES {values} AS t(template, license, token, weight)")
+        values = ", ".join(f"({n}, '{name}', '{t}', {w!r}D, {self.idf[t]!r}D)" for n, name, t, w in self.rows)
+        return spark.sql(f"SELECT * FROM VALUES {values} AS t(template, license, token, weight, idf)")
 
 
 def notices(files: DataFrame, text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(text_hash, license, score): the best notice of each text that has one (highest score, then license)."""
     spark, weights = files.sparkSession, _Weights(templates, threshold)
     idf = F.create_map(*[F.lit(x) for pair in weights.idf.items() for x in pair])
+    known = F.array(*[F.lit(t) for t in weights.idf])
     lines = (
         files.where(F.col(text_col).rlike(weights.pattern()))
         .select(F.xxhash64(text_col).alias("text_hash"), F.monotonically_increasing_id().alias("row"),
                 F.posexplode(F.split(text_col, "\n")).alias("line", "content"))
         .where(F.col("content").rlike(weights.pattern()))
+        .withColumn("tokens", F.regexp_extract_all(ascii_lower(F.col("content")), F.lit(TOKEN), F.lit(0)))
+        # behind a generator, so that the filter doesn't repeat it
+        .select("text_hash", "row", "line", "tokens", F.explode(F.array(F.array_intersect("tokens", known))).alias("present"))
+        .where(weights.shared(F.col("present")) >= F.lit(threshold**2 * (1 - 1e-6)))
     )
-    tokens = (
-        lines.select("text_hash", "row", "line", F.explode(F.regexp_extract_all(ascii_lower(F.col("content")), F.lit(TOKEN), F.lit(0))).alias("token"))
-        .groupBy("text_hash", "row", "line", "token").agg(F.count("*").alias("n"))
-        .withColumn("own", F.col("n") * F.coalesce(F.try_element_at(idf, F.col("token")), F.lit(weights.unknown)))
-        .withColumn("norm2", F.sum(F.col("own") * F.col("own")).over(Window.partitionBy("text_hash", "row", "line")))
-    )
+    # a line's length: known tokens by their inverse frequency, all others by that of an unknown token
+    times = lambda t: F.size("tokens") - F.size(F.array_remove("tokens", t))
+    square = lambda x: F.pow(x, F.lit(2.0))
+    counted = lines.withColumns({
+        "shared": F.transform("present", lambda t: F.struct(t.alias("token"), times(t).alias("n"))),
+        "others2": F.aggregate(F.array_except("tokens", known), F.lit(0.0), lambda total, t: total + square(times(t))),
+    })
+    known2 = F.aggregate("shared", F.lit(0.0), lambda total, s: total + square(s["n"] * F.element_at(idf, s["token"])))
+    tokens = counted.select("text_hash", "row", "line", F.sqrt(known2 + F.col("others2") * weights.unknown**2).alias("norm"), F.inline("shared"))
     scores = (
-        tokens.join(weights.frame(spark), "token").groupBy("text_hash", "row", "line", "template", "license")
-        .agg((F.sum(F.col("own") * F.col("weight")) / F.sqrt(F.max("norm2"))).alias("score"))
+        tokens.join(weights.frame(spark), "token").groupBy("text_hash", "row", "line", "norm", "template", "license")
+        .agg((F.sum(F.col("n") * F.col("idf") * F.col("weight")) / F.col("norm")).alias("score"))
     )
     scored = scores.withColumn("score", F.round("score", 6)).where(F.col("score") >= threshold)
     best = F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best")
@@ -110,7 +135,8 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     """
     added = ["header_license", "header_score", "inherited_license", "inherited_from", "license"]
     own = files.drop(*added)
-    found = notices(own, text_col, templates, threshold).select(
+    # read twice below, found once: one row per distinct text with a notice
+    found = materialise(notices(own, text_col, templates, threshold)).select(
         F.col("text_hash").alias("_hash"), F.col("license").alias("header_license"), F.col("score").alias("header_score"))
     marked = (
         own.withColumn("_hash", F.xxhash64(text_col)).withColumn("_directory", _directory(F.col(path_col)))
