@@ -93,10 +93,10 @@ TEAM_DEFAULT = "large_org"
 ERA_CUT = "2022-11-01"
 NEAR_DAYS = 90
 SEPARABILITY = [
-    (0.8, "HIGH separability (AUC > 0.8): commit messages changed significantly"),
-    (0.6, "MODERATE separability (0.6-0.8): some detectable change in messages"),
+    (0.8, "HIGH: the eras are easy to tell apart"),
+    (0.6, "MODERATE: the eras differ somewhat"),
 ]
-SEPARABILITY_DEFAULT = "LOW separability (AUC < 0.6): messages haven't changed much"
+SEPARABILITY_DEFAULT = "LOW: the eras look alike"
 
 # --- changepoints -----------------------------------------------------------
 BREAK_PENALTY = 3.0

@@ -166,3 +166,12 @@ def test_one_huge_size_does_not_overflow(spark):
     close = [4_000_000_000 + x for x in (0, 1, 2)]
     r = size_distribution(frame(spark, [push(None, size=s, when=day) for s in close])).first()
     assert r.stddev_commits_per_push == pytest.approx(1.0)
+
+
+def test_dollar_is_the_end_of_the_text(spark):
+    from eventlens.functions.regex import from_re2, re2_match
+
+    df = spark.createDataFrame([("ab",), ("ab\n",), ("a$",)], "s string")
+    assert [r[0] for r in df.select(re2_match(F.col("s"), "b$")).collect()] == [True, False, False]
+    assert [r[0] for r in df.select(re2_match(F.col("s"), r"[$]|a\$")).collect()] == [False, False, True]
+    assert from_re2(r"\\$") == r"(?d)\\\z"
