@@ -135,7 +135,8 @@ def _character_table() -> dict[int, str]:
 
 
 _CHARACTERS = _character_table()
-_ODD = re.compile("[" + "".join(map(re.escape, map(chr, sorted(_CHARACTERS)))) + "]")
+#: Characters that may be in the table; letters of Latin scripts are not, so most texts are passed over quickly.
+_ODD = re.compile("[\xa0\xad\xb7\u0300-\U0010ffff]")
 _WORD_DIGIT = "(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + ")"
 #: Seven spelled digits or more, possibly among written ones; "plus" before them counts.
 _SPELLED_RUN = re.compile(
@@ -234,7 +235,7 @@ def normalise(text: str) -> Normalised | None:
         return None
     n = Normalised.of(text)
     if odd:
-        n = n.rewritten([(m.start(), m.end(), _CHARACTERS[ord(m.group())]) for m in _ODD.finditer(n.text)])
+        n = n.rewritten([(m.start(), m.end(), _CHARACTERS[ord(m.group())]) for m in _ODD.finditer(n.text) if ord(m.group()) in _CHARACTERS])
     if mark or odd:
         edits = [(m.start(), m.end(), "@") for m in _MARKED_AT.finditer(n.text)] + [(m.start(), m.end(), ".") for m in _MARKED_DOT.finditer(n.text)]
         last, apart = -1, []
