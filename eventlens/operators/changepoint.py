@@ -12,6 +12,39 @@ from eventlens import config
 from eventlens.session import spread_groups
 
 
+def _pair_value(s: np.ndarray, k: int) -> float:
+    """The k-th smallest difference (from 1) between two of the sorted values, without forming the pairs.
+
+    Halves the range of doubles between 0 and the largest difference until one
+    is left; differences up to a bound are counted by binary search.
+    """
+    at = np.arange(len(s))
+
+    def count(v: float) -> int:
+        upto = np.searchsorted(s, s + v, side="right")
+        # the sum may be rounded past or short of a value: go by the differences themselves
+        while (more := (upto < len(s)) & (s[np.minimum(upto, len(s) - 1)] - s <= v)).any():
+            upto[more] += 1
+        while (less := (upto - 1 > at) & (s[upto - 1] - s > v)).any():
+            upto[less] -= 1
+        return int((upto - 1 - at).sum())
+
+    low, high = -1, int(np.float64(s[-1] - s[0]).view(np.int64))
+    while high - low > 1:
+        middle = (low + high) // 2
+        if count(float(np.int64(middle).view(np.float64))) >= k:
+            high = middle
+        else:
+            low = middle
+    return float(np.int64(high).view(np.float64))
+
+
+def median_square(y: np.ndarray) -> float:
+    """Median of the squared differences of all pairs, in linear memory."""
+    s, pairs = np.sort(y), len(y) * (len(y) - 1) // 2
+    return (_pair_value(s, (pairs + 1) // 2) ** 2 + _pair_value(s, pairs // 2 + 1) ** 2) / 2
+
+
 def kernel_breaks(y: np.ndarray, penalty: float, min_size: int) -> list[int]:
     """First index of every new segment under an RBF kernel cost.
 
@@ -21,15 +54,14 @@ def kernel_breaks(y: np.ndarray, penalty: float, min_size: int) -> list[int]:
     n = len(y)
     if n < 2 * min_size:
         return []
-    d2 = np.subtract.outer(y, y) ** 2
-    med = np.median(d2[np.triu_indices(n, 1)])
+    med = median_square(y)
     gamma = 1.0 / med if med > 0 else 1.0
     best = np.full(n + 1, np.inf)
     best[0] = 0.0
     prev = np.zeros(n + 1, dtype=int)
     block = np.zeros(n)
     for b in range(1, n + 1):
-        col = np.exp(-np.clip(gamma * d2[: b - 1, b - 1], 1e-2, 1e2))
+        col = np.exp(-np.clip(gamma * (y[: b - 1] - y[b - 1]) ** 2, 1e-2, 1e2))
         block[: b - 1] += 2.0 * np.cumsum(col[::-1])[::-1]
         block[:b] += 1.0
         last = b - min_size

@@ -337,7 +337,29 @@ def kernel_break_labels(spark, d):
     return stats.annotate_breaks(b, s, ["series_id"], "1997-03-01")
 
 
-@query("break_report", "ST10", "ST6", "ST7", "ST8")
+_BREAK_SQL = f"""{_SEGMENT_SQL},
+breaks AS (SELECT series_id, pos AS break_t FROM back WHERE pos > 0),
+label AS (SELECT series_id, break_t, date, month, abs(date_diff('day', DATE '1997-03-01', date)) <= 90 AS near_reference
+          FROM breaks JOIN series USING (series_id) WHERE t = break_t),
+nearest AS (SELECT *, min(CASE WHEN near_reference THEN month END) OVER (PARTITION BY series_id) AS nearest FROM label),
+{_REG.replace("g AS (", "sides AS (").strip()},
+sided AS (SELECT *, CASE WHEN n = 2 THEN CASE WHEN slope = 0 THEN 1.0 ELSE 0.0 END ELSE {student_p_sql('tt', '(n - 2)')} END AS p FROM sides),
+lines AS (SELECT series_id, break_t,
+  {', '.join(_side(c, pre, f'{nm}_{c}', c != 'n') for pre, nm in ((True, 'pre'), (False, 'post')) for c in ('slope', 'intercept', 'r2', 'p', 'n'))},
+  {r6("max(CASE WHEN NOT pre THEN slope END) / max(CASE WHEN pre THEN slope END)", 'slope_change_ratio')} FROM sided GROUP BY 1, 2),
+level AS (SELECT s.series_id, break_t, avg(y) FILTER (t < break_t) AS a, avg(y) FILTER (t >= break_t) AS b,
+             count(*) FILTER (t < break_t) AS n_pre, count(*) FILTER (t >= break_t) AS n_post,
+             var_samp(y) FILTER (t < break_t) / count(*) FILTER (t < break_t) AS v1,
+             var_samp(y) FILTER (t >= break_t) / count(*) FILTER (t >= break_t) AS v2
+      FROM series s JOIN breaks USING (series_id) GROUP BY 1, 2),
+tested AS (SELECT *, (a - b) / sqrt(v1 + v2) AS tt, pow(v1 + v2, 2) / (v1 * v1 / (n_pre - 1) + v2 * v2 / (n_post - 1)) AS nu FROM level),
+levels AS (SELECT series_id, break_t, {r6('a', 'pre_mean')}, {r6('b', 'post_mean')}, n_pre AS n_before, n_post AS n_after, {r6('(b - a) / a * 100', 'percent_change')},
+       {r6('tt', 't_statistic')}, {r6('nu', 'dof')}, {r6(student_p_sql('tt', 'nu'), 'p_value')},
+       {student_p_sql('tt', 'nu')} < 0.05 AS significant_at_005 FROM tested)"""
+
+
+@query("break_report", "ST10", "ST6", "ST7", "ST8", sql=f"""{_BREAK_SQL}
+SELECT * FROM nearest JOIN lines USING (series_id, break_t) JOIN levels USING (series_id, break_t)""")
 def break_report(spark, d):
     """Every detected break of every series with its regression and level test."""
     # the series and its breaks feed three operators: compute each once
@@ -345,4 +367,7 @@ def break_report(spark, d):
     b = materialise(changepoint.changepoints(s, ["series_id"], penalty=1.0))
     keys = ["series_id", "break_t"]
     out = stats.annotate_breaks(b, s, ["series_id"], "1997-03-01")
-    return out.join(stats.segmented_regression(s, b, ["series_id"]), keys).join(stats.welch_t(s, b, ["series_id"]), keys)
+    level = stats.welch_t(s, b, ["series_id"]).withColumnsRenamed({"n_pre": "n_before", "n_post": "n_after"})
+    out = out.join(stats.segmented_regression(s, b, ["series_id"]), keys).join(level, keys)
+    line = [f"{a}_{c}" for a in ("pre", "post") for c in ("slope", "intercept", "r2", "p")]
+    return rounded(out, *line, "slope_change_ratio", "pre_mean", "post_mean", "percent_change", "t_statistic", "dof", "p_value")

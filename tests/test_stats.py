@@ -208,3 +208,12 @@ def test_dispersion_ignores_and_counts_nulls(spark):
                                "k string, lo double, hi double, pre boolean")
     r = stats.dispersion_shift(df, ["k"], "lo", "hi", F.col("pre")).first()
     assert (r.iqr_pre_mean, r.iqr_post_mean, r.n_null, r.iqr_change_percent) == (2.0, 4.0, 1, 100.0)
+
+
+def test_median_of_pairs_without_pairs():
+    from eventlens.operators.changepoint import median_square
+
+    for n in (2, 3, 4, 7, 50, 201):
+        for y in (RNG.normal(size=n), RNG.integers(0, 5, n).astype(float), RNG.normal(size=n) * 1e12 + 0.1, np.zeros(n)):
+            d = np.subtract.outer(y, y)[np.triu_indices(n, 1)] ** 2
+            assert median_square(y) == pytest.approx(np.median(d), rel=1e-14)
