@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
+from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
@@ -29,13 +29,15 @@ def vectorise(df: DataFrame, text: str, out: str = "vector", dims: int = 1024,
     """
     if encoder is not None:
         return encoder(df, text, out)
-    rows = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    stages = [Tokenizer(inputCol="_text", outputCol="_words"),
-              HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims),
+    terms = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    # the first 32 bits of the MD5 of a term, a hash that any engine repeats
+    number = lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("bigint") % dims).cast("string")
+    rows = df.withColumn("_words", F.transform(terms, number))
+    stages = [CountVectorizerModel.from_vocabulary([str(i) for i in range(dims)], inputCol="_words", outputCol="_tf"),
               IDF(inputCol="_tf", outputCol="_idf"),
               Normalizer(inputCol="_idf", outputCol="_unit", p=2.0)]
     fitted = Pipeline(stages=stages).fit(rows).transform(rows)
-    return fitted.withColumnRenamed("_unit", out).drop("_text", "_words", "_tf", "_idf")
+    return fitted.withColumnRenamed("_unit", out).drop("_words", "_tf", "_idf")
 
 
 def _vector(df: DataFrame, column: str) -> Column:
@@ -129,6 +131,17 @@ def fit_classifier(train: DataFrame, vector: str, label: str, c: float = 1.0, ma
                               maxIter=max_iter, tol=1e-8).fit(rows)
 
 
+def loss_gradient(model: LogisticRegressionModel, train: DataFrame, vector: str, label: str) -> DataFrame:
+    """dim, gradient of the penalised mean log loss; zero everywhere at the optimum.  The intercept is dimension -1."""
+    features = array_to_vector(F.col(vector).cast("array<double>"))
+    p = model.transform(train.withColumn("features", features)).select(
+        vector_to_array("features").alias("x"), (vector_to_array("probability")[1] - F.col(label)).alias("e"))
+    pulled = p.select(array_to_vector(F.transform(F.concat(F.array(F.lit(1.0)), "x"), lambda v: v * F.col("e"))).alias("g"))
+    mean = pulled.agg(Summarizer.mean(F.col("g")).alias("g")).select(F.posexplode(vector_to_array("g")).alias("at", "pull"))
+    weights = F.lit([0.0, *[float(w) * model.getRegParam() for w in model.coefficients]])
+    return mean.select((F.col("at") - 1).alias("dim"), (F.col("pull") + F.element_at(weights, F.col("at") + 1)).alias("gradient"))
+
+
 def score(model: LogisticRegressionModel, rows: DataFrame, vector: str) -> DataFrame:
     """Adds ``score``, the probability of class 1."""
     v = rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))

@@ -124,17 +124,43 @@ def stacked_eras(spark, d):
     return S.stack(e.where("label < 5"), e.where("label >= 5"), labels=[0, 1], label="y").select("vec_id", "y")
 
 
-@query("message_vectors", "ML1")
+def _unit_sql(docs: str) -> str:
+    """CTEs ending in ``unit``: doc_id, dim, value of the unit vectors of ``docs`` (doc_id, text)."""
+    return f"""docs AS ({docs}),
+terms AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+')) AS term FROM docs),
+tf AS (SELECT doc_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 1024 AS dim, count(*) AS n FROM terms GROUP BY 1, 2),
+idf AS (SELECT dim, ln(((SELECT count(*) FROM docs) + 1) / (count(*) + 1)::DOUBLE) AS idf FROM tf GROUP BY 1),
+raw AS (SELECT doc_id, dim, n * idf AS v FROM tf JOIN idf USING (dim)),
+unit AS (SELECT doc_id, dim, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS value FROM raw)"""
+
+
+@query("message_vectors", "ML1", sql=f"""WITH {_unit_sql("SELECT doc_id, text FROM documents")}
+SELECT doc_id, CAST(dim AS INTEGER) AS dim, {r6('value', 'value')} FROM unit WHERE value <> 0""")
 def message_vectors(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    out = V.vectorise(docs, "text").drop("text")
-    return out.withColumn("vector", vector_to_array("vector"))
+    out = V.vectorise(docs, "text").select("doc_id", F.posexplode(vector_to_array("vector")).alias("dim", "value"))
+    return rounded(out.where("value <> 0"), "value")
 
 
-@query("message_vector_drift", "ML1", "ML2", "ML3")
+@query("message_vector_drift", "ML1", "ML2", "ML3", sql=f"""WITH {_unit_sql("SELECT doc_id, text FROM documents JOIN labels USING (doc_id)")},
+n AS (SELECT count(*) FILTER (quality = 0) AS a, count(*) FILTER (quality <> 0) AS b FROM documents JOIN labels USING (doc_id)),
+c AS (SELECT dim, coalesce(sum(value) FILTER (quality = 0), 0) / any_value(a) AS pre, coalesce(sum(value) FILTER (quality <> 0), 0) / any_value(b) AS post
+      FROM unit JOIN labels USING (doc_id), n GROUP BY 1)
+SELECT {r6('sqrt(sum(pow(post - pre, 2)))', 'l2_distance')}, {r6('1 - sum(pre * post)', 'cosine_distance')}, {r6('sum(pre * post)', 'cosine_similarity')},
+       {r6('sum(pre * post) / sqrt(sum(pre * pre) * sum(post * post))', 'true_cosine')} FROM c""")
 def message_vector_drift(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "labels"), "doc_id")
-    return V.centroid_drift(V.vectorise(docs, "text"), "vector", F.col("quality") == 0)
+    out = V.centroid_drift(V.vectorise(docs, "text"), "vector", F.col("quality") == 0)
+    return rounded(out, "l2_distance", "cosine_distance", "cosine_similarity", "true_cosine")
+
+
+@query("classifier_optimum", "ML6", sql="""
+SELECT CAST(dim AS INTEGER) AS dim, 0.0::DOUBLE AS gradient FROM (SELECT unnest(range(-1, max(len(embedding)))) AS dim FROM embeddings)""")
+def classifier_optimum(spark, d):
+    """Gradient of the penalised loss at the fitted weights: zero in every dimension, to four digits."""
+    e = _emb(spark, d).withColumn("y", (F.col("label") >= 5).cast("int"))
+    model = V.fit_classifier(e, "embedding", "y")
+    return V.loss_gradient(model, e, "embedding", "y").select("dim", (F.round("gradient", 4) + 0.0).alias("gradient"))
 
 
 @query("era_classifier", "ML4", "ML5", "ML6", "ML7", "ML8", "ML9")

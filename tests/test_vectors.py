@@ -57,7 +57,7 @@ def test_vectors_are_unit_length_and_pluggable(spark):
 
 def test_separability_labels(spark):
     df = spark.createDataFrame([(0.9,), (0.7,), (0.6,)], "a double")
-    assert [r[0].split()[0] for r in df.select(V.separability(F.col("a"))).collect()] == ["HIGH", "MODERATE", "LOW"]
+    assert [r[0].split(":")[0] for r in df.select(V.separability(F.col("a"))).collect()] == ["HIGH", "MODERATE", "LOW"]
 
 
 def test_hash_sample_is_reproducible_and_capped(spark):
