@@ -34,18 +34,26 @@ class Sparse:
     def __len__(self) -> int:
         return len(self.start) - 1
 
-    def rows(self, which: np.ndarray) -> Sparse:
-        parts = [(self.index[self.start[r] : self.start[r + 1]], self.value[self.start[r] : self.start[r + 1]]) for r in which]
-        return Sparse.of(parts, self.dims)
-
-    def owner(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self)), np.diff(self.start))
-
-    def times(self, w: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        return np.bincount(owner, weights=w[self.index] * self.value, minlength=len(self))
-
-    def transposed_times(self, r: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        return np.bincount(self.index, weights=r[owner] * self.value, minlength=self.dims)
+    def _blocks(self):
+        """Ranges of rows with about a million features each, so that temporary arrays stay small."""
+        row = 0
+        while row < len(self):
+            upto = max(row + 1, int(np.searchsorted(self.start, self.start[row] + (1 << 20), side="right")) - 1)
+            yield row, upto, slice(self.start[row], self.start[upto])
+            row = upto
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        out = np.empty(len(self))
+        for a, b, s in self._blocks():
+            owner = np.repeat(np.arange(b - a), np.diff(self.start[a : b + 1]))
+            out[a:b] = np.bincount(owner, weights=w[self.index[s]] * self.value[s], minlength=b - a)
+        return out
+
+    def transposed_times(self, r: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.dims)
+        for a, b, s in self._blocks():
+            out += np.bincount(self.index[s], weights=np.repeat(r[a:b], np.diff(self.start[a : b + 1])) * self.value[s], minlength=self.dims)
+        return out
 
 
 def sigmoid(z):
@@ -90,20 +98,18 @@ def fit_logistic(x: Sparse, y: np.ndarray, weight: np.ndarray, l2: float, pairs:
     Minimises the weighted mean log loss + l2/2 |w|^2 + penalty/2 mean (w.pair)^2, where a row of ``pairs`` is the
     difference of the features of a text and its counterfactual.
     """
-    owner = x.owner()
-    pair_owner = pairs.owner() if pairs is not None else None
     weight = weight / weight.sum()
 
     def loss(v):
         w = v[:-1]
-        z = x.times(w, owner) + v[-1]
+        z = x.times(w) + v[-1]
         value = float(weight @ (np.logaddexp(0, z) - y * z)) + l2 / 2 * float(w @ w)
         r = weight * (sigmoid(z) - y)
-        g = np.append(x.transposed_times(r, owner) + l2 * w, r.sum())
+        g = np.append(x.transposed_times(r) + l2 * w, r.sum())
         if pairs is not None and len(pairs):
-            d = pairs.times(w, pair_owner)
+            d = pairs.times(w)
             value += penalty / 2 * float(d @ d) / len(pairs)
-            g[:-1] += penalty * pairs.transposed_times(d, pair_owner) / len(pairs)
+            g[:-1] += penalty * pairs.transposed_times(d) / len(pairs)
         return value, g
 
     return minimise(loss, np.zeros(x.dims + 1))
@@ -126,6 +132,17 @@ def calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return (float(slope), float(shift)) if slope > 0 else (1.0, 0.0)
 
 
+def fit_calibrated(x: Sparse, y: np.ndarray, weight: np.ndarray, l2: float, pairs: Sparse | None = None,
+                   penalty: float = 0.0) -> tuple[np.ndarray, float, float]:
+    """Weights with the intercept last, slope and shift; a fifth of the rows is kept from the fit to calibrate on."""
+    held = np.random.default_rng(0).random(len(y)) < 0.2
+    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
+        return fit_logistic(x, y, weight, l2, pairs, penalty), 1.0, 0.0
+    fitted = fit_logistic(x, y, np.where(held, 0, weight), l2, pairs, penalty)
+    z = x.times(fitted[:-1]) + fitted[-1]
+    return fitted, *calibrate(z[held], y[held], weight[held])
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, keep: Column | None = None,
                     id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
     """(id, text, label) of at most ``per_class`` documents of each class, and the number of labelled ids of each class.

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.llm.common import encode, mix64, packed, query, slices, span_hashes, table, word_spans
-from eventlens.llm.linear import calibrate, class_weights, fit_logistic, labelled_sample, sigmoid, unpack
+from eventlens.llm.linear import class_weights, fit_calibrated, labelled_sample, sigmoid, unpack
 
 DIMS = 1 << 18
 SCALE = 20.0
@@ -140,20 +140,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, keep: Column | None = None,
             own = features([encode(t) for t in pdf["text"]])
             yield pd.DataFrame({"id": pdf["id"], "label": pdf["label"], "index": [i.tobytes() for i, _ in own], "value": [v.tobytes() for _, v in own]})
 
-    rows = sample.mapInPandas(extract, f"id {dict(sample.dtypes)['id']}, label int, index binary, value binary").toPandas()
+    rows = sample.mapInPandas(extract, f"id {dict(sample.dtypes)['id']}, label int, index binary, value binary").toArrow().to_pandas()
     rows = rows.sort_values("id", ignore_index=True)
     y = rows["label"].to_numpy(dtype=float)
     if len(set(y)) < 2:
         return QualityModel(np.zeros(DIMS, dtype=np.float32), 0.0, 1.0, 50.0)
-    x, weight = unpack(rows, "index", "value", DIMS), class_weights(y, counts)
-    held = np.random.default_rng(0).random(len(y)) < 0.2
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held[:] = False
-    fitted = fit_logistic(x.rows(np.flatnonzero(~held)), y[~held], weight[~held], l2)
-    slope, shift = 1.0, 0.0
-    if held.any():
-        apart = x.rows(np.flatnonzero(held))
-        slope, shift = calibrate(apart.times(fitted[:-1], apart.owner()) + fitted[-1], y[held], weight[held])
+    x = unpack(rows, "index", "value", DIMS)
+    del rows
+    fitted, slope, shift = fit_calibrated(x, y, class_weights(y, counts), l2)
     return QualityModel(fitted[:-1].astype(np.float32), float(fitted[-1]), slope, shift)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.llm.common import encode, packed, query, slices, span_hashes, table, word_spans
-from eventlens.llm.linear import Sparse, calibrate, class_weights, fit_logistic, labelled_sample, sigmoid, unpack
+from eventlens.llm.linear import class_weights, fit_calibrated, labelled_sample, sigmoid, unpack
 
 #: Terms of one tuple can take each other's place in a sentence.
 IDENTITY_TERMS = (
@@ -117,7 +117,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column | None = None,
                 "pair_index": [i.tobytes() for i, _ in pairs], "pair_value": [v.tobytes() for _, v in pairs]})
 
     schema = f"id {dict(sample.dtypes)['id']}, label int, index binary, value binary, pair_index binary, pair_value binary"
-    rows = sample.mapInPandas(extract, schema).toPandas().sort_values("id", ignore_index=True)
+    rows = sample.mapInPandas(extract, schema).toArrow().to_pandas().sort_values("id", ignore_index=True)
     y = rows["label"].to_numpy(dtype=float)
     if len(set(y)) < 2:
         share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
@@ -125,16 +125,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column | None = None,
         return ToxicityModel(np.zeros(DIMS), 0.0, 1.0, float(np.log(share / (1 - share))))
     x = unpack(rows, "index", "value", DIMS)
     pairs = unpack(rows[rows["pair_index"].str.len() > 0], "pair_index", "pair_value", DIMS)
-    weight = class_weights(y, counts)
-    rng = np.random.default_rng(0)
-    held = rng.random(len(y)) < 0.2
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held[:] = False
-    fitted = fit_logistic(x.rows(np.flatnonzero(~held)), y[~held], weight[~held], l2, pairs, penalty)
-    slope, shift = 1.0, 0.0
-    if held.any():
-        apart = x.rows(np.flatnonzero(held))
-        slope, shift = calibrate(apart.times(fitted[:-1], apart.owner()) + fitted[-1], y[held], weight[held])
+    del rows
+    fitted, slope, shift = fit_calibrated(x, y, class_weights(y, counts), l2, pairs, penalty)
     return ToxicityModel(fitted[:-1].astype(np.float32), float(fitted[-1]), slope, shift)
 
 
