@@ -12,8 +12,8 @@ import zstandard
 from eventlens.llm.common import mix64
 
 #: Rows that stages exchange: a target, what the blob is, and the blob.
-ROW = "part int, kind string, blob binary"
-ARROW_ROW = pa.schema([("part", pa.int32()), ("kind", pa.string()), ("blob", pa.binary())])
+ROW = "part long, kind string, blob binary"
+ARROW_ROW = pa.schema([("part", pa.int64()), ("kind", pa.string()), ("blob", pa.binary())])
 
 
 def dump(*arrays) -> bytes:

@@ -298,8 +298,8 @@ def fit_katz(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
     lexicon = _good_lexicon(lexicon, discounted)
     shared = spark.sparkContext.broadcast(lexicon)
     pairs = materialise(rows.mapInArrow(_count_pairs(shared), ROW).groupBy("part").applyInPandas(_merge_pairs, ROW + ", small array<long>"))
-    small = [F.sum(F.element_at("small", r + 1)).alias(f"n{r}") for r in range(1, MAX_DISCOUNTED + 2)]
-    found = pairs.agg(*small).first()
+    types = [F.sum(F.element_at("small", r + 1)).alias(f"n{r}") for r in range(1, MAX_DISCOUNTED + 2)]
+    found = pairs.agg(*types).first()
     pair_discounts = Discounts.of({r: found[f"n{r}"] or 0 for r in range(1, MAX_DISCOUNTED + 2)})
     sums = "history long, n long, discounted double, seen double"
     direct = pairs.mapInPandas(_history_sums(shared, pair_discounts), sums)
@@ -343,7 +343,7 @@ def _ask(lexicon):
 
     def run(batches):
         lex: Lexicon = lexicon.value
-        chunk = TaskContext.get().partitionId() << 12
+        chunk = TaskContext.get().partitionId() << 20
         held, docs, size, n_docs = [], [], 0, 0
         floor = np.log10(lex.tokens + lex.types + 1)
 
@@ -380,7 +380,7 @@ def _ask(lexicon):
                 codes = lex.codes(np.append(hashes, END))
                 h, w, d = _pairs(end - begin, owner, codes[:-1], codes[-1])
                 held.append((h, w, d + n_docs))
-                docs.append((ids.slice(begin, end - begin).to_numpy(zero_copy_only=False).astype(object), out[begin:end]))
+                docs.append((np.array(ids.slice(begin, end - begin).to_pylist(), dtype=object), out[begin:end]))
                 size += len(h)
                 n_docs += end - begin
                 if size >= _FLUSH_TOKENS:
@@ -448,27 +448,25 @@ def _explode_rare(batches):
     for pdf in batches:
         for kind, blob in zip(pdf["kind"], pdf["blob"]):
             chunk, w, d, times = load(blob)
-            yield pd.DataFrame({"chunk": np.full(len(w), chunk, dtype=np.int32), "doc": d.astype(np.int64), "code": w.view(np.int64),
+            yield pd.DataFrame({"chunk": np.full(len(w), chunk, dtype=np.int64), "doc": d.astype(np.int64), "code": w.view(np.int64),
                                 "own": times if kind == "rare" else np.zeros(len(w), dtype=np.int64),
                                 "backed": times if kind == "backed" else np.zeros(len(w), dtype=np.int64)})
 
 
-def _total(id_type: str):
-    def run(key: tuple, blobs: pd.DataFrame, rare: pd.DataFrame) -> pd.DataFrame:
-        (_, ids, held_out, tokens, known, base), = [load(b) for k, b in zip(blobs["kind"], blobs["blob"]) if k == "doc"]
-        score = np.zeros(len(ids))
-        for k, b in sorted(zip(blobs["kind"], blobs["blob"])):
-            if k == "sum":
-                d, total = load(b)
-                score[d.astype(np.int64)] += total
-        rare = rare.sort_values("doc")
-        d = rare["doc"].to_numpy(dtype=np.int64)
-        known = known + np.bincount(d, weights=rare["known"], minlength=len(ids)).astype(np.int64)
-        base = base + np.bincount(d, weights=rare["base"], minlength=len(ids))
-        score = score + np.bincount(d, weights=rare["score"], minlength=len(ids))
-        return pd.DataFrame({"id": pd.Series(ids, dtype=object), "held_out": held_out, "n_tokens": tokens, "n_known": known, "base_score": base, "score": score})
-
-    return run
+def _total(key: tuple, blobs: pd.DataFrame, rare: pd.DataFrame) -> pd.DataFrame:
+    """One row per document of a flush."""
+    (_, ids, held_out, tokens, known, base), = [load(b) for k, b in zip(blobs["kind"], blobs["blob"]) if k == "doc"]
+    score = np.zeros(len(ids))
+    for k, b in sorted(zip(blobs["kind"], blobs["blob"])):
+        if k == "sum":
+            d, total = load(b)
+            score[d.astype(np.int64)] += total
+    rare = rare.sort_values("doc")
+    d = rare["doc"].to_numpy(dtype=np.int64)
+    known = known + np.bincount(d, weights=rare["known"], minlength=len(ids)).astype(np.int64)
+    base = base + np.bincount(d, weights=rare["base"], minlength=len(ids))
+    score = score + np.bincount(d, weights=rare["score"], minlength=len(ids))
+    return pd.DataFrame({"id": pd.Series(ids, dtype=object), "held_out": held_out, "n_tokens": tokens, "n_known": known, "base_score": base, "score": score})
 
 
 def score_katz(docs: DataFrame, model: KatzModel, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -484,7 +482,7 @@ def score_katz(docs: DataFrame, model: KatzModel, held_out: Column, id_col: str
     tables = model.pairs.select("part", "kind", "blob").unionByName(model.histories.mapInPandas(_pack_histories(lexicon), ROW))
     answers = materialise(asked.unionByName(tables).groupBy("part").applyInPandas(_answer(lexicon, model.discounts), ROW))
     lex = model.lexicon
-    rare = answers.where("kind IN ('rare', 'backed')").mapInPandas(_explode_rare, "chunk int, doc long, code long, own long, backed long")
+    rare = answers.where("kind IN ('rare', 'backed')").mapInPandas(_explode_rare, "chunk long, doc long, code long, own long, backed long")
     # several rows of a code can meet in one task, so codes are counted there before the exchange
     known = model.words.select(_code("word").alias("code"), F.col("n").alias("count"))
     count = F.coalesce(F.col("count"), F.lit(0))
@@ -498,7 +496,7 @@ def score_katz(docs: DataFrame, model: KatzModel, held_out: Column, id_col: str
     )
     id_type = dict(docs.dtypes)[id_col]
     out = answers.where("kind IN ('doc', 'sum')").groupBy("part").cogroup(rare.groupBy("part")).applyInPandas(
-        _total(id_type), f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        _total, f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(lex.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
