@@ -1,6 +1,6 @@
 """Toxicity: a logistic classifier with counterfactual regularisation.
 
-Features are hashed words and word beginnings, each with the logarithm of its count.  In labelled texts that mention a
+Features are hashed words and word beginnings (signs are left out), each with the logarithm of its count up to a limit.  In labelled texts that mention a
 group, the mention is swapped for another of its kind; the fit penalises the squared change of the score, so that the
 mention itself carries no weight and neutral mentions aren't taken for insults.  Probabilities are calibrated on a part
 of the sample that the fit hasn't seen.
@@ -32,16 +32,24 @@ DIMS = 1 << 18
 PREFIXES = (6, 7)
 SAMPLE_PER_CLASS = 4000
 L2 = 2e-5
+#: Further occurrences of a word say nothing new.
+MOST_COUNTED = 8
 PENALTY = 1.0
 THRESHOLD = 0.5
 
 
+#: Signs become spaces: letters, digits and everything beyond ASCII make words.
+_LETTERS = np.full(256, 32, dtype=np.uint8)
+_LETTERS[48:58], _LETTERS[97:123], _LETTERS[128:] = range(48, 58), range(97, 123), range(128, 256)
+
+
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature, value) of hashed words and word beginnings, sorted by row and feature."""
     data = [encode(t) for t in texts]
     rows, index, value = [], [], []
     for begin, end in slices(data):
         buf, offsets = packed(data[begin:end])
+        buf = _LETTERS[buf]
         starts, ends = word_spans(buf)
         owner = np.searchsorted(offsets, starts, side="right") - 1 + begin
         keys = [(owner.astype(np.uint64) << np.uint64(20)) | (span_hashes(buf, starts, ends) & np.uint64(DIMS - 1))]
@@ -52,7 +60,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         key, count = np.unique(np.concatenate(keys), return_counts=True)
         rows.append((key >> np.uint64(20)).astype(np.int64))
         index.append((key & np.uint64(DIMS - 1)).astype(np.int32))
-        value.append(np.log1p(count).astype(np.float32))
+        value.append(np.log1p(np.minimum(count, MOST_COUNTED)).astype(np.float32))
     none = np.zeros(0, dtype=np.int64)
     return np.concatenate(rows or [none]), np.concatenate(index or [none]).astype(np.int32), np.concatenate(value or [none]).astype(np.float32)
 

@@ -4,12 +4,13 @@ from pyspark.sql import functions as F
 from eventlens.llm import toxicity as T
 from tests.llm.helpers import awkward, frame, labels
 
-SF = "/root/testdata/sf0.01"
+# the smaller tables have some thirty positive labels, too few to learn four languages from
+SF = "/root/testdata/sf0.1"
 
 
 def test_held_out_accuracy(spark):
     rows = T.op10(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").collect()
-    assert len(rows) > 60 and sum(r["predicted"] == r["toxic"] for r in rows) / len(rows) > 0.94
+    assert len(rows) > 600 and sum(r["predicted"] == r["toxic"] for r in rows) / len(rows) > 0.97
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
 
 
@@ -41,6 +42,11 @@ def test_swapped_mentions_change_scores_less(spark):
     assert gap[5.0] < 0.25 * gap[0.0]
 
 
+def test_signs_and_capitals_do_not_hide_words():
+    one, *others = (T.features([t]) for t in ("such an idiot", "SUCH!! AN!! IDIOT!!", "such*** an | idiot,"))
+    assert all(np.array_equal(one[1], o[1]) for o in others)
+
+
 def test_swap():
     swap = T.swapper()
     assert swap("Muslims and men.") == "christians and women." and swap("mental") is None and swap(None) is None and swap("") is None
