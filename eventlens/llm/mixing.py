@@ -122,7 +122,8 @@ def place_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     inside = Window.partitionBy("source_key", "range").orderBy("digest", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
-        rows.drop("source").join(offsets, ["source_key", "range"])
+        # both sides by (source, range), as the window needs them anyway: the ranges grow with the number of sources
+        rows.drop("source").join(offsets.hint("merge"), ["source_key", "range"])
         .withColumn("start", F.col("offset") + F.sum("size").over(inside) - F.col("size"))
         .drop("source_key", "range", "digest", "offset")
     )
