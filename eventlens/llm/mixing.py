@@ -157,7 +157,8 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = placed.where("size > 0").withColumn("words", words)
     pieces = _pieces(placed, block_words).withColumn("piece", F.array_join(F.expr("slice(words, int(from_word + 1), int(n_words))"), ""))
     pieces = pieces.select("rank", "block", "from_word", "n_words", "piece", F.col("row").dropFields(text_col).alias("row"))
-    mixed = draw_slots(sources, shard_slots, seed).join(pieces, ["rank", "block"])
+    # Spark takes the exploded slots for as few as the sources they come from, and would broadcast them
+    mixed = draw_slots(sources, shard_slots, seed).hint("merge").join(pieces, ["rank", "block"])
     added = ["shard", "position", "from_word", "n_words"]
     columns = [F.col("piece").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in added]
     return mixed.select(*columns, *added)
@@ -174,7 +175,7 @@ def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = materialise(placed)
     drawn = draw_slots(sources, shard_slots, seed).groupBy("rank", "block").agg(F.count("*").alias("times"))
     own = ["rank", "start", "id", "size", "source_size", "target"]
-    words = _pieces(placed, block_words).join(drawn, ["rank", "block"]).select(*own, (F.col("n_words") * F.col("times")).alias("taken"))
+    words = _pieces(placed, block_words).join(drawn.hint("merge"), ["rank", "block"]).select(*own, (F.col("n_words") * F.col("times")).alias("taken"))
     none = F.lit(0).cast("long").alias("taken")
     counted = words.unionByName(placed.where("size > 0").select(*own, none)).groupBy(*own).agg(F.sum("taken").alias("taken"))
     out = ["id", "size", "source_size", "target", "taken"]
