@@ -154,7 +154,8 @@ _ENDS = "(?:com|org|net|edu|gov|mil|int|info|biz|name|dev|app|io|co|ai|me|tv|eu|
 _BARE = re.compile(rf"(?<![\w.]){_LABEL}(?:(?:{_DOT_WORD}|\.){_LABEL})*(?:\x20at\x20|\x20arroba\x20|@)(?:{_LABEL}(?:{_DOT_WORD}|\.))+{_ENDS}(?![\w-])", re.IGNORECASE)
 #: dotted numbers with a word for the dot
 _NUMBER_DOT = re.compile(rf"(?<=[0-9]){_DOT_WORD}(?=[0-9])", re.IGNORECASE)
-_HAS_BARE = re.compile(r"\x20(?:dot|punkt|punto|point)\x20", re.IGNORECASE)
+#: a word for the dot, or one for the at before a host with a written dot: every edit of bare words has one
+_HAS_BARE = re.compile(rf"\x20(?:(?:dot|punkt|punto|point)\x20|(?:at|arroba)\x20{_LABEL}\.)", re.IGNORECASE)
 _BARE_AT, _BARE_DOT = re.compile(r"\x20(?:at|arroba)\x20", re.IGNORECASE), re.compile(_DOT_WORD, re.IGNORECASE)
 _LETTER_DIGIT = re.compile(r"(?<=[0-9])[OoIl|]+(?=[0-9])")
 
@@ -226,29 +227,41 @@ def _bare_edits(text: str) -> list[tuple[int, int, str]]:
     return sorted(edits)
 
 
+def _character_edits(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), _CHARACTERS[ord(m.group())]) for m in _ODD.finditer(text) if ord(m.group()) in _CHARACTERS]
+
+
+def _marked_edits(text: str) -> list[tuple[int, int, str]]:
+    edits = [(m.start(), m.end(), "@") for m in _MARKED_AT.finditer(text)] + [(m.start(), m.end(), ".") for m in _MARKED_DOT.finditer(text)]
+    last, apart = -1, []
+    for e in sorted(edits):
+        if e[0] >= last:
+            apart.append(e)
+            last = e[1]
+    return apart
+
+
+def _letter_edits(text: str) -> list[tuple[int, int, str]]:
+    swap = str.maketrans("OoIl|", "00111")
+    return [(m.start(), m.end(), m.group().translate(swap)) for m in _LETTER_DIGIT.finditer(text)]
+
+
+#: The transducers in order, each with a test that holds for every text in which it has something to replace.
+_CHAIN = (
+    (_ODD, _character_edits), (_HAS_MARK, _marked_edits), (_HAS_SPELLED, _spelled_edits), (_HAS_BARE, _bare_edits),
+    (_LETTER_DIGIT, _letter_edits),
+)
+
+
 def normalise(text: str) -> Normalised | None:
     """The normalised text, or None where no transducer has anything to replace."""
-    odd, mark = _ODD.search(text), _HAS_MARK.search(text)
-    spelled, bare = _HAS_SPELLED.search(text), _HAS_BARE.search(text)
-    letters = _LETTER_DIGIT.search(text)
-    if not (odd or mark or spelled or bare or letters):
-        return None
-    n = Normalised.of(text)
-    if odd:
-        n = n.rewritten([(m.start(), m.end(), _CHARACTERS[ord(m.group())]) for m in _ODD.finditer(n.text) if ord(m.group()) in _CHARACTERS])
-    if mark or odd:
-        edits = [(m.start(), m.end(), "@") for m in _MARKED_AT.finditer(n.text)] + [(m.start(), m.end(), ".") for m in _MARKED_DOT.finditer(n.text)]
-        last, apart = -1, []
-        for e in sorted(edits):
-            if e[0] >= last:
-                apart.append(e)
-                last = e[1]
-        n = n.rewritten(apart)
-    n = n.rewritten(_spelled_edits(n.text)) if spelled or odd else n
-    n = n.rewritten(_bare_edits(n.text)) if bare or odd or mark else n
-    if letters or odd:
-        swap = str.maketrans("OoIl|", "00111")
-        n = n.rewritten([(m.start(), m.end(), m.group().translate(swap)) for m in _LETTER_DIGIT.finditer(n.text)])
+    n = None
+    for test, edits in _CHAIN:
+        if test.search(text):
+            found = edits(text)
+            if found:
+                n = (n or Normalised.of(text)).rewritten(found)
+                text = n.text
     return n
 
 

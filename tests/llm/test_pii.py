@@ -65,6 +65,36 @@ def test_plain_text_has_none(text):
     assert P.find_spans(text) == ([], [])
 
 
+UNRELATED = ["write to bob.smith at example.com today", "ana arroba empresa.com", "user{at}host{dot}net", "bob at example dot com", "call 41l1 1111 1111 1111",
+             "plus one four one five five five five two six seven one", "192[.]168[.]0[.]1", "10 dot 0 dot 0 dot 7", "a b c"]
+
+
+@pytest.mark.parametrize("text", UNRELATED)
+@pytest.mark.parametrize("other", ["\u2603", "\u201c", "\U0001f600", "[at]", "1O1"])
+def test_unrelated_characters_change_no_span(text, other):
+    """Each disguise is found whatever else the text holds; what another transducer needs doesn't decide on it."""
+    want = P.find_spans(text)
+    assert bool(want[1]) == (text != "a b c")
+    assert P.find_spans(f"{text} ; {other}") == want
+    shifted = tuple([(k, a + len(other) + 3, b + len(other) + 3) for k, a, b in spans] for spans in want)
+    assert P.find_spans(f"{other} ; {text}") == shifted
+
+
+def test_at_only_disguise():
+    text = "write to bob.smith at example.com today"
+    assert P.find_spans(text) == ([], [("email", 9, 33)])
+
+
+def test_tests_hold_wherever_something_is_replaced():
+    assert all(P._ODD.match(chr(c)) for c in P._CHARACTERS)
+    rng = random.Random(5)
+    parts = ["at", "dot", "arroba", "punkt", "[at]", "(dot)", "{ . }", "bob", "x.y", "example", "com", ".", "@", "1", "0l", "one", "two", "nine", "plus", " ", " ", " ", "-", ","]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        for test, edits in P._CHAIN:
+            assert test.search(text) or not edits(text)
+
+
 def test_long_texts_take_linear_time():
     text = "a" * 400_000 + "@" + "1." * 100_000 + " " + "9" * 200_000 + "+1 " + "(1)" * 100_000 + " dot " * 50_000 + "one " * 50_000
     assert P.find_spans(text)
