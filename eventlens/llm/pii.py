@@ -138,10 +138,12 @@ _CHARACTERS = _character_table()
 #: Characters that may be in the table; letters of Latin scripts are not, so most texts are passed over quickly.
 _ODD = re.compile("[\xa0\xad\xb7\u0300-\U0010ffff]")
 _WORD_DIGIT = "(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + ")"
-#: Seven spelled digits or more, possibly among written ones; "plus" before them counts.
+#: Spelled digits, possibly among written ones; "plus" before them counts.
 _SPELLED_RUN = re.compile(
-    rf"(?<!\w)(?:plus[\s-]+)?(?:(?:{_WORD_DIGIT}|[0-9]+|dot|point)(?!\w)[\s,-]*){{4,}}", re.IGNORECASE)
-_HAS_SPELLED = re.compile(rf"(?<!\w){_WORD_DIGIT}[\s,-]+(?:{_WORD_DIGIT}|dot|point|[0-9])", re.IGNORECASE)
+    rf"(?<!\w)(?:plus[\s-]+)?(?:(?:{_WORD_DIGIT}|[0-9]+|dot|point)(?!\w)[\s,-]*)+", re.IGNORECASE)
+_HAS_SPELLED = re.compile(rf"(?<!\w){_WORD_DIGIT}(?!\w)", re.IGNORECASE)
+#: From so many spelled digits on, all numbers of a run are read as one.
+_ONE_NUMBER = 4
 _AT = r"\s*(?:\[\s*(?:at|@|arroba|ät)\s*\]|\(\s*(?:at|@|arroba|ät)\s*\)|\{\s*(?:at|@|arroba|ät)\s*\}|<\s*(?:at|arroba|ät)\s*>)\s*"
 _DOT = r"\s*(?:\[\s*(?:dot|\.|punkt|point|punto)\s*\]|\(\s*(?:dot|\.|punkt|point|punto)\s*\)|\{\s*(?:dot|\.|punkt|point|punto)\s*\})\s*"
 _MARKED_AT, _MARKED_DOT = re.compile(_AT, re.IGNORECASE), re.compile(_DOT, re.IGNORECASE)
@@ -157,6 +159,8 @@ _NUMBER_DOT = re.compile(rf"(?<=[0-9]){_DOT_WORD}(?=[0-9])", re.IGNORECASE)
 #: a word for the dot, or one for the at before a host with a written dot: every edit of bare words has one
 _HAS_BARE = re.compile(rf"\x20(?:(?:dot|punkt|punto|point)\x20|(?:at|arroba)\x20{_LABEL}\.)", re.IGNORECASE)
 _BARE_AT, _BARE_DOT = re.compile(r"\x20(?:at|arroba)\x20", re.IGNORECASE), re.compile(_DOT_WORD, re.IGNORECASE)
+_WORD_BEFORE = re.compile(r"(?<!\w)(?:at|arroba|dot|punkt|punto|point)$", re.IGNORECASE)
+_WORD_AFTER = re.compile(r"(?:at|arroba|dot|punkt|punto|point)(?!\w)", re.IGNORECASE)
 _LETTER_DIGIT = re.compile(r"(?<=[0-9])[OoIl|]+(?=[0-9])")
 
 
@@ -198,21 +202,34 @@ class Normalised:
         return min(self.starts[begin:end]), max(self.ends[begin:end])
 
 
-def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
+def _alone(text: str, begin: int, end: int) -> bool:
+    """Whether nothing beside a run can belong to the same identifier: no digit, sign, at or dot after the space."""
+    while begin and (text[begin - 1].isspace() or text[begin - 1] == ","):
+        begin -= 1
+    while end < len(text) and (text[end].isspace() or text[end] == ","):
+        end += 1
+    near = text[begin - 1 : begin] + text[end : end + 1]
+    return not any(c in "0123456789.@+()_%|-" for c in near) and not _WORD_BEFORE.search(text, max(0, begin - 8), begin) and not _WORD_AFTER.match(text, end)
+
+
+def _spelled_edits(text: str, least: int = 1) -> list[tuple[int, int, str]]:
+    """Digits for the words of each run with ``least`` spelled digits; under four, space between written numbers stays."""
     edits = []
     for run in _SPELLED_RUN.finditer(text):
-        if sum(m.group().lower() in _SPELLED for m in re.finditer(r"\w+", run.group())) < 4:
+        words = [(m.group().lower(), run.start() + m.start(), run.start() + m.end()) for m in re.finditer(r"\w+", run.group())]
+        if sum(word in _SPELLED for word, _, _ in words) < least:
+            continue
+        # an identifier has four digits at least
+        if sum(len(_SPELLED.get(word, word)) for word, _, _ in words if word in _SPELLED or word[0] in "0123456789") < 4 and _alone(text, words[0][1], words[-1][2]):
             continue
         previous = None
-        for m in re.finditer(r"\w+", run.group()):
-            word = m.group().lower()
+        for word, a, b in words:
             new = _SPELLED.get(word, {"plus": "+", "dot": ".", "point": "."}.get(word))
-            a, b = run.start() + m.start(), run.start() + m.end()
-            if previous is not None and previous < a:
-                edits.append((previous, a, ""))
+            if previous is not None and previous[0] < a and (least >= _ONE_NUMBER or new is not None or previous[1]):
+                edits.append((previous[0], a, ""))
             if new is not None:
                 edits.append((a, b, new))
-            previous = b
+            previous = b, new is not None
     return edits
 
 
@@ -253,16 +270,36 @@ _CHAIN = (
 )
 
 
-def normalise(text: str) -> Normalised | None:
-    """The normalised text, or None where no transducer has anything to replace."""
-    n = None
-    for test, edits in _CHAIN:
+def _transduced(n: Normalised | None, text: str, chain) -> tuple[Normalised | None, str]:
+    for test, edits in chain:
         if test.search(text):
             found = edits(text)
             if found:
                 n = (n or Normalised.of(text)).rewritten(found)
                 text = n.text
-    return n
+    return n, text
+
+
+def normalise(text: str) -> list[Normalised]:
+    """The normalised texts, none where no transducer has anything to replace.
+
+    A spelled digit beside a number may belong to it or not, so there are up to three readings: no spelled digits,
+    those of runs that hold at least four, and all.
+    """
+    begun, text = _transduced(None, text, _CHAIN[:2])
+    readings = [[]]
+    if _HAS_SPELLED.search(text):
+        every = _spelled_edits(text)
+        for found in [every, _spelled_edits(text, _ONE_NUMBER)] if every else []:
+            if found not in readings:
+                readings.append(found)
+    out = []
+    for found in readings:
+        n = (begun or Normalised.of(text)).rewritten(found) if found else begun
+        n, _ = _transduced(n, n.text if n else text, _CHAIN[3:])
+        if n:
+            out.append(n)
+    return out
 
 
 def find_spans(text: str | None) -> tuple[list[Span], list[Span]]:
@@ -270,18 +307,16 @@ def find_spans(text: str | None) -> tuple[list[Span], list[Span]]:
     if not text:
         return [], []
     base = detect(text)
-    n = normalise(text)
-    if n is None:
-        return base, base
     known = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
     more = set()
-    for kind, a, b in detect(n.text):
-        if not any(n.changed[a:b]):
-            continue
-        begin, end = n.source(a, b)
-        if not any(x <= begin and end <= y for x, y in known[kind]):
-            more.add((kind, begin, end))
-    every = sorted({*base, *more}, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+    for n in normalise(text):
+        for kind, a, b in detect(n.text):
+            if not any(n.changed[a:b]):
+                continue
+            begin, end = n.source(a, b)
+            if not any(x <= begin and end <= y for x, y in known[kind]):
+                more.add((kind, begin, end))
+    every = sorted({*base, *more}, key=lambda s: (KINDS.index(s[0]), s[1], s[2])) if more else base
     return base, every
 
 

@@ -85,6 +85,43 @@ def test_at_only_disguise():
     assert P.find_spans(text) == ([], [("email", 9, 33)])
 
 
+@pytest.mark.parametrize("text, kind, found", [
+    ("call +1 415 five five five 0199 now", "phone", "+1 415 five five five 0199"),
+    ("call plus one 415 555 0199 now", "phone", "plus one 415 555 0199"),
+    ("card 4111 1111 1111 111 one today", "card", "4111 1111 1111 111 one"),
+    ("411111111111111 one", "card", "411111111111111 one"),
+    ("card four 111 1111 one 111 1111", "card", "four 111 1111 one 111 1111"),
+    ("rooms 12, 14, 4111 1111 1111 111 one", None, None),
+    ("ping 192.168.0.one twice", "ip", "192.168.0.one"),
+    ("ping 192 punkt 168 punkt eins punkt 20", "ip", "192 punkt 168 punkt eins punkt 20"),
+    ("10 dot zero dot 0 dot 7", "ip", "10 dot zero dot 0 dot 7"),
+    ("one.two.three.four", "ip", "one.two.three.four"),
+])
+def test_few_spelled_digits(text, kind, found):
+    base, every = P.find_spans(text)
+    if kind:
+        assert base == [] and [(k, text[a:b]) for k, a, b in every] == [(kind, found)]
+    else:
+        assert "4111 1111 1111 111 one" in [text[a:b] for _, a, b in every]
+
+
+@pytest.mark.parametrize("text, found", [
+    ("41l1 1111 1111 1111 one time", "41l1 1111 1111 1111"), ("192[.]168[.]0[.]1 one", "192[.]168[.]0[.]1"), ("bob at one dot com", "bob at one dot com"),
+    ("plus one four one five five five five two six seven one. Two 345", "plus one four one five five five five two six seven one"),
+])
+def test_spelled_digits_beside_take_nothing_away(text, found):
+    assert found in [text[a:b] for _, a, b in P.find_spans(text)[1]]
+
+
+def test_runs_alone_hold_no_span(monkeypatch):
+    rng = random.Random(9)
+    parts = ["un", "one", "five", "plus", "dot", "415", "555", "4111", "1.2", "+1", "house", "bob", "at", "@", "x.com", ".", "(", ")", "-", ",", " ", " ", " ", " ", "|", "l", "a7", "7a", "punkt"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 24))) for _ in range(20_000)]
+    got = [P.find_spans(t) for t in texts]
+    monkeypatch.setattr(P, "_alone", lambda *_: False)
+    assert got == [P.find_spans(t) for t in texts]
+
+
 def test_tests_hold_wherever_something_is_replaced():
     assert all(P._ODD.match(chr(c)) for c in P._CHARACTERS)
     rng = random.Random(5)
