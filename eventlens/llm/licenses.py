@@ -1,8 +1,10 @@
 """License scans in DataFrame operations only: notices by TF-IDF cosine to templates, then inheritance by directory.
 
-Every line of a file is a possible notice (a header or the body of a license file).  A line whose cosine to a
-template reaches the threshold must hold one of the tokens without which the template's others are too light; lines
-without any such token are skipped.  So are lines that share too small a part of every template.  Neither loses a match.  A file without a notice of its own takes the
+Every line of a file is a possible notice, and so is every block (a run of lines up to a blank line, or up to one
+without letters and digits) and the text as a whole, since notices are wrapped.  Blocks are compared to titles with
+versions as well, which stand in two lines.  A text whose cosine to a template reaches the threshold must hold one of
+the tokens without which the template's others are too light; those without any such token are skipped.  So are those
+that share too small a part of every template.  Neither loses a match.  A file without a notice of its own takes the
 license of the nearest directory above it that has a license file with a notice: each directory is joined to its
 ancestors by path, then files to their directories.
 """
@@ -38,6 +40,20 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: Heads of license files, a title and a version in lines of their own, the version with its date or without: compared to what has more than one line.
+TITLES = (
+    ("AGPL-3.0", "GNU Affero General Public License Version 3"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-2.0", "GNU General Public License Version 2"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License Version 3"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+)
 LICENSE_FILES = ("LICENSE", "LICENCE", "COPYING", "LICENSE.txt", "LICENCE.txt", "LICENSE.md", "COPYING.txt")
 #: Common English words, the commonest first: where a choice is free, these are the tokens not asked for.
 COMMON_WORDS = (
@@ -48,17 +64,22 @@ _MAX_TEMPLATES = 2000
 
 
 class _Weights:
-    """Unit vectors of the templates, and the tokens of which a matching line has one."""
+    """Unit vectors of the templates, and the tokens of which a matching text has one.
+
+    Titles are numbered after the templates and don't count for the inverse frequencies.
+    """
 
-    def __init__(self, templates, threshold: float):
+    def __init__(self, templates, threshold: float, titles=()):
         if len(templates) > _MAX_TEMPLATES:
             raise ValueError(f"at most {_MAX_TEMPLATES} templates")
         tokens = [re.findall(TOKEN, text.lower()) for _, text in templates]
         seen = {t for ts in tokens for t in ts}
         self.unknown = math.log(1 + len(templates)) + 1
         self.idf = {t: math.log((1 + len(templates)) / (1 + sum(t in ts for ts in tokens))) + 1 for t in sorted(seen)}
+        tokens += [re.findall(TOKEN, text.lower()) for _, text in titles]
+        self.idf |= {t: self.unknown for ts in tokens for t in ts if t not in seen}
         self.rows, self.needed = [], set()
-        for number, ((name, _), ts) in enumerate(zip(templates, tokens)):
+        for number, ((name, _), ts) in enumerate(zip([*templates, *titles], tokens)):
             vector = {t: ts.count(t) * self.idf[t] for t in set(ts)}
             norm = math.sqrt(sum(v * v for v in vector.values()))
             # tokens that a match can do without: as many common ones as stay under the threshold together
@@ -87,32 +108,47 @@ class _Weights:
         return spark.sql(f"SELECT * FROM VALUES {values} AS t(template, license, token, weight, idf)")
 
 
-def notices(files: DataFrame, text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def _texts(text: Column) -> Column:
+    """The lines, blocks and whole of a text, each once."""
+    return F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n\\s*\n"), F.split(text, "\n[^A-Za-z0-9]*\n"), F.array(text)))
+
+
+def _squares(tokens: Column) -> Column:
+    """Sum of the squared counts of an array's tokens, by its runs when sorted."""
+    state = lambda last, n, total: F.struct(last.alias("last"), n.alias("n"), total.alias("total"))
+    begin = state(F.lit(""), F.lit(0.0), F.lit(0.0))
+    step = lambda s, t: F.when(s["last"] == t, state(t, s["n"] + 1, s["total"])).otherwise(state(t, F.lit(1.0), s["total"] + s["n"] * s["n"]))
+    return F.aggregate(F.sort_array(tokens), begin, step, lambda s: s["total"] + s["n"] * s["n"])
+
+
+def notices(files: DataFrame, text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD, titles=TITLES) -> DataFrame:
     """(text_hash, license, score): the best notice of each text that has one (highest score, then license)."""
-    spark, weights = files.sparkSession, _Weights(templates, threshold)
+    spark, weights = files.sparkSession, _Weights(templates, threshold, titles)
     idf = F.create_map(*[F.lit(x) for pair in weights.idf.items() for x in pair])
     known = F.array(*[F.lit(t) for t in weights.idf])
     lines = (
         files.where(F.col(text_col).rlike(weights.pattern()))
         .select(F.xxhash64(text_col).alias("text_hash"), F.monotonically_increasing_id().alias("row"),
-                F.posexplode(F.split(text_col, "\n")).alias("line", "content"))
+                F.posexplode(_texts(F.col(text_col))).alias("line", "content"))
         .where(F.col("content").rlike(weights.pattern()))
         .withColumn("tokens", F.regexp_extract_all(ascii_lower(F.col("content")), F.lit(TOKEN), F.lit(0)))
         # behind a generator, so that the filter doesn't repeat it
-        .select("text_hash", "row", "line", "tokens", F.explode(F.array(F.array_intersect("tokens", known))).alias("present"))
+        .select("text_hash", "row", "line", "tokens", F.contains(F.col("content"), F.lit("\n")).alias("wrapped"),
+                F.explode(F.array(F.array_intersect("tokens", known))).alias("present"))
         .where(weights.shared(F.col("present")) >= F.lit(threshold**2 * (1 - 1e-6)))
     )
-    # a line's length: known tokens by their inverse frequency, all others by that of an unknown token
+    # a text's length: known tokens by their inverse frequency, all others by that of an unknown token
     times = lambda t: F.size("tokens") - F.size(F.array_remove("tokens", t))
     square = lambda x: F.pow(x, F.lit(2.0))
     counted = lines.withColumns({
         "shared": F.transform("present", lambda t: F.struct(t.alias("token"), times(t).alias("n"))),
-        "others2": F.aggregate(F.array_except("tokens", known), F.lit(0.0), lambda total, t: total + square(times(t))),
+        "others2": _squares(F.filter("tokens", lambda t: ~F.array_contains(known, t))),
     })
     known2 = F.aggregate("shared", F.lit(0.0), lambda total, s: total + square(s["n"] * F.element_at(idf, s["token"])))
-    tokens = counted.select("text_hash", "row", "line", F.sqrt(known2 + F.col("others2") * weights.unknown**2).alias("norm"), F.inline("shared"))
+    tokens = counted.select("text_hash", "row", "line", "wrapped", F.sqrt(known2 + F.col("others2") * weights.unknown**2).alias("norm"), F.inline("shared"))
     scores = (
-        tokens.join(weights.frame(spark), "token").groupBy("text_hash", "row", "line", "norm", "template", "license")
+        tokens.join(weights.frame(spark), "token").where(F.col("wrapped") | (F.col("template") < len(templates)))
+        .groupBy("text_hash", "row", "line", "norm", "template", "license")
         .agg((F.sum(F.col("n") * F.col("idf") * F.col("weight")) / F.col("norm")).alias("score"))
     )
     scored = scores.withColumn("score", F.round("score", 6)).where(F.col("score") >= threshold)

@@ -38,3 +38,18 @@ def test_needed_tokens_lose_no_match():
     for number in range(len(L.TEMPLATES)):
         own = [(t, x) for n, _, t, x in w.rows if n == number]
         assert sum(x * x for t, x in own if t not in w.needed) ** 0.5 < 0.6
+
+
+def test_wrapped_notices_and_titles(spark):
+    isc = "Permission to use, copy, modify,\nand distribute this software\nfor any purpose with or without\nfee is hereby granted."
+    gpl = "This program is licensed\nunder the GNU General Public\nLicense, version 2."
+    comment = lambda text: "".join(f" * {x}\n" for x in text.split("\n"))
+    long = "lorem ipsum dolor sit amet " * 400
+    got = scan(spark, [
+        ("a/x.c", isc), ("b/x.c", f"{long}\n\n{gpl}\n \t\n{long}"), ("c/x.c", f"/*\n * Copyright 2020 Nobody\n *\n{comment(gpl)} *\n * {long}\n */\n{long}"),
+        ("d/x.c", f"head\r\n\r\n{isc}\r\n\r\n{long}"), ("e/LICENSE", f"  GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991\n\n{long}"), ("e/x.c", long),
+        ("f/LICENSE", f"GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n{long}"), ("g/LICENSE", f"Mozilla Public License\nVersion 2.0\n\n{long}"),
+        ("h/LICENSE", isc.replace("\n", "\n\n")), ("i/x.c", "GNU\n" + long + "\nPublic License"),
+    ])
+    want = ["ISC", "GPL-2.0", "GPL-2.0", "ISC", "GPL-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "ISC", None]
+    assert [got[p][3] for p in ("a/x.c", "b/x.c", "c/x.c", "d/x.c", "e/LICENSE", "e/x.c", "f/LICENSE", "g/LICENSE", "h/LICENSE", "i/x.c")] == want
