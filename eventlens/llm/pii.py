@@ -150,10 +150,14 @@ _MARKED_AT, _MARKED_DOT = re.compile(_AT, re.IGNORECASE), re.compile(_DOT, re.IG
 _HAS_MARK = re.compile(r"[\[({<]\s*(?:at|@|arroba|ät|dot|\.|punkt|point|punto)\s*[\])}>]", re.IGNORECASE)
 _LABEL = r"[A-Za-z0-9_%+-]+"
 _DOT_WORD = r"(?:\x20dot\x20|\x20punkt\x20|\x20punto\x20|\x20point\x20)"
-#: With bare words only a well-known end is taken for a host, since "at" and "dot" are words as well.
+#: After a written dot only a well-known end is taken for a host, since "at" and "dot" are words as well.
 _ENDS = "(?:com|org|net|edu|gov|mil|int|info|biz|name|dev|app|io|co|ai|me|tv|eu|us|uk|ca|au|nz|in|de|at|ch|fr|be|es|pt|it|nl|pl|ru|br|mx|jp|cn|kr|example|test)"
+#: After a word for the dot any two letters or more are, but for words that often follow the noun and are no ends of hosts.
+_NO_ENDS = "(?:and|or|the|that|this|of|on|with|was|were|und|oder|der|die|das|et|ou|les|los|las)"
 #: name at host dot end, with bare words; the name may have dots of either kind
-_BARE = re.compile(rf"(?<![\w.]){_LABEL}(?:(?:{_DOT_WORD}|\.){_LABEL})*(?:\x20at\x20|\x20arroba\x20|@)(?:{_LABEL}(?:{_DOT_WORD}|\.))+{_ENDS}(?![\w-])", re.IGNORECASE)
+_BARE = re.compile(
+    rf"(?<![\w.]){_LABEL}(?:(?:{_DOT_WORD}|\.){_LABEL})*(?:\x20at\x20|\x20arroba\x20|@)(?:{_LABEL}(?:{_DOT_WORD}|\.))*{_LABEL}"
+    rf"(?:{_DOT_WORD}(?!{_NO_ENDS}(?![\w-]))[A-Za-z]{{2,}}|(?:{_DOT_WORD}|\.){_ENDS})(?![\w-])", re.IGNORECASE)
 #: dotted numbers with a word for the dot
 _NUMBER_DOT = re.compile(rf"(?<=[0-9]){_DOT_WORD}(?=[0-9])", re.IGNORECASE)
 #: a word for the dot, or one for the at before a host with a written dot: every edit of bare words has one

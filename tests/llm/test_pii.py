@@ -122,6 +122,16 @@ def test_runs_alone_hold_no_span(monkeypatch):
     assert got == [P.find_spans(t) for t in texts]
 
 
+@pytest.mark.parametrize("text, found", [
+    ("write to ana at empresa dot cl today", "ana at empresa dot cl"), ("lars at firma dot dk", "lars at firma dot dk"),
+    ("eva arroba mail punto museo dot museum.", "eva arroba mail punto museo dot museum"), ("bob at example dot com dot and more", "bob at example dot com"),
+    ("bob at example dot foo.com", "bob at example dot foo.com"), ("bob at example.firma now", None), ("he looked at the dot on top", None),
+])
+def test_any_ending_after_a_spelled_dot(text, found):
+    assert [text[a:b] for _, a, b in P.find_spans(text)[1]] == ([found] if found else [])
+    assert not any(re.fullmatch(P._ENDS, w) for w in P._NO_ENDS[3:-1].split("|"))
+
+
 def test_tests_hold_wherever_something_is_replaced():
     assert all(P._ODD.match(chr(c)) for c in P._CHARACTERS)
     rng = random.Random(5)
