@@ -2,8 +2,8 @@
 
 Both tokenizers encode a space followed by the text.  A text is first cut before every space that follows a visible
 character: a byte-level BPE with the usual word pattern and a piece BPE whose pieces hold the space mark only in front
-both end a token there, whatever stands around, so each distinct segment of a chunk is encoded and aligned once.
-Vocabularies without that property (``PieceCodec.cuts``) get whole texts as segments.
+both end a token there, whatever stands around, so a worker encodes and aligns each distinct segment once and keeps it
+while room lasts.  Vocabularies without that property (``PieceCodec.cuts``) get whole texts as segments.
 
 Within the segments the tokens are divided and conquered (``shared_cuts``): take the middle end of the first
 tokenizer's tokens, find it among the ends of the second one by bisection, go to the nearest end that both share,
@@ -33,11 +33,15 @@ from eventlens.session import materialise
 
 TOKENIZER_A = "/opt/tokenizers/byte_bpe_50k.json"
 TOKENIZER_B = "/opt/tokenizers/piece_bpe_32k.model"
-#: Bytes of text whose distinct segments are encoded together; a longer text is a chunk of its own.
-CHUNK_BYTES = 8 << 20
+#: Bytes of text that are handled together; a longer text is a chunk of its own.
+CHUNK_BYTES = 2 << 20
+#: New segments that are encoded together, and tokens that a worker keeps of earlier ones before it starts afresh.
+NEW_SEGMENTS = 1 << 14
+KEPT_TOKENS = 1 << 21
 #: Steps outwards from the middle in arrays before an interval is searched on its own.
 STEPS = 8
 _ID_BITS = 24
+_ENCODERS: dict = {}
 _STATS = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -57,6 +61,7 @@ class ByteCodec:
             self.bytes_of[i] = bytes(byte_of[c] for c in piece)
         pre = json.loads(data).get("pre_tokenizer") or {}
         self.cuts = pre.get("type") == "ByteLevel" and bool(pre.get("use_regex", True))
+        self.sizes = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
 
     def encode(self, segments: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(segments, add_special_tokens=False)]
@@ -79,6 +84,7 @@ class PieceCodec:
             else:
                 self.bytes_of.append(piece.replace("▁", " ").encode())
         self.cuts = all(set(piece) == {"▁"} or "▁" not in piece[1:] for piece in map(self.model.id_to_piece, range(self.model.vocab_size())))
+        self.sizes = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
         self.space = [self.model.piece_to_id("▁")]
 
     def encode(self, segments: list[str]) -> list[list[int]]:
@@ -170,21 +176,18 @@ def _joins(segments: list[str], ids: list[list[int]], codec) -> np.ndarray:
 
 
 class Segments:
-    """The distinct segments of a chunk: their tokens, groups, links and the text of their groups."""
+    """Segments with their tokens, groups, links and the text of their groups."""
 
     def __init__(self, segments: list[str], a, b):
         ids_a, ids_b = a.encode(segments), b.encode(segments)
         self.good = _joins(segments, ids_a, a) & _joins(segments, ids_b, b)
         ids_a = [i if ok else [] for i, ok in zip(ids_a, self.good)]
         ids_b = [i if ok else [] for i, ok in zip(ids_b, self.good)]
-        # tokens without bytes of their own end where the one before does, and belong to its group
         (self.a, a_of), (self.b, b_of) = _flat(ids_a), _flat(ids_b)
-        size_a, size_b = (np.fromiter(map(len, c.bytes_of), np.int64, len(c.bytes_of)) for c in (a, b))
-        ends_a, ends_b = np.cumsum(size_a[self.a]), np.cumsum(size_b[self.b])
+        ends_a, ends_b = np.cumsum(a.sizes[self.a]), np.cumsum(b.sizes[self.b])
         self.last_a, self.last_b = shared_cuts(ends_a, ends_b, a_of, b_of)
         self.n_a, self.n_b = np.diff(a_of), np.diff(b_of)
-        self.of = np.searchsorted(self.last_a, a_of)  # groups before each segment, and all
-        self.n_groups = np.diff(self.of)
+        self.n_groups = np.diff(np.searchsorted(self.last_a, a_of))
         self.pairs = (self.b[self.last_b] << _ID_BITS) | self.a[self.last_a]
 
     def texts(self) -> list[bytes]:
@@ -213,6 +216,37 @@ class Segments:
         return [text[x:max(x, y - 1)] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
+class Encoder:
+    """Two codecs and the segments that they have met, each under a number."""
+
+    def __init__(self, a, b):
+        self.a, self.b = a, b
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.texts: list[bytes] = []
+        self.counts = np.zeros((4, 0), np.int64)  # tokens of a, of b, groups, and whether the bytes differ
+        self.pairs = np.zeros(0, np.int64)
+        self.first = np.zeros(1, np.int64)  # pairs before each segment, and all
+
+    def numbers(self, segments: list[str]) -> np.ndarray:
+        """The numbers of distinct segments; they hold until the next call."""
+        if len(self.pairs) > KEPT_TOKENS or len(self.number) > KEPT_TOKENS >> 2:
+            self._forget()
+        new = [s for s in segments if s not in self.number]
+        counts, pairs = [self.counts], [self.pairs]
+        for begin in range(0, len(new), NEW_SEGMENTS):
+            part = Segments(new[begin:begin + NEW_SEGMENTS], self.a, self.b)
+            self.texts += part.texts()
+            counts.append(np.stack([part.n_a, part.n_b, part.n_groups, ~part.good]))
+            pairs.append(part.pairs)
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        self.counts, self.pairs = np.concatenate(counts, axis=1), np.concatenate(pairs)
+        self.first = np.concatenate([[0], np.cumsum(self.counts[2])])
+        return np.fromiter(map(self.number.__getitem__, segments), np.int64, len(segments))
+
+
 def chunks(batches, limit: int = CHUNK_BYTES):
     """Runs of rows (record batches) with about ``limit`` bytes of text each; null texts are empty."""
     for batch in batches:
@@ -235,42 +269,47 @@ def _buffer(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(data, offsets[:-1], 32), offsets + np.arange(len(offsets))
 
 
-def _encode_chunk(chunk: pa.RecordBatch, a, b, with_groups: bool):
-    """What a chunk keeps: its rows' fixed results, segments by row, pairs by segment."""
+def _encode_chunk(chunk: pa.RecordBatch, encoder: Encoder, with_groups: bool):
+    """What a chunk keeps: its rows' fixed results, and how often each row holds each pair; and the chunk's sums of pairs."""
     buf, docs = _buffer(chunk.column("text"))
-    starts = segment_starts(buf, docs[:-1]) if a.cuts and b.cuts else docs[:-1]
+    starts = segment_starts(buf, docs[:-1]) if encoder.a.cuts and encoder.b.cuts else docs[:-1]
     bounds = np.append(starts, len(buf))
-    strings = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(buf.tobytes())).dictionary_encode()
-    codes = strings.indices.to_numpy(zero_copy_only=False)
-    segments = Segments(strings.dictionary.to_pylist(), a, b)
-    texts = segments.texts()
-    rows = np.searchsorted(starts, docs)  # segments before each row, and all
-    empty = np.diff(docs) == 1
-    sums = {k: np.concatenate([[0], np.cumsum(v[codes])])[rows] for k, v in (("a", segments.n_a), ("b", segments.n_b), ("g", segments.n_groups), ("bad", (~segments.good).astype(np.int64)))}
-    none = empty | (np.diff(sums["bad"]) > 0)
+    strings = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(buf)).dictionary_encode()
+    codes = encoder.numbers(strings.dictionary.to_pylist())[strings.indices.to_numpy(zero_copy_only=False)]
+    first = np.searchsorted(starts, docs)  # segments before each row, and all
+    per_row = np.diff(np.concatenate([np.zeros((4, 1), np.int64), np.cumsum(encoder.counts[:, codes], axis=1)], axis=1)[:, first])
+    none = (np.diff(docs) == 1) | (per_row[3] > 0)
+    per_row[:, none] = 0
     groups = []
-    for i, (x, y) in enumerate(zip(rows[:-1].tolist(), rows[1:].tolist())):
-        groups.append(b"" if none[i] else b";".join([texts[c] for c in codes[x:y].tolist()]))
+    for skip, x, y in zip(none.tolist(), first[:-1].tolist(), first[1:].tolist()):
+        groups.append(b"" if skip else b";".join([encoder.texts[c] for c in codes[x:y].tolist()]))
     sha = [hashlib.sha256(g).hexdigest() if g else "" for g in groups]
-    counts = [np.where(none, 0, np.diff(sums[k])) for k in "abg"]
-    ids = chunk.column("id").to_pylist()
-    # pairs count in rows that have tokens only
-    kept = np.repeat(~none, np.diff(rows))
-    times = np.bincount(codes[kept], minlength=len(texts))
-    pairs, which = np.unique(segments.pairs, return_inverse=True)
-    seen = np.zeros(len(pairs), np.int64)
-    np.add.at(seen, which, np.repeat(times, segments.n_groups))
-    blob = dump(ids, none, [narrow(c) for c in counts], sha, narrow(rows), narrow(codes), narrow(segments.of), narrow(which), pairs, [g.decode() for g in groups] if with_groups else None)
-    return blob, pairs[seen > 0], seen[seen > 0]
+    # the pairs of each row, counted by sorting (row, pair)
+    row = np.repeat(np.arange(len(none)), np.diff(first))
+    codes, row = codes[~none[row]], row[~none[row]]
+    n = encoder.counts[2, codes]
+    at = np.repeat(encoder.first[codes] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+    pairs, which = np.unique(encoder.pairs[at], return_inverse=True)
+    keys, times = np.unique(np.repeat(row, n) * len(pairs) + which, return_counts=True)
+    which = keys % max(len(pairs), 1)
+    links = np.searchsorted(keys, np.arange(len(none) + 1) * len(pairs))
+    total = np.zeros(len(pairs), np.int64)
+    np.add.at(total, which, times)
+    blob = dump(chunk.column("id").to_pylist(), [narrow(c) for c in per_row[:3]], sha, pairs, narrow(links), narrow(which), narrow(times),
+                [g.decode() for g in groups] if with_groups else None)
+    return blob, pairs, total
 
 
 def _encoder(files, with_groups: bool):
     def encode(batches):
-        a, b = ByteCodec(files.value[0]), PieceCodec(files.value[1])
+        key = tuple(hashlib.sha256(f).digest() for f in files.value)
+        if key not in _ENCODERS:  # a worker serves many tasks; its encoder stays
+            _ENCODERS.clear()
+            _ENCODERS[key] = Encoder(ByteCodec(files.value[0]), PieceCodec(files.value[1]))
         for chunk in chunks(batches):
-            blob, pairs, seen = _encode_chunk(chunk, a, b, with_groups)
+            blob, pairs, total = _encode_chunk(chunk, _ENCODERS[key], with_groups)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().hex]), pa.array([blob], pa.binary()), pa.array([pairs], pa.list_(pa.int64())), pa.array([seen], pa.list_(pa.int64()))],
+                [pa.array([uuid.uuid4().hex]), pa.array([blob], pa.binary()), pa.array([pairs], pa.list_(pa.int64())), pa.array([total], pa.list_(pa.int64()))],
                 ["chunk", "blob", "pairs", "seen"])
 
     return encode
@@ -280,17 +319,18 @@ def _finisher(with_groups: bool):
     columns = ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"] + ["groups"] * with_groups
 
     def finish(_, stored: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        ids, none, (n_a, n_b, n_groups), sha, rows, codes, of, which, pairs, groups = load(stored["blob"].iloc[0])
+        ids, counts, sha, pairs, links, which, times, groups = load(stored["blob"].iloc[0])
+        n_a, n_b, n_groups = (c.astype(np.int64) for c in counts)
         total, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
         at = np.searchsorted(pairs, answers["pair"].to_numpy(np.int64))
         total[at], best[at] = answers["total"].to_numpy(np.int64), answers["best"].to_numpy(np.int64)
+        links, times = links.astype(np.int64), times.astype(np.int64)
 
         def per_row(value):
-            by_segment = np.diff(np.concatenate([[0], np.cumsum(value[which])])[of.astype(np.int64)])
-            return np.where(none, 0, np.diff(np.concatenate([[0], np.cumsum(by_segment[codes])])[rows.astype(np.int64)]))
+            return np.diff(np.concatenate([[0], np.cumsum(value[which] * times)])[links])
 
-        out = {"id": pd.array(ids, dtype="Int64"), "n_a": n_a.astype(np.int64), "n_b": n_b.astype(np.int64), "n_groups": n_groups.astype(np.int64),
-               "n_links": n_groups.astype(np.int64), "n_best": per_row(best), "count_sum": per_row(total), "groups_sha256": sha, "groups": groups}
+        out = {"id": pd.array(ids, dtype="Int64"), "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_groups,
+               "n_best": per_row(best), "count_sum": per_row(total), "groups_sha256": sha, "groups": groups}
         return pd.DataFrame({c: out[c] for c in columns})
 
     return finish

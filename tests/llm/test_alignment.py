@@ -97,10 +97,16 @@ def test_chunks_and_whole_texts_as_segments(spark, codecs, monkeypatch):
     parts = list(A.chunks([batch], 300))
     assert len(parts) > 5 and [x for p in parts for x in p.column("id").to_pylist()] == [r[0] for r in rows]
     _, _, a, b = codecs
-    cut = A.load(A._encode_chunk(next(A.chunks([batch])), a, b, True)[0])
+    cut = A.load(A._encode_chunk(next(A.chunks([batch])), A.Encoder(a, b), True)[0])
     monkeypatch.setattr(b, "cuts", False)
-    whole = A.load(A._encode_chunk(next(A.chunks([batch])), a, b, True)[0])
-    assert cut[3] == whole[3] and cut[-1] == whole[-1]
+    whole = A.load(A._encode_chunk(next(A.chunks([batch])), A.Encoder(a, b), True)[0])
+    assert cut[2] == whole[2] and cut[-1] == whole[-1]
+    # an encoder that keeps forgetting gives the same
+    monkeypatch.setattr(b, "cuts", True)
+    monkeypatch.setattr(A, "KEPT_TOKENS", 50)
+    forgetful = A.Encoder(a, b)
+    shas = [x for p in A.chunks([batch], 300) for x in A.load(A._encode_chunk(p, forgetful, True)[0])[2]]
+    assert shas == cut[2]
 
 
 def test_divide_and_conquer_finds_every_shared_end():
