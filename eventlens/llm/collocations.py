@@ -4,9 +4,9 @@ Phrases of two to five words that occur ``least`` times are found without counti
 
 1. Words are counted exactly; only phrases of frequent words go on.
 2. Every chunk of text sums its phrases by 64-bit hash and deals them to hash partitions.  A partition's chunks are
-   merged into one Misra-Gries summary (``merge``) whose capacity exceeds the partition's mass divided by ``least``.
-   All counters together lose less than ``least``, so no frequent phrase can be missing from the summary.  Pairs go
-   first; longer phrases must consist of surviving pairs.
+   merged into one Misra-Gries summary (``merge``) whose capacity exceeds ``SLACK`` times the partition's mass divided
+   by ``least``.  So a counter loses less than ``least / SLACK``: no frequent phrase can be missing from the summary, and
+   few others look as if they could be frequent.  Pairs go first; longer phrases must consist of surviving pairs.
 3. A second pass counts the survivors exactly, by their words and not by their hash.
 
 The filters that the passes share are bitmaps of a fixed size.  They let some more phrases through, never fewer, so
@@ -32,6 +32,10 @@ from eventlens.session import materialise
 LEAST = 100
 LONGEST = 5
 TOP = 2000
+#: Counters of a summary beyond what its guarantee needs, as a factor.
+SLACK = 16
+#: Bytes of text that are handled together.
+CHUNK_BYTES = 4 << 20
 #: Positions in the bitmaps that passes share, as a power of two: 16 MB each.
 FILTER_BITS = 27
 #: Bytes of text whose phrases one hash partition summarises.
@@ -152,7 +156,7 @@ def _phrases(words: Words, usable: np.ndarray, longest: int):
 
 
 def _word_counts(batches):
-    for chunk in chunks(batches):
+    for chunk in chunks(batches, CHUNK_BYTES):
         words = words_of(chunk)
         n = np.bincount(words.of, minlength=len(words.word))
         langs = np.array(words.langs, dtype=object)
@@ -168,7 +172,7 @@ def _summaries(lengths: tuple[int, int], parts: int, frequent, pairs):
 
     def run(batches):
         known, good_pairs = Filter(frequent.value), Filter(pairs.value) if pairs else None
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, CHUNK_BYTES):
             words = words_of(chunk)
             found, state = [], _phrases(words, known.holds(words.hashes()), longest)
             step = next(state)
@@ -192,7 +196,7 @@ def _summaries(lengths: tuple[int, int], parts: int, frequent, pairs):
 
 def _survivors(least: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        capacity = int(rows["mass"].sum()) // least + 1
+        capacity = SLACK * int(rows["mass"].sum()) // least + 1
         summary = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         for blob in rows["blob"]:
             keys, counts = load(blob)
@@ -208,7 +212,7 @@ def _exact_counts(longest: int, frequent, survivors):
 
     def run(batches):
         known, left = Filter(frequent.value), Filter(survivors.value)
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, CHUNK_BYTES):
             words = words_of(chunk)
             n_words, out = len(words.word), []
             number = words.of.copy()  # of the phrase that begins at each word, among those of its length
