@@ -56,6 +56,19 @@ TOOL_RULES = [
 ]
 SIX_TOOLS = [label for label, _ in TOOL_RULES]
 
+# --- the same tools as a commit search asks for them: words of a phrase, or the account -------------------------
+SEARCH_RULES = [
+    ("claude", [("message", "phrase", "Co-Authored-By: Claude")]),
+    ("aider", [("message", "phrase", "Co-authored-by: aider")]),
+    ("openai_codex", [("message", "phrase", "noreply@openai.com"), ("author_email", "equals", "noreply@openai.com")]),
+    ("devin", [("login", "equals", "devin-ai-integration[bot]")]),
+    ("jules", [("login", "equals", "google-labs-jules[bot]")]),
+    ("gemini_assist", [("message", "phrase", "Co-authored-by: gemini-code-assist")]),
+    ("copilot_agent", [("login", "equals", "copilot-swe-agent[bot]")]),
+    ("copilot_coauthor", [("message", "phrase", "Co-authored-by: Copilot")]),
+]
+SOURCE_RULES = {"archive": TOOL_RULES, "search": SEARCH_RULES}
+
 VARIANT_RULES = [
     ("opus", [("message", "regex", r"(?i)co-authored-by:\s*claude\s+opus")]),
     ("sonnet", [("message", "regex", r"(?i)co-authored-by:\s*claude\s+sonnet")]),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlens import config
-from eventlens.functions.rules import arm, first_match
+from eventlens.functions.rules import account_identity, any_signal, arm, first_match, first_match_by_source, rule_table, with_signals
 from eventlens.operators.ranking import top_k, topn_per_group
 from eventlens.sources.archive import explode_commits, prefilter, pushes
 
@@ -81,16 +81,36 @@ def _per_repo(commits: DataFrame, keys) -> DataFrame:
     )
 
 
-def variant_breakdown(archive: DataFrame, **kw) -> DataFrame:
+def variant_breakdown(archive: DataFrame, needles=None, use_prefilter: bool = True) -> DataFrame:
+    """Attributed commits by the variant that they name; each signal is evaluated once per commit."""
+    rows = prefilter(pushes(archive), needles or config.NEEDLES_SINGLE, use_prefilter)
+    claude = dict(config.TOOL_RULES)["claude"]
+    commits, known = with_signals(explode_commits(rows, ("message", "author_email"), keep=["repo_name"]), claude)
     return (
-        attributed_commits(archive, **kw)
-        .select("repo_name", first_match(config.VARIANT_RULES, config.VARIANT_DEFAULT).alias("attribution_type"))
+        commits.where(any_signal(claude, known))
+        .select("repo_name", first_match(config.VARIANT_RULES, config.VARIANT_DEFAULT, known).alias("attribution_type"))
         .groupBy("attribution_type")
         .agg(F.count("*").alias("commit_count"), F.countDistinct("repo_name").alias("distinct_repos"))
         .orderBy(F.desc("commit_count"), "attribution_type")
     )
 
 
+def tool_monthly_by_source(commits: DataFrame, rules_of: dict[str, list] | None = None) -> DataFrame:
+    """Commits of several sources (column ``source``) per month and tool: how many each source sees, and whom.
+
+    ``commits`` has source, created_at, login, repo_name, message, author_name, author_email.  Every source is held
+    against its own rules; developers are counted by identity, so an account that two sources write differently is one.
+    """
+    rules_of = rules_of or config.SOURCE_RULES
+    tool = F.explode(F.array(first_match_by_source(rule_table(rules_of)))).alias("tool")
+    rows = commits.select("source", "created_at", account_identity(F.col("login")).alias("login"), "repo_name", tool).where("tool IS NOT NULL")
+    per = rows.groupBy(*year_month(), "tool", "repo_name", "login").agg(
+        *[F.count_if(F.col("source") == s).alias(f"commits_{s}") for s in rules_of])
+    return per.groupBy("year", "month", "tool").agg(
+        *[F.sum(f"commits_{s}").alias(f"commits_{s}") for s in rules_of],
+        F.countDistinct("repo_name").alias("distinct_repos"), F.countDistinct("login").alias("distinct_developers"))
+
+
 def commit_sample(archive: DataFrame, k: int = 1000, per_month: bool = False, **kw) -> DataFrame:
     """The latest attributed commits with full metadata."""
     rows = attributed_commits(archive, fields=("sha", "message", "author_name", "author_email"), **kw).select(

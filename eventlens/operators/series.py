@@ -54,9 +54,8 @@ def stitch_series(exact: DataFrame, other: DataFrame, keys: list[str], by_month:
     if by_month:
         known = F.bool_or("_exact").over(Window.partitionBy(*keys, "month"))
         return both.withColumn("_known", known).where(F.col("_exact") | ~F.col("_known")).drop("_exact", "_known")
-    last = F.max(F.when(F.col("_exact"), F.col("month"))).over(Window.partitionBy())
-    return both.withColumn("_last", last).where(
-        F.col("_exact") | F.col("_last").isNull() | (F.col("month") > F.col("_last"))).drop("_exact", "_last")
+    last = exact.agg(F.max("month")).scalar()
+    return both.where(F.col("_exact") | last.isNull() | (F.col("month") > last)).drop("_exact")
 
 
 def pivot_series(df: DataFrame, index: str, column: str, names: list[str], values: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from eventlens.functions.rules import arm, contains_any, first_match
 from eventlens.operators import attribution as A
 from eventlens.plans.registry import query
 from eventlens.plans.sqlbase import ORDER_PUSHES, YM, case_sql, commits_cte, needle_sql, tool_sql, DOC_LINES
-from eventlens.sources.adapters import document_archive, order_archive
+from eventlens.sources.adapters import commits_of_two_sources, document_archive, nested_archive, order_archive
 from eventlens.sources.archive import explode_commits, in_months, month_range, prefilter, pushes
 
 _SINGLE = commits_cte(config.NEEDLES_SINGLE)
@@ -109,10 +109,19 @@ def archive_listed_months(spark, d):
         F.count("*").alias("n"), F.countDistinct("login").alias("developers"))
 
 
-@query("exploded_commits", "PF3", "PF4", "SC3", "SC4", "J2", sql=f"""{commits_cte(push_only=False)}
-SELECT type, created_at, login, repo_name, sha, message, author_name, author_email FROM commits""")
+# objects, arrays and other than objects in place of fields give null; an object in place of the array gives no rows
+_NESTED = f"""{commits_cte(push_only=False)}
+SELECT type, created_at, login, repo_name,
+       CASE WHEN k % 67 <> 6 THEN CASE WHEN k % 47 = 2 THEN CAST(pos AS VARCHAR) ELSE sha END END AS sha,
+       CASE WHEN k % 67 <> 6 AND k % 53 <> 3 AND k % 59 <> 4 THEN message END AS message,
+       CASE WHEN k % 67 <> 6 AND k % 61 <> 5 THEN author_name END AS author_name,
+       CASE WHEN k % 67 <> 6 AND k % 61 <> 5 THEN author_email END AS author_email
+FROM commits WHERE doc_id % 43 <> 7"""
+
+
+@query("exploded_commits", "PF3", "PF4", "SC3", "SC4", "J2", sql=_NESTED)
 def exploded_commits(spark, d):
-    return explode_commits(document_archive(spark, d))
+    return explode_commits(nested_archive(spark, d))
 
 
 @query("payload_prefilter", "PF2", "SC2", sql=f"""WITH {DOC_LINES},
@@ -128,6 +137,20 @@ def payload_prefilter(spark, d):
         F.count_if(contains_any(F.col("payload"), config.NEEDLES_SINGLE)).alias("pushes_single"))
 
 
+_SEARCHED = f"""SELECT * REPLACE (CASE doc_id % 37 WHEN 0 THEN 'devin-ai-integration[bot]' WHEN 1 THEN 'google-labs-jules[bot]'
+                 WHEN 2 THEN 'copilot-swe-agent[bot]' ELSE login END AS login) FROM commits"""
+
+
+@query("tool_monthly_by_source", "PF7", "PF8", "AG4", sql=f"""{_PLAIN},
+labelled AS (SELECT 'archive' AS source, *, {_TOOL} AS tool FROM commits
+             UNION ALL SELECT 'search', *, {case_sql(config.SEARCH_RULES)} FROM ({_SEARCHED}))
+SELECT {YM}, tool, count(*) FILTER (source = 'archive') AS commits_archive, count(*) FILTER (source = 'search') AS commits_search,
+       count(DISTINCT repo_name) AS distinct_repos, count(DISTINCT replace(login, '[bot]', '')) AS distinct_developers
+FROM labelled WHERE tool IS NOT NULL GROUP BY 1, 2, 3""".replace(")\n,\nlabelled", "),\nlabelled"))
+def tool_monthly_by_source(spark, d):
+    return A.tool_monthly_by_source(commits_of_two_sources(spark, d))
+
+
 @query("attribution_signals", "PF5", "PF7", "PF8", "SC5", sql=f"""{_PLAIN}
 SELECT {', '.join(f"count(*) FILTER ({tool_sql(t)}) AS n_{t}" for t in config.SIX_TOOLS)},
        count(*) FILTER (({_TOOL}) IS NOT NULL) AS n_any, count(*) AS n FROM commits""")

@@ -6,6 +6,8 @@ or parse JSON, so they check the payload round trip as well.
 
 from __future__ import annotations
 
+import re
+
 from eventlens import config
 from eventlens.sources import adapters
 
@@ -26,6 +28,8 @@ def _esc(s: str) -> str:
 def signal_sql(column: str, kind: str, value: str) -> str:
     if kind == "equals":
         return f"{column} = {lit(value)}"
+    if kind == "phrase":
+        value = r"(?i)\b" + r"[^0-9A-Za-z]+".join(w for w in re.split(r"\W+|_", value) if w) + r"\b"
     return f"regexp_matches({column}, {lit(value)})"
 
 
@@ -60,7 +64,7 @@ doc_lines AS (
         FROM documents)
 ),
 doc_commits AS (
-  SELECT doc_id,
+  SELECT doc_id, pos, k,
          TIMESTAMP '2025-01-01' + to_hours(CAST((doc_id * 37) % 12000 AS INTEGER)) AS created_at,
          'PushEvent' AS type,
          CASE WHEN doc_id % 37 = 0 THEN 'devin-ai-integration'

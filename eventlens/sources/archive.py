@@ -87,31 +87,34 @@ def prefilter(df: DataFrame, needles, enabled: bool = True) -> DataFrame:
     return df.where(contains_any(F.col("payload"), needles)) if enabled else df
 
 
-_FIELDS = {
-    "sha": ("sha: STRING", "c.sha"),
-    "message": ("message: STRING", "c.message"),
-    "author_name": ("name: STRING", "c.author.name"),
-    "author_email": ("email: STRING", "c.author.email"),
-}
+_FIELDS = {"sha": "$.sha", "message": "$.message", "author_name": "$.author.name", "author_email": "$.author.email"}
+
+
+def scalar_text(value: Column, path: str = "$") -> Column:
+    """Text of a scalar inside a VARIANT; objects, arrays, JSON null and a missing path are null.
+
+    Numbers come back in their canonical form, booleans as true and false.
+    """
+    found = F.try_variant_get(value, path, "variant")
+    kind = F.substring_index(F.schema_of_variant(found), "<", 1)
+    return F.when(~kind.isin("OBJECT", "ARRAY"), F.try_variant_get(found, "$", "string"))
 
 
 def explode_commits(
     df: DataFrame, fields=("sha", "message", "author_name", "author_email"), keep=None, position: bool = False
 ) -> DataFrame:
-    """One row per element of ``$.commits``; a missing, null or empty array yields none.
+    """One row per element of ``$.commits``; a missing, null, empty or other than array value yields none.
 
-    The parse schema lists only the requested fields, so the JSON reader skips
-    the rest of each document.
+    A payload is parsed once, and only ``commits`` of it is kept, as VARIANT elements.  Fields are read from an
+    element when it is asked for them; a value that is no scalar is null, and so are all fields of an element that is no
+    object.  The fields come out of a generator, so that conditions on them don't read the element again.
     """
-    members = [_FIELDS[f][0] for f in fields if not f.startswith("author")]
-    author = [_FIELDS[f][0] for f in fields if f.startswith("author")]
-    if author:
-        members.append(f"author: STRUCT<{', '.join(author)}>")
-    parsed = F.from_json("payload", f"commits ARRAY<STRUCT<{', '.join(members)}>>").getField("commits")
     keep = keep or [c for c in df.columns if c != "payload"]
+    parsed = F.from_json("payload", "commits ARRAY<VARIANT>").getField("commits")
     gen = F.posexplode(parsed).alias("commit_pos", "c") if position else F.explode(parsed).alias("c")
     extra = ["commit_pos"] if position else []
-    return df.select(*keep, gen).select(*keep, *extra, *[F.col(_FIELDS[f][1]).alias(f) for f in fields])
+    values = F.struct(*[scalar_text(F.col("c"), _FIELDS[f]).alias(f) for f in fields])
+    return df.select(*keep, gen).select(*keep, *extra, F.inline(F.array(values)))
 
 
 def push_size() -> Column:

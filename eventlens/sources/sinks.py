@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from eventlens.operators.series import upsert_latest
-
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     w = df.write.mode("overwrite")
@@ -25,9 +23,3 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_json(df: DataFrame, path: str) -> None:
     """One JSON object per row; nested structs, arrays and maps are kept."""
     df.write.mode("overwrite").json(path)
-
-
-def write_upsert(spark, new: DataFrame, path: str, previous: str | None, keys: list[str], version: str) -> None:
-    """Merge into the previous table and write the result to a new path, so a failed write loses nothing."""
-    old = spark.read.parquet(previous) if previous else None
-    upsert_latest(old, new, keys, version).write.mode("overwrite").parquet(path)

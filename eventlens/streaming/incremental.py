@@ -1,10 +1,9 @@
 """Incremental ingest with Structured Streaming.
 
-Each micro-batch is reduced to a mergeable form and written under its batch
-number, overwriting whatever a failed attempt left there, so a restart repeats
-no work and loses none.  A batch then brings the result table up to date for the
-months that it touches; every version of that table is written next to the
-one before, so a failed write loses nothing.
+Each micro-batch is reduced to a mergeable form and stored by month under its batch number, overwriting whatever a
+failed attempt left there, so a restart repeats no work and loses none.  A batch then reads again only the months
+that it touches, and commits a new version of the result table (``sources.versions``).  A result table belongs to one
+checkpoint: a batch whose version is committed is done.
 """
 
 from __future__ import annotations
@@ -16,8 +15,10 @@ from pyspark.sql import functions as F
 
 from eventlens.operators import windows as W
 from eventlens.operators.attribution import identity_counts, labelled_commits, year_month
-from eventlens.sources.sinks import write_upsert
+from eventlens.operators.series import upsert_latest
+from eventlens.operators.sketches import LG_K, distinct_estimates, merge_sketches, sketch_distinct
 from eventlens.sources.tables import OBSERVATION_SCHEMA, dedupe_observations
+from eventlens.sources.versions import committed, read_version, version_path, write_version
 
 
 def consume_available(stream: DataFrame, put: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -41,31 +42,56 @@ def observation_stream(spark: SparkSession, path: str, files_per_batch: int = 10
     )
 
 
+def _store(rows: DataFrame, store: str, batch_id: int, by: list[str], labels: list[str] = ()) -> list:
+    """Write a batch under the directories of ``by``, one file each, and the combinations of them and ``labels`` that it touches.
+
+    At most one combination per calendar month and label reaches the driver.
+    """
+    rows = rows.withColumn("batch", F.lit(batch_id)).persist()
+    try:
+        rows.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "batch").parquet(store)
+        return rows.select(*by, *labels).distinct().collect()
+    finally:
+        rows.unpersist()
+
+
+def read_touched(spark: SparkSession, store: str, touched: list, by: list[str], schema: str, labels: list[str] = ()) -> DataFrame:
+    """The stored rows of some combinations: only the directories that they name are listed and read."""
+    paths = sorted({"/".join([store, *(f"{c}={t[c]}" for c in by)]) for t in touched})
+    if not paths:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).option("basePath", store).parquet(*paths)
+    if not labels:
+        return rows
+    label = F.concat_ws("\0", *[F.col(c).cast("string") for c in (*by, *labels)])
+    return rows.where(label.isin(["\0".join(str(t[c]) for c in (*by, *labels)) for t in touched]))
+
+
 def _upsert(spark: SparkSession, new: DataFrame, results: str, batch_id: int, keys: list[str]) -> None:
-    """The result table after a batch: its rows replace those of the same key in the table after the batch before."""
-    previous = f"{results}/batch={batch_id - 1}" if batch_id else None
-    write_upsert(spark, new.withColumn("version", F.lit(batch_id).cast("long")), f"{results}/batch={batch_id}", previous, keys, "version")
+    """Commit the result table after a batch: its rows replace those of the same key in the last committed version."""
+    earlier = [v for v in committed(spark, results) if v < batch_id]
+    old = spark.read.parquet(version_path(results, earlier[-1])) if earlier else None
+    write_version(upsert_latest(old, new.withColumn("version", F.lit(batch_id).cast("long")), keys, "version"), results, batch_id)
 
 
 def latest_results(spark: SparkSession, results: str) -> DataFrame:
-    rows = spark.read.parquet(results)
-    last = rows.agg(F.max("batch")).first()[0]
-    return rows.where(F.col("batch") == last).drop("batch", "version")
+    return read_version(spark, results).drop("version")
 
 
 def ingest_observations(spark: SparkSession, path: str, store: str, results: str, checkpoint: str, today,
                         files_per_batch: int = 100, **estimate) -> None:
-    """Keep the last record per key of each batch, and estimate anew the (tool, month)s that it touches.
+    """Keep the last record per key of each batch by month, and estimate anew the (tool, month)s that it touches.
 
-    Keys repeated across batches are settled on read.  ``estimate`` goes to ``estimate_months``.
+    Keys repeated across batches are settled on read, so a late record that is older than the one it repeats loses.
+    Records without a window belong to no month and are left out.  ``estimate`` goes to ``estimate_months``.
     """
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        dedupe_observations(batch).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-        month = F.date_format("start", "yyyy-MM").alias("month")
-        seen = spark.read.parquet(store)
-        touched = seen.where(F.col("batch") == batch_id).select("tool", month).distinct()
-        obs = seen.drop("batch").withColumn("month", month).join(touched, ["tool", "month"], "left_semi").drop("month")
+        if batch_id in committed(spark, results):
+            return
+        rows = dedupe_observations(batch.where("start IS NOT NULL")).withColumn("month", F.date_format("start", "yyyy-MM"))
+        touched = _store(rows, store, batch_id, ["month"], ["tool"])
+        obs = read_touched(spark, store, touched, ["month"], OBSERVATION_SCHEMA + ", month STRING, batch INT", ["tool"]).drop("month", "batch")
         _upsert(spark, W.estimate_months(dedupe_observations(obs), ["tool"], today, **estimate), results, batch_id, ["tool", "month"])
 
     consume_available(observation_stream(spark, path, files_per_batch), put, checkpoint)
@@ -92,21 +118,40 @@ def tool_counts(identities: DataFrame) -> DataFrame:
     )
 
 
-def ingest_archive(spark: SparkSession, stream: DataFrame, store: str, results: str, checkpoint: str) -> None:
+# ---- the same from stored sketches -----------------------------------------
+_SKETCHES = {"repo_name": "repo_sketch", "login": "developer_sketch"}
+
+
+def count_sketches(archive: DataFrame, lg_k: int = LG_K) -> DataFrame:
+    """Per month and tool: commits, and sketches of repositories and developers; a few kilobytes however many there are."""
+    return sketch_distinct(labelled_commits(archive), [*year_month(), "tool"], _SKETCHES, "commits", lg_k)
+
+
+def sketched_counts(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts from any union of ``count_sketches``, by month and tool or coarser keys."""
+    merged = merge_sketches(parts, keys, distinct=list(_SKETCHES.values()), sums=["commits"])
+    return distinct_estimates(merged, {"repo_sketch": "distinct_repos", "developer_sketch": "distinct_developers"})
+
+
+_MONTH_BY = ["year", "month"]
+
+
+def ingest_archive(spark: SparkSession, stream: DataFrame, store: str, results: str, checkpoint: str, sketches: bool = False) -> None:
     """Identity counts by month directory, and the counts of the months that a batch touches.
 
-    Only the directories of those months are read again.  The stream's own
-    ``maxFilesPerTrigger`` bounds a batch.
+    Only the directories of those months are read again.  With ``sketches`` a batch stores one row per month and tool
+    instead of one per identity, and distinct counts are estimates.  The stream's own ``maxFilesPerTrigger`` bounds a batch.
     """
+    reduced = count_sketches if sketches else count_identities
+    counted = (lambda rows: sketched_counts(rows, ["year", "month", "tool"])) if sketches else tool_counts
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        new = count_identities(batch).withColumn("batch", F.lit(batch_id))
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month", "batch").parquet(store)
-        rows = spark.read.parquet(store)
-        # at most one row per calendar month
-        touched = rows.where(F.col("batch") == batch_id).select("year", "month").distinct()
-        again = rows.join(F.broadcast(touched), ["year", "month"], "left_semi").drop("batch")
-        _upsert(spark, tool_counts(again), results, batch_id, ["year", "month", "tool"])
+        if batch_id in committed(spark, results):
+            return
+        rows = reduced(batch)
+        touched = _store(rows, store, batch_id, _MONTH_BY)
+        again = read_touched(spark, store, touched, _MONTH_BY, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", batch INT")
+        _upsert(spark, counted(again.drop("batch")), results, batch_id, ["year", "month", "tool"])
 
     consume_available(stream, put, checkpoint)
 

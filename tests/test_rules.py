@@ -175,3 +175,43 @@ def test_dollar_is_the_end_of_the_text(spark):
     assert [r[0] for r in df.select(re2_match(F.col("s"), "b$")).collect()] == [True, False, False]
     assert [r[0] for r in df.select(re2_match(F.col("s"), r"[$]|a\$")).collect()] == [False, False, True]
     assert from_re2(r"\\$") == r"(?d)\\\z"
+
+
+def test_fields_that_are_no_scalars_are_null(spark):
+    payloads = [
+        '{"commits":[{"sha":"a","message":{"x":"Generated with Claude Code"},"author":{"name":"n","email":["e"]}}]}',
+        '{"x":{"y":1},"commits":[{"sha":1,"message":["a"],"author":"x"},5,null,"s",{"sha":true,"message":1.5},{"sha":null,"message":"2020-01-01"},[1]]}',
+        '{"commits":{"a":1}}', '{"commits":null}', "{}", "[1]", "broken {", None, '{"commits":[]}', '{"commits":[{"sha":"a","sha":"b"}]}',
+    ]
+    df = spark.createDataFrame(list(enumerate(payloads)), "i int, payload string")
+    got = [tuple(r) for r in R.explode_commits(df).orderBy("i").collect()]
+    none = (1, None, None, None, None)
+    assert got[0] == (0, "a", None, "n", None) and got[-1] == (9, "b", None, None, None)
+    assert sorted(got[1:-1], key=repr) == sorted([(1, "1", None, None, None), none, none, none, (1, "true", "1.5", None, None), (1, None, "2020-01-01", None, None), none], key=repr)
+
+
+def test_objects_are_not_attributed(spark):
+    payloads = ['{"commits":[{"message":{"x":"Generated with Claude Code"}}]}', '{"commits":[{"message":"Generated with Claude Code"}]}']
+    rows = [("2025-01-02 00:00:00", "PushEvent", "u", "r", p) for p in payloads]
+    df = spark.createDataFrame(rows, "created_at string, type string, login string, repo_name string, payload string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    assert [r["commits"] for r in A.tool_monthly(df).collect()] == [1]
+
+
+def test_every_signal_is_evaluated_once(spark):
+    from eventlens.functions.regex import from_re2
+
+    df = spark.createDataFrame([], "created_at timestamp, type string, login string, repo_name string, payload string")
+    plan = A.variant_breakdown(df)._jdf.queryExecution().executedPlan().toString()
+    for pattern in (config.TRAILER, config.BODY_MARKER):
+        assert plan.count(from_re2(pattern)) == 1
+    assert plan.count("from_json") == 1
+
+
+def test_rules_of_a_source_hold_for_its_rows_only(spark):
+    rows = [("archive", "devin-ai-integration", None), ("search", "devin-ai-integration[bot]", None), ("archive", "devin-ai-integration[bot]", None),
+            ("search", "u", "x\nCo-Authored-By:  Claude"), ("archive", "u", "Co-Authored-By: Claude"), ("search", "u", "co authored by claude!"),
+            ("search", "u", "xco-authored-by: claude"), ("search", "u", "Co-authored-by: Copilot <c>"), ("other", "devin-ai-integration", None)]
+    df = spark.createDataFrame(rows, "source string, login string, message string").selectExpr(
+        "*", "cast('2026-01-02' as timestamp) as created_at", "'r' as repo_name", "cast(null as string) as author_name", "cast(null as string) as author_email")
+    got = {r["tool"]: (r["commits_archive"], r["commits_search"], r["distinct_developers"]) for r in A.tool_monthly_by_source(df).collect()}
+    assert got == {"devin": (1, 1, 1), "claude": (0, 2, 1), "copilot_coauthor": (0, 1, 1)}
