@@ -45,38 +45,55 @@ def median_square(y: np.ndarray) -> float:
     return (_pair_value(s, (pairs + 1) // 2) ** 2 + _pair_value(s, pairs // 2 + 1) ** 2) / 2
 
 
-def kernel_breaks(y: np.ndarray, penalty: float, min_size: int) -> list[int]:
-    """First index of every new segment under an RBF kernel cost.
+def kernel_search(y: np.ndarray, penalty: float, min_size: int, prune: bool = True) -> tuple[list[int], int]:
+    """First index of every new segment under an RBF kernel cost, and how many segment starts were weighed.
+
+    cost(a, b) = (b - a) - (sum of the kernel block)/(b - a).  The block sums of all starts that are left are updated
+    one column at a time, from the earliest of them on, so memory stays linear and a start that is gone costs nothing.
 
-    cost(a, b) = (b - a) - (sum of the kernel block)/(b - a); the block sums of
-    all a are updated one column at a time, so memory stays linear.
+    Cutting a segment never raises its cost.  So a start a for which best(a) + cost(a, b) exceeds best(b) can be beaten
+    by starting at b instead, from b + min_size on, and is dropped then: the breaks are those of the full search.
     """
     n = len(y)
     if n < 2 * min_size:
-        return []
+        return [], 0
     med = median_square(y)
     gamma = 1.0 / med if med > 0 else 1.0
     best = np.full(n + 1, np.inf)
     best[0] = 0.0
     prev = np.zeros(n + 1, dtype=int)
-    block = np.zeros(n)
+    starts, block, until = np.zeros(0, int), np.zeros(0), np.zeros(0, int)
+    weighed = 0
     for b in range(1, n + 1):
-        col = np.exp(-np.clip(gamma * (y[: b - 1] - y[b - 1]) ** 2, 1e-2, 1e2))
-        block[: b - 1] += 2.0 * np.cumsum(col[::-1])[::-1]
-        block[:b] += 1.0
-        last = b - min_size
-        if last < 0:
+        starts, block, until = np.append(starts, b - 1), np.append(block, 0.0), np.append(until, n + 1)
+        col = np.exp(-np.clip(gamma * (y[starts[0]: b - 1] - y[b - 1]) ** 2, 1e-2, 1e2))
+        after = np.append(np.cumsum(col[::-1])[::-1], 0.0)  # sums from each position to the column's own, which it leaves out
+        block += 2.0 * after[starts - starts[0]] + 1.0
+        if b < min_size:
             continue
-        size = b - np.arange(last + 1)
-        total = best[: last + 1] + (size - block[: last + 1] / size) + penalty
-        prev[b] = int(np.argmin(total))
-        best[b] = total[prev[b]]
+        able = int(np.searchsorted(starts, b - min_size, side="right"))
+        size = b - starts[:able]
+        total = best[starts[:able]] + (size - block[:able] / size)
+        weighed += able
+        chosen = int(np.argmin(total + penalty))
+        prev[b] = starts[chosen]
+        best[b] = total[chosen] + penalty
+        if prune:
+            # rounding must not drop a start that the full search might still choose
+            beaten = (total > best[b] + 1e-9 * (1.0 + abs(best[b]))) & (until[:able] > n)
+            until[:able][beaten] = b + min_size
+            kept = until > b + 1
+            starts, block, until = starts[kept], block[kept], until[kept]
     cuts, b = [], n
     while b > 0:
         b = prev[b]
         if b > 0:
-            cuts.append(b)
-    return cuts[::-1]
+            cuts.append(int(b))
+    return cuts[::-1], weighed
+
+
+def kernel_breaks(y: np.ndarray, penalty: float, min_size: int) -> list[int]:
+    return kernel_search(y, penalty, min_size)[0]
 
 
 def changepoints(series: DataFrame, keys: list[str], value: str = "y", penalty: float = config.BREAK_PENALTY,

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer
@@ -23,9 +27,9 @@ def vectorise(df: DataFrame, text: str, out: str = "vector", dims: int = 1024,
               encoder: Callable[[DataFrame, str, str], DataFrame] | None = None) -> DataFrame:
     """Adds a unit-length vector per message.
 
-    ``encoder(df, text, out)`` may supply any other embedding, for example an
-    iterator pandas function around a sentence model.  The default hashes
-    terms and weighs them by inverse document frequency; its vectors stay sparse.
+    ``encoder(df, text, out)`` may supply any other embedding (``model_encoder`` makes
+    one of a model).  The default hashes terms and weighs them by inverse document
+    frequency; its vectors stay sparse.
     """
     if encoder is not None:
         return encoder(df, text, out)
@@ -40,6 +44,48 @@ def vectorise(df: DataFrame, text: str, out: str = "vector", dims: int = 1024,
     return fitted.withColumnRenamed("_unit", out).drop("_words", "_tf", "_idf")
 
 
+# Models by the name under which an encoder was made; a worker process serves many tasks.
+_MODELS: dict[str, Callable] = {}
+
+
+def model_encoder(name: str, load: Callable[[], Callable[[list[str]], np.ndarray]], rows: int = 256, normalise: bool = True):
+    """An encoder for ``vectorise`` around any model that turns a list of texts into an array of one vector each.
+
+    ``load`` runs once per worker process, not per task or batch, and the model sees at most ``rows`` texts at a time,
+    whatever the size of the batches that arrive.  ``name`` names the model and its settings.  A null text is empty; with
+    ``normalise`` vectors have unit length, or are zero.
+    """
+
+    @F.pandas_udf("array<float>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        if name not in _MODELS:
+            _MODELS[name] = load()
+        for batch in batches:
+            texts, out = batch.fillna("").tolist(), []
+            for at in range(0, len(texts), rows):
+                v = np.asarray(_MODELS[name](texts[at:at + rows]), dtype=np.float64)
+                if normalise:
+                    length = np.sqrt((v * v).sum(axis=1, keepdims=True))
+                    v = np.divide(v, length, out=np.zeros_like(v), where=length > 0)
+                out.extend(v.astype(np.float32))
+            yield pd.Series(out, dtype=object)
+
+    return lambda df, text, out: df.withColumn(out, encode(F.col(text)))
+
+
+def hashed_terms(dims: int) -> Callable[[list[str]], np.ndarray]:
+    """A model that needs no training: counts of terms by the first 32 bits of their MD5."""
+
+    def encode(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dims))
+        for row, text in zip(out, texts):
+            for term in re.findall(r"[^\x20\x09-\x0D]+", text):
+                row[int.from_bytes(hashlib.md5(term.encode()).digest()[:4], "big") % dims] += 1
+        return out
+
+    return encode
+
+
 def _vector(df: DataFrame, column: str) -> Column:
     """A column of arrays or of vectors, as vectors."""
     return F.col(column) if isinstance(df.schema[column].dataType, VectorUDT) else array_to_vector(F.col(column).cast("array<double>"))

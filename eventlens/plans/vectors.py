@@ -142,6 +142,18 @@ def message_vectors(spark, d):
     return rounded(out.where("value <> 0"), "value")
 
 
+@query("encoded_messages", "ML1", sql=f"""
+WITH terms AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS term FROM documents),
+tf AS (SELECT doc_id, CAST(('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS INTEGER) AS dim, count(*) AS n FROM terms GROUP BY 1, 2)
+SELECT doc_id, dim, round((n / sqrt(sum(n * n) OVER (PARTITION BY doc_id))), 4) + 0.0 AS value FROM tf""")
+def encoded_messages(spark, d):
+    """Vectors of a model that the encoder hook loads: hashed terms, which any engine repeats."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    out = V.vectorise(docs, "text", encoder=V.model_encoder("hashed-terms-64", lambda: V.hashed_terms(64)))
+    values = out.select("doc_id", F.posexplode("vector").alias("dim", "value")).where("value <> 0")
+    return rounded(values.withColumn("value", F.col("value").cast("double")), "value", digits=4)
+
+
 @query("message_vector_drift", "ML1", "ML2", "ML3", sql=f"""WITH {_unit_sql("SELECT doc_id, text FROM documents JOIN labels USING (doc_id)")},
 n AS (SELECT count(*) FILTER (quality = 0) AS a, count(*) FILTER (quality <> 0) AS b FROM documents JOIN labels USING (doc_id)),
 c AS (SELECT dim, coalesce(sum(value) FILTER (quality = 0), 0) / any_value(a) AS pre, coalesce(sum(value) FILTER (quality <> 0), 0) / any_value(b) AS post

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.operators.ranking import latest_per_key
+from eventlens.sources.records import read_quoted_csv
 
 MONTHLY_SCHEMA = "year INT, month INT, total_pushes BIGINT, unique_pushers BIGINT, pushes_per_dev DOUBLE"
 QUARTERLY_SCHEMA = (
@@ -41,8 +42,8 @@ def read_quarterly_csv(spark: SparkSession, path: str, schema: str = QUARTERLY_S
 
 
 def read_messages(spark: SparkSession, path: str, schema: str = MESSAGE_SCHEMA, era: str | None = None) -> DataFrame:
-    """Message samples with quoted newlines; a null message becomes the empty string."""
-    df = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
+    """Message samples with quoted newlines, each file in many splits; a null message becomes the empty string."""
+    df = read_quoted_csv(spark, path, schema)
     df = df.withColumn("commit_message", F.coalesce("commit_message", F.lit("")))
     return df.withColumn("era", F.lit(era)) if era else df
 

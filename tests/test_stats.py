@@ -217,3 +217,27 @@ def test_median_of_pairs_without_pairs():
         for y in (RNG.normal(size=n), RNG.integers(0, 5, n).astype(float), RNG.normal(size=n) * 1e12 + 0.1, np.zeros(n)):
             d = np.subtract.outer(y, y)[np.triu_indices(n, 1)] ** 2
             assert median_square(y) == pytest.approx(np.median(d), rel=1e-14)
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_pruning_keeps_the_breaks_and_drops_starts(seed):
+    from eventlens.operators.changepoint import kernel_search
+
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(6, 260))
+    kinds = [lambda: np.repeat(rng.normal(0, 4, n // 20 + 1), 20)[:n] + rng.normal(0, 0.4, n), lambda: rng.integers(0, 3, n).astype(float), lambda: rng.normal(0, 1, n), lambda: np.zeros(n)]
+    y = kinds[seed % 4]()
+    for penalty in (0.2, 1.0, 3.0):
+        for min_size in (1, 3, 7):
+            full, all_starts = kernel_search(y, penalty, min_size, prune=False)
+            pruned, left = kernel_search(y, penalty, min_size)
+            assert pruned == full and left <= all_starts
+
+
+def test_pruned_search_of_a_long_series_is_no_longer_quadratic():
+    from eventlens.operators.changepoint import kernel_search
+
+    rng = np.random.default_rng(3)
+    y = np.repeat(np.tile([0.0, 8.0, 3.0, 12.0], 250), 20) + rng.normal(0, 0.3, 20_000)
+    breaks, left = kernel_search(y, 3.0, 3)
+    assert breaks == list(range(20, 20_000, 20)) and left < 20_000 * 100
