@@ -2,27 +2,19 @@
 
 Everything here starts by collapsing rows to one row per (key, distinct value)
 with map-side counts, so repeated values, however hot, cost one row.  What is
-left is ordered by a window per key.  When the number of distinct values is
-not known to be small, the values are cut into ranges first
-(``range_buckets``) and the window runs per (key, range), with the offsets of
-the ranges added from a table of one row per range.
+left is ordered by a window per key.  Unless the values are few by their
+meaning, they are dealt into ranges first (``range_buckets``) and the window
+runs per (key, range), with the offsets of the ranges added from a table of one
+row per key and range.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.session import materialise
 
-# A window over this many histogram rows fits one task with ease.
-SINGLE_RANGE_ROWS = 500_000
-MAX_RANGES = 10_000
-# Cut points are read off about this many distinct values, picked by hash.
-CUT_SAMPLE_ROWS = 2_000_000
-
-
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join that also matches null keys, so a group without a name is not lost."""
     renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
@@ -38,27 +30,17 @@ def histogram(df: DataFrame, keys: list[str], value: str, **counts: Column) -> D
     return df.groupBy(*keys, value).agg(*aggs)
 
 
-def range_buckets(hist: DataFrame, value: str, limit: int = SINGLE_RANGE_ROWS) -> DataFrame:
+def range_buckets(hist: DataFrame, value: str, ranges: int | None = None) -> DataFrame:
     """Adds ``bucket``, a range number that grows with the value.
 
-    The histogram is written once because it is read twice.  Up to ``limit``
-    rows everything is range 0.  Beyond that the cut points are approximate
-    quantiles of a hash-chosen part of the distinct values: a bounded list of
-    constants, so the assignment is the same in every retry.  Cut points only
-    balance the ranges; every row is kept and results are exact for any cuts.
+    One plan at every size: Spark samples the values, deals the rows into ranges of
+    about equal size, by default as many as the session's shuffle partitions, and
+    merges small ones.  Equal values share a range.  The rows are written with their
+    range, because they are read twice and must not be dealt anew in between.
+    Ranges only balance the work; results are exact for any of them.
     """
-    hist = materialise(hist)
-    rows = hist.count()
-    if rows <= limit:
-        return hist.withColumn("bucket", F.lit(0.0))
-    ranges = int(min(MAX_RANGES, rows // limit + 1))
-    probs = [i / ranges for i in range(1, ranges)]
-    as_double = hist.withColumn("_v", F.col(value).cast("double"))
-    every = max(1, rows // CUT_SAMPLE_ROWS)
-    some = as_double.where(F.pmod(F.xxhash64("_v"), F.lit(every)) == 0) if every > 1 else as_double
-    cuts = some.approxQuantile("_v", probs, 1.0 / (4 * ranges))
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    return Bucketizer(splits=splits, inputCol="_v", outputCol="bucket", handleInvalid="keep").transform(as_double).drop("_v")
+    dealt = hist.repartitionByRange(ranges, value) if ranges else hist.repartitionByRange(value)
+    return materialise(dealt.withColumn("bucket", F.spark_partition_id()))
 
 
 def _by_value(keys: list[str], value: str):
@@ -88,12 +70,12 @@ def small_domain_quantiles(hist: DataFrame, keys: list[str], value: str, probs:
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                    interpolate: bool = False, limit: int = SINGLE_RANGE_ROWS) -> DataFrame:
+                    interpolate: bool = False, ranges: int | None = None) -> DataFrame:
     """Exact quantiles of any numeric column, nulls ignored, no size limit.
 
     ``interpolate`` gives the linear form (the usual median of an even count).
     """
-    hist = range_buckets(histogram(df.where(F.col(value).isNotNull()), keys, value), value, limit)
+    hist = range_buckets(histogram(df.where(F.col(value).isNotNull()), keys, value), value, ranges)
     offsets = (
         hist.groupBy(*keys, "bucket").agg(F.sum("n").alias("_bn"))
         .withColumn("_off", F.coalesce(F.sum("_bn").over(_before(keys, "bucket")), F.lit(0)))
@@ -124,7 +106,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
 
 
 def pair_counts(df: DataFrame, keys: list[str], value: str, in_first: Column,
-                limit: int = SINGLE_RANGE_ROWS) -> DataFrame:
+                ranges: int | None = None) -> DataFrame:
     """Per key: how often a value of the first group exceeds one of the second.
 
     Columns: ``n1``, ``n2``, ``wins`` (pairs first > second), ``draws`` (equal
@@ -134,7 +116,7 @@ def pair_counts(df: DataFrame, keys: list[str], value: str, in_first: Column,
     """
     rows = df.where(F.col(value).isNotNull()).withColumn("_first", in_first)
     hist = histogram(rows, keys, value, c1=F.col("_first"))
-    hist = range_buckets(hist, value, limit).withColumn("c2", F.col("n") - F.col("c1"))
+    hist = range_buckets(hist, value, ranges).withColumn("c2", F.col("n") - F.col("c1"))
     below = F.coalesce(F.sum("c2").over(_before([*keys, "bucket"], value)), F.lit(0))
     t = F.col("n").cast("double")
     ranges = (

@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from eventlens import config
 from eventlens.functions import pvalues as P
-from eventlens.operators.ranks import SINGLE_RANGE_ROWS, exact_quantiles, histogram, join_on, pair_counts
+from eventlens.operators.ranks import exact_quantiles, histogram, join_on, pair_counts
 
 SIGNIFICANT = 0.05
 
 
-def mann_whitney(df: DataFrame, keys: list[str], value: str, in_first: Column, limit: int = SINGLE_RANGE_ROWS) -> DataFrame:
+def mann_whitney(df: DataFrame, keys: list[str], value: str, in_first: Column, ranges: int | None = None) -> DataFrame:
     """Two-sided rank-sum test per key; U is that of the first (pre) sample.
 
     Normal approximation with tie and continuity correction; the exact
     distribution when a sample has at most eight values and nothing is tied.
     """
-    c = pair_counts(df, keys, value, in_first, limit).where((F.col("n1") > 0) & (F.col("n2") > 0))
+    c = pair_counts(df, keys, value, in_first, ranges).where((F.col("n1") > 0) & (F.col("n2") > 0))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     u = F.col("wins") + F.col("draws") / 2
@@ -73,7 +73,7 @@ def dispersion_shift(df: DataFrame, keys: list[str], low: str, high: str, in_fir
     ).withColumn("iqr_change_percent", percent_change(F.col("iqr_pre_mean"), F.col("iqr_post_mean"), 1e-10))
 
 
-def kendall_trend(df: DataFrame, keys: list[str], t: str, value: str, limit: int = SINGLE_RANGE_ROWS) -> DataFrame:
+def kendall_trend(df: DataFrame, keys: list[str], t: str, value: str, ranges: int | None = None) -> DataFrame:
     """Kendall tau-b of a series against its position ``t`` = 0, 1, 2, ... (no ties in t).
 
     Discordant pairs are inversions.  Split positions at every power of two:
@@ -91,7 +91,7 @@ def kendall_trend(df: DataFrame, keys: list[str], t: str, value: str, limit: int
         F.expr("shiftright(_t, _level + 1)").alias("_block"),
         (F.expr("shiftright(_t, _level) & 1") == 0).alias("_early"),
     )
-    inversions = pair_counts(split, [*keys, "_level", "_block"], "_y", F.col("_early"), limit).groupBy(*keys).agg(
+    inversions = pair_counts(split, [*keys, "_level", "_block"], "_y", F.col("_early"), ranges).groupBy(*keys).agg(
         F.sum("wins").alias("discordant"))
     ties = histogram(rows, keys, "_y")
     k = F.col("n").cast("double")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from eventlens import config
 from eventlens.operators.ranking import top_k
-from eventlens.operators.ranks import SINGLE_RANGE_ROWS, join_on, pair_counts
+from eventlens.operators.ranks import join_on, pair_counts
 from eventlens.session import materialise
 
 
@@ -195,11 +195,11 @@ def score(model: LogisticRegressionModel, rows: DataFrame, vector: str) -> DataF
         "features", "rawPrediction", "probability", "prediction")
 
 
-def auc(df: DataFrame, score_col: str, positive: Column, keys: list[str] = (), limit: int = SINGLE_RANGE_ROWS) -> DataFrame:
+def auc(df: DataFrame, score_col: str, positive: Column, keys: list[str] = (), ranges: int | None = None) -> DataFrame:
     """Exact area under the ROC curve: the share of (positive, negative) pairs in the right order."""
     keyed = df if keys else df.withColumn("_all", F.lit(1))
     ks = list(keys) or ["_all"]
-    c = pair_counts(keyed, ks, score_col, positive, limit)
+    c = pair_counts(keyed, ks, score_col, positive, ranges)
     out = c.select(*ks, F.try_divide(F.col("wins") + F.col("draws") / 2, F.col("n1").cast("double") * F.col("n2")).alias("auc_roc"))
     return out if keys else out.drop("_all")
 
