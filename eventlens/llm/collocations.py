@@ -7,7 +7,7 @@ Phrases of two to five words that occur ``least`` times are found without counti
    merged into one Misra-Gries summary (``merge``) whose capacity exceeds ``SLACK`` times the partition's mass divided
    by ``least``.  So a counter loses less than ``least / SLACK``: no frequent phrase can be missing from the summary, and
    few others look as if they could be frequent.  Pairs go first; longer phrases must consist of surviving pairs.
-3. A second pass counts the survivors exactly, by their words and not by their hash.
+3. A second pass counts the survivors exactly, by their words and not by their hash, in the same hash partitions.
 
 The filters that the passes share are bitmaps of a fixed size.  They let some more phrases through, never fewer, so
 they change the work and not the result.  Scores, cuts and containment are joins of phrase counts.
@@ -15,6 +15,7 @@ they change the work and not the result.  Scores, cuts and containment are joins
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.llm.alignment import chunks
-from eventlens.llm.arrays import dump, from_sorted_planes, load, narrow, part_of, sorted_planes
+from eventlens.llm.arrays import by_target, dump, from_sorted_planes, load, narrow, part_of, sorted_planes
 from eventlens.llm.common import MULTIPLIER, mix64, query, table
 from eventlens.session import materialise
 
@@ -116,15 +117,14 @@ class Filter:
         return ((self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
-def merge(a: tuple, b: tuple, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Misra-Gries summary of two: (sorted keys, counters, what every counter may have lost).
+def merge(summaries: list[tuple], capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Misra-Gries summary of several: (sorted keys, counters, what every counter may have lost).
 
     If more keys than the capacity are left, the largest counter beyond it is taken from all.
     """
-    keys, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
-    counters = np.zeros(len(keys), np.int64)
-    np.add.at(counters, at, np.concatenate([a[1], b[1]]))
-    lost = a[2] + b[2]
+    keys, at = np.unique(np.concatenate([s[0] for s in summaries]), return_inverse=True)
+    counters = np.bincount(at, np.concatenate([s[1] for s in summaries]), len(keys)).astype(np.int64)
+    lost = sum(s[2] for s in summaries)
     if len(keys) > capacity:
         taken = int(np.partition(counters, len(counters) - capacity - 1)[len(counters) - capacity - 1])
         counters -= taken
@@ -188,8 +188,7 @@ def _summaries(lengths: tuple[int, int], parts: int, frequent, pairs):
             part = part_of(value, parts)
             cut = np.flatnonzero(np.diff(part, prepend=-1))
             rows = [(int(part[x]), int(count[x:y].sum()), dump(sorted_planes(value[x:y]), narrow(count[x:y]))) for x, y in zip(cut, [*cut[1:], len(value)])]
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["part", "mass", "blob"]),
-                                             schema=pa.schema([("part", pa.int64()), ("mass", pa.int64()), ("blob", pa.binary())]), preserve_index=False)
+            yield _record_batch(rows)
 
     return run
 
@@ -197,41 +196,68 @@ def _summaries(lengths: tuple[int, int], parts: int, frequent, pairs):
 def _survivors(least: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         capacity = SLACK * int(rows["mass"].sum()) // least + 1
-        summary = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        waiting, size = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0)], 0
         for blob in rows["blob"]:
             keys, counts = load(blob)
-            summary = merge(summary, (from_sorted_planes(keys), counts.astype(np.int64), 0), capacity)
+            waiting.append((from_sorted_planes(keys), counts.astype(np.int64), 0))
+            size += len(counts)
+            if size > capacity:
+                waiting, size = [merge(waiting, capacity)], 0
+        summary = merge(waiting, capacity)
         keys, counters, lost = summary
         return pd.DataFrame({"hash": keys[counters + lost >= least].view(np.int64)})
 
     return run
 
 
-def _exact_counts(longest: int, frequent, survivors):
-    """Chunks' counts of surviving phrases, by their words."""
+def _exact_sums(longest: int, parts: int, frequent, survivors):
+    """Chunks' sums of surviving phrases, by their words, as rows (part, mass, blob)."""
 
     def run(batches):
         known, left = Filter(frequent.value), Filter(survivors.value)
         for chunk in chunks(batches, CHUNK_BYTES):
             words = words_of(chunk)
-            n_words, out = len(words.word), []
+            n_words, found = len(words.word), []
             number = words.of.copy()  # of the phrase that begins at each word, among those of its length
             state = _phrases(words, known.holds(words.hashes()), longest)
             step = next(state)
             while step:
                 length, at, value = step
                 good = left.holds(value)
-                at = at[good]
+                at, value = at[good], value[good]
                 _, first, number_of, count = np.unique(number[at] * n_words + words.of[at + length - 1], return_index=True, return_inverse=True, return_counts=True)
                 number[at] = number_of
-                out += [(words.langs[words.lang[words.of[i]]], " ".join(words.word[w] for w in words.of[i:i + length].tolist()), length, c)
-                        for i, c in zip(at[first].tolist(), count.tolist())]
+                found.append((part_of(value[first], parts), at[first], np.full(len(first), length), count))
                 try:
                     step = state.send(good)
                 except StopIteration:
                     step = None
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["lang", "phrase", "words", "n"]),
-                                             schema=pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())]), preserve_index=False)
+            part, at, length, count = (np.concatenate(x) for x in zip(*found))
+            rows = []
+            for p, (at, length, count) in by_target(part, at, length, count):
+                phrases = [" ".join([words.word[w] for w in words.of[i:i + n].tolist()]) for i, n in zip(at.tolist(), length.tolist())]
+                # no word holds a line feed
+                rows.append((p, int(count.sum()), dump(words.langs, narrow(words.lang[words.of[at]]), "\n".join(phrases), narrow(length), narrow(count))))
+            yield _record_batch(rows)
+
+    return run
+
+
+def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["part", "mass", "blob"]),
+                                      schema=pa.schema([("part", pa.int64()), ("mass", pa.int64()), ("blob", pa.binary())]), preserve_index=False)
+
+
+def _total(least: int):
+    """Exact counts of a part's phrases; a phrase is in one part only."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        total: Counter = Counter()
+        for blob in rows["blob"]:
+            langs, lang, phrases, length, count = load(blob)
+            for x, phrase, n, c in zip(lang.tolist(), phrases.split("\n"), length.tolist(), count.tolist()):
+                total[langs[x], phrase, n] += c
+        return pd.DataFrame([(*k, c) for k, c in total.items() if c >= least], columns=["lang", "phrase", "words", "a"])
 
     return run
 
@@ -255,10 +281,8 @@ def frequent_phrases(rows: DataFrame, least: int = LEAST, longest: int = LONGEST
     if longest > 2:
         longer = survive((3, longest), send(left))
         left = np.bitwise_or(np.frombuffer(left, np.int64), np.frombuffer(longer, np.int64)).tobytes()
-    exact = (
-        rows.mapInArrow(_exact_counts(longest, frequent, send(left)), "lang string, phrase string, words int, n long")
-        .groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a")).where(f"a >= {least}")
-    )
+    sums = rows.mapInArrow(_exact_sums(longest, parts, frequent, send(left)), "part long, mass long, blob binary")
+    exact = sums.groupBy("part").applyInPandas(_total(least), "lang string, phrase string, words int, a long")
     return materialise(exact.unionByName(single)), totals
 
 

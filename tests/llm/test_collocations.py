@@ -74,8 +74,8 @@ def test_no_frequent_key_is_lost_in_any_merge_order():
             keys, counts = np.unique(np.array(stream[i:i + 150], np.uint64), return_counts=True)
             parts.append((keys, counts.astype(np.int64), 0))
         while len(parts) > 1:
-            a, b = (parts.pop(rng.randrange(len(parts))) for _ in range(2))
-            parts.append(C.merge(a, b, capacity))
+            some = [parts.pop(rng.randrange(len(parts))) for _ in range(min(len(parts), rng.randrange(2, 5)))]
+            parts.append(C.merge(some, capacity))
         keys, counters, lost = parts[0]
         held, exact = dict(zip(keys.tolist(), counters.tolist())), Counter(stream)
         assert len(held) <= capacity and lost * (capacity + 1) <= len(stream)
