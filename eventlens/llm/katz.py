@@ -31,7 +31,9 @@ HEAD_WORDS = 1 << 20
 MAX_DISCOUNTED = 5
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x94057B7EF767814F)
-_FLUSH_TOKENS = 1 << 21
+#: Tokens of training text per partition of pairs, and tokens that a task holds before it passes them on.
+PART_TOKENS = 1 << 20
+_FLUSH_TOKENS = 1 << 20
 _RARE = np.uint64(1) << np.uint64(63)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _TURN = np.uint64(0x9E3779B97F4A7C15)
@@ -147,7 +149,7 @@ def _pairs(n_docs: int, owner: np.ndarray, codes: np.ndarray, end: np.uint64):
     history = np.empty_like(words)
     history[1:] = words[:-1]
     history[last - counts] = START
-    return history, words, np.repeat(np.arange(n_docs), counts + 1)
+    return history, words, np.repeat(np.arange(n_docs, dtype=np.int32), counts + 1)
 
 
 def _count_words(batches):
@@ -275,7 +277,6 @@ def fit_katz(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
     """The model of all texts of ``docs``; a null text is empty, and no text at all gives the unknown word probability one."""
     spark = docs.sparkSession
     rows = docs.select(id_col, text_col)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     words = rows.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = materialise(words)
     # an eighth of a power of two per step: a few hundred rows at any size of the corpus
@@ -292,6 +293,7 @@ def fit_katz(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
     hashes = frequent["word"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     total = sum(r["n"] for r in steps)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_TOKENS))
     documents = words.where(F.col("word") == int(END.view(np.int64))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     lexicon = Lexicon(hashes[order], frequent["n"].to_numpy()[order], total, sum(r["types"] for r in steps), discounts, 1.0, parts, documents)
     discounted = total - sum(c * small.get(c, 0) * (1 - f) for c, f in enumerate(discounts.factor.tolist()))
@@ -379,7 +381,7 @@ def _ask(lexicon):
             for begin, end, owner, hashes in _tokens(batch):
                 codes = lex.codes(np.append(hashes, END))
                 h, w, d = _pairs(end - begin, owner, codes[:-1], codes[-1])
-                held.append((h, w, d + n_docs))
+                held.append((h, w, d + np.int32(n_docs)))
                 docs.append((np.array(ids.slice(begin, end - begin).to_pylist(), dtype=object), out[begin:end]))
                 size += len(h)
                 n_docs += end - begin
