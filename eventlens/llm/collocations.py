@@ -37,8 +37,8 @@ TOP = 2000
 SLACK = 16
 #: Bytes of text that are handled together.
 CHUNK_BYTES = 4 << 20
-#: Positions in the bitmaps that passes share, as a power of two: 16 MB each.
-FILTER_BITS = 27
+#: Positions in the bitmaps that passes share, as powers of two: one for 32 bytes of text within these bounds, so 16 MB at most.
+FILTER_BITS = 20, 27
 #: Bytes of text whose phrases one hash partition summarises.
 PART_BYTES = 64 << 20
 
@@ -95,26 +95,27 @@ def words_of(chunk: pa.RecordBatch) -> Words:
 
 
 class Filter:
-    """A bitmap over the leading bits of hashes, as a table of 64-bit words and as an array in tasks."""
+    """A bitmap over the leading bits of hashes: a table of 64-bit words, sent to tasks as an array."""
 
     @staticmethod
-    def collect(hashes: DataFrame) -> bytes:
-        """The bitmap of a column ``hash``: at most 2^21 numbers reach the driver, whatever the rows."""
-        at = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
+    def collect(hashes: DataFrame, bits: int) -> bytes:
+        """The bitmap of a column ``hash``: 2^bits positions, so that a bounded number of rows reach the driver."""
+        at = F.shiftrightunsigned("hash", 64 - bits)
         rows = (
             hashes.select(at.alias("p")).selectExpr("CAST(p div 64 AS INT) AS at", "shiftleft(1L, CAST(p % 64 AS INT)) AS bit")
             .groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
         )
-        out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+        out = np.zeros(1 << (bits - 6), np.int64)
         out[rows["at"].to_numpy()] = rows["bits"].to_numpy()
         return out.tobytes()
 
     def __init__(self, data: bytes):
-        self.bits = np.frombuffer(data, np.uint64)
+        self.words = np.frombuffer(data, np.uint64)
+        self.shift = np.uint64(64 - (len(data) * 8).bit_length() + 1)
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes >> np.uint64(64 - FILTER_BITS)
-        return ((self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+        at = hashes >> self.shift
+        return ((self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
 def merge(summaries: list[tuple], capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -269,13 +270,14 @@ def frequent_phrases(rows: DataFrame, least: int = LEAST, longest: int = LONGEST
     counted = materialise(rows.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("a")).where(f"word IS NULL OR a >= {least}"))
     single = counted.where("word IS NOT NULL").select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "a")
     totals = counted.where("word IS NULL").select("lang", F.col("a").alias("n"))
-    frequent = send(Filter.collect(single.select(F.xxhash64("lang", "phrase").alias("hash"))))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(max((size >> 5).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    frequent = send(Filter.collect(single.select(F.xxhash64("lang", "phrase").alias("hash")), bits))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
 
     def survive(lengths, pairs=None):
         summed = rows.mapInArrow(_summaries(lengths, parts, frequent, pairs), "part long, mass long, blob binary")
-        return Filter.collect(summed.groupBy("part").applyInPandas(_survivors(least), "hash long"))
+        return Filter.collect(summed.groupBy("part").applyInPandas(_survivors(least), "hash long"), bits)
 
     left = survive((2, 2))
     if longest > 2:

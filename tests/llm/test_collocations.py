@@ -59,10 +59,20 @@ def test_full_filters_change_nothing(spark, monkeypatch):
     """Bitmaps in which every bit is set let all phrases through, and the result stays."""
     rows = documents()[:60]
     docs = frame(spark, rows)
-    monkeypatch.setattr(C.Filter, "collect", staticmethod(lambda hashes: (hashes.count(), b"\xff" * (1 << (C.FILTER_BITS - 3)))[1]))
+    monkeypatch.setattr(C.Filter, "collect", staticmethod(lambda hashes, bits: (hashes.count(), b"\xff" * (1 << (bits - 3)))[1]))
     assert result(C.collocations(docs, 6)) == brute([(r[2], r[1]) for r in rows], 6)
 
 
+def test_filters_of_any_size_hold_what_went_in(spark):
+    hashes = np.random.default_rng(1).integers(-(1 << 63), (1 << 63) - 1, 5000)
+    df = spark.createDataFrame([(int(h),) for h in hashes], "hash long")
+    for bits in (8, 14, 22):
+        known = C.Filter(C.Filter.collect(df, bits))
+        assert known.holds(hashes.view(np.uint64)).all()
+    other = np.random.default_rng(2).integers(0, 1 << 63, 20_000).astype(np.uint64)
+    assert known.holds(other).mean() < 0.01
+
+
 def test_no_frequent_key_is_lost_in_any_merge_order():
     rng = random.Random(3)
     for _ in range(60):
