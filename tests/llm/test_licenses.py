@@ -53,3 +53,56 @@ def test_wrapped_notices_and_titles(spark):
     ])
     want = ["ISC", "GPL-2.0", "GPL-2.0", "ISC", "GPL-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "ISC", None]
     assert [got[p][3] for p in ("a/x.c", "b/x.c", "c/x.c", "d/x.c", "e/LICENSE", "e/x.c", "f/LICENSE", "g/LICENSE", "h/LICENSE", "i/x.c")] == want
+
+
+def test_common_notices(spark):
+    gpl = "This program is free software%s you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation%s either version %s of the License, or\n(at your option) any later version."
+    lgpl = gpl.replace("program", "library").replace("General", "Lesser General")
+    got = scan(spark, [
+        ("a", gpl % (":", ",", "3")), ("b", gpl % (";", ";", "2")), ("c", lgpl % (";", ";", "2.1")), ("d", "// SPDX-License-Identifier: MIT\ncode"),
+        ("e", "ISC License\n\nCopyright (c) 2020"), ("f", "# Licensed under the Apache License, Version 2.0 (the \"License\");"), ("g", "The MIT License (MIT)"),
+        ("h", "Licensed under the BSD 2-Clause License."), ("i", "SPDX-License-Identifier: BSD-3-Clause"), ("j", "SPDX-License-Identifier: Zlib"), ("k", "mit"),
+        ("l", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."),
+        ("m", "\n".join("/* " + x for x in (gpl % (":", ",", "3")).split("\n")) + "\n\n" + "lorem the of and to in a is " * 300),
+    ])
+    want = ["GPL-3.0", "GPL-2.0", "LGPL-2.1", "MIT", "ISC", "Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", None, None, "MPL-2.0", "GPL-3.0"]
+    assert [got[p][0] for p in "abcdefghijklm"] == want
+
+
+def test_no_test_drops_a_match(spark):
+    """Notices among other words, by brute force over all units."""
+    import math
+    import random
+    import re
+    from collections import Counter
+
+    rng = random.Random(11)
+    w = L._Weights(L.TEMPLATES, L.THRESHOLD, L.TITLES)
+    pool = [text for _, text in (*L.TEMPLATES, *L.TITLES)]
+    filler = "the of and lorem ipsum dolor any copy sit with or amet version software license 2 0".split()
+    texts = []
+    for _ in range(250):
+        words = rng.choice(pool).split()
+        for _ in range(rng.randrange(0, 14)):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(filler))
+        words = [x for x in words if rng.random() > 0.15]
+        texts.append("".join(x + rng.choice([" ", " ", " ", "\n", "\n\n", "\n--\n"]) for x in words))
+
+    def best(text):
+        found = []
+        for unit in {*text.split("\n"), *re.split(r"\n\s*\n", text), *re.split(r"\n[^A-Za-z0-9]*\n", text), text}:
+            n = Counter(t for t in re.findall("[a-z0-9]+", unit.lower()) if t not in L.COMMON_WORDS)
+            norm = math.sqrt(sum((c * w.idf.get(t, w.unknown)) ** 2 for t, c in n.items())) or 1.0
+            for number in {r[0] for r in w.rows}:
+                own = [r for r in w.rows if r[0] == number and n[r[2]]]
+                if len(own) > 1 and (number < len(L.TEMPLATES) or "\n" in unit):
+                    found.append((-round(sum(n[t] * w.idf[t] * x for _, _, t, x in own) / norm, 6), own[0][1]))
+        return min([f for f in found if f[0] <= -L.THRESHOLD], default=None)
+
+    want = {t: best(t) for t in texts}
+    got = {r["text_hash"]: (-r["score"], r["license"]) for r in L.notices(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    hashes = {r["text"]: r["h"] for r in spark.createDataFrame([(t,) for t in want], "text string").selectExpr("text", "xxhash64(text) AS h").collect()}
+    assert sum(v is not None for v in want.values()) > 60
+    for t, v in want.items():
+        assert (hashes[t] in got) == (v is not None)
+        assert v is None or (abs(got[hashes[t]][0] - v[0]) < 2e-6 and (got[hashes[t]][1] == v[1] or abs(got[hashes[t]][0] - v[0]) > 0))
