@@ -104,8 +104,8 @@ def detect(text: str) -> list[Span]:
 
 #: Look-alikes of Latin letters: each character of the first string stands for the one below it.
 _LOOKALIKES = str.maketrans(
-    "АВЕЅІЈКМНОРСТХУаеіјорсухѕһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοιαυνκρ",
-    "ABESIJKMHOPCTXYaeijopcyxshdqwABEZHIKMNOPTYXoiauvkp",
+    "АВЕЅІЈКМНОРСТХУаеіјорсухѕһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοιαυνκρβѵոսօɑɡı",
+    "ABESIJKMHOPCTXYaeijopcyxshdqwABEZHIKMNOPTYXoiauvkpbvnuoagi",
 )
 _ZERO_WIDTH = "­​‌‍‎‏⁠﻿"
 _DASHES = "‐‑‒–—−"
@@ -135,8 +135,8 @@ def _character_table() -> dict[int, str]:
 
 
 _CHARACTERS = _character_table()
-#: Characters that may be in the table; letters of Latin scripts are not, so most texts are passed over quickly.
-_ODD = re.compile("[\xa0\xad\xb7\u0300-\U0010ffff]")
+#: Characters that may be in the table; most letters of Latin scripts are not, so most texts are passed over quickly.
+_ODD = re.compile("[\xa0\xad\xb7\u0131\u0251\u0261\u0300-\U0010ffff]")
 _WORD_DIGIT = "(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + ")"
 #: Spelled digits, possibly among written ones; "plus" before them counts.
 _SPELLED_RUN = re.compile(
@@ -144,8 +144,9 @@ _SPELLED_RUN = re.compile(
 _HAS_SPELLED = re.compile(rf"(?<!\w){_WORD_DIGIT}(?!\w)", re.IGNORECASE)
 #: From so many spelled digits on, all numbers of a run are read as one.
 _ONE_NUMBER = 4
-_AT = r"\s*(?:\[\s*(?:at|@|arroba|ät)\s*\]|\(\s*(?:at|@|arroba|ät)\s*\)|\{\s*(?:at|@|arroba|ät)\s*\}|<\s*(?:at|arroba|ät)\s*>)\s*"
-_DOT = r"\s*(?:\[\s*(?:dot|\.|punkt|point|punto)\s*\]|\(\s*(?:dot|\.|punkt|point|punto)\s*\)|\{\s*(?:dot|\.|punkt|point|punto)\s*\})\s*"
+#: Marks without the space before them, which is found backwards from the mark.
+_AT = r"(?:\[\s*(?:at|@|arroba|ät)\s*\]|\(\s*(?:at|@|arroba|ät)\s*\)|\{\s*(?:at|@|arroba|ät)\s*\}|<\s*(?:at|arroba|ät)\s*>)\s*"
+_DOT = r"(?:\[\s*(?:dot|\.|punkt|point|punto)\s*\]|\(\s*(?:dot|\.|punkt|point|punto)\s*\)|\{\s*(?:dot|\.|punkt|point|punto)\s*\})\s*"
 _MARKED_AT, _MARKED_DOT = re.compile(_AT, re.IGNORECASE), re.compile(_DOT, re.IGNORECASE)
 _HAS_MARK = re.compile(r"[\[({<]\s*(?:at|@|arroba|ät|dot|\.|punkt|point|punto)\s*[\])}>]", re.IGNORECASE)
 _LABEL = r"[A-Za-z0-9_%+-]+"
@@ -154,10 +155,14 @@ _DOT_WORD = r"(?:\x20dot\x20|\x20punkt\x20|\x20punto\x20|\x20point\x20)"
 _ENDS = "(?:com|org|net|edu|gov|mil|int|info|biz|name|dev|app|io|co|ai|me|tv|eu|us|uk|ca|au|nz|in|de|at|ch|fr|be|es|pt|it|nl|pl|ru|br|mx|jp|cn|kr|example|test)"
 #: After a word for the dot any two letters or more are, but for words that often follow the noun and are no ends of hosts.
 _NO_ENDS = "(?:and|or|the|that|this|of|on|with|was|were|und|oder|der|die|das|et|ou|les|los|las)"
-#: name at host dot end, with bare words; the name may have dots of either kind
-_BARE = re.compile(
-    rf"(?<![\w.]){_LABEL}(?:(?:{_DOT_WORD}|\.){_LABEL})*(?:\x20at\x20|\x20arroba\x20|@)(?:{_LABEL}(?:{_DOT_WORD}|\.))*{_LABEL}"
+#: What can stand between name and host; a search from each of them outwards reads every word at most twice.
+_AT_WORD = re.compile(r"(?=(\x20at\x20|\x20arroba\x20|@))", re.IGNORECASE)
+#: at host dot end, with bare words
+_HOST = re.compile(
+    rf"(?:\x20at\x20|\x20arroba\x20|@)(?:{_LABEL}(?:{_DOT_WORD}|\.))*{_LABEL}"
     rf"(?:{_DOT_WORD}(?!{_NO_ENDS}(?![\w-]))[A-Za-z]{{2,}}|(?:{_DOT_WORD}|\.){_ENDS})(?![\w-])", re.IGNORECASE)
+_DOT_WORDS = (" dot ", " punkt ", " punto ", " point ")
+_LABEL_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
 #: dotted numbers with a word for the dot
 _NUMBER_DOT = re.compile(rf"(?<=[0-9]){_DOT_WORD}(?=[0-9])", re.IGNORECASE)
 #: a word for the dot, or one for the at before a host with a written dot: every edit of bare words has one
@@ -237,12 +242,54 @@ def _spelled_edits(text: str, least: int = 1) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _name_start(text: str, end: int, least: int) -> int:
+    """Where the name that ends at ``end`` begins, not before ``least``, or -1: labels with dots of either kind between them.
+
+    It begins as early as it can after something that is neither a letter, a digit nor a dot.
+    """
+    best, at = -1, end
+    while True:
+        stop = at
+        while at > least and text[at - 1] in _LABEL_CHARACTERS:
+            at -= 1
+        if at == stop:
+            return best
+        for i in range(at, stop):
+            if not i or not (text[i - 1].isalnum() or text[i - 1] in "_."):
+                best = i
+                break
+        if at > least and text[at - 1] == ".":
+            at -= 1
+            continue
+        for word in _DOT_WORDS:
+            if at - len(word) >= least and text[at - len(word) : at].lower() == word:
+                at -= len(word)
+                break
+        else:
+            return best
+
+
+def _bare_names(text: str):
+    """(begin, end) of names at hosts with bare words, from left to right without overlaps."""
+    done = 0
+    for m in _AT_WORD.finditer(text):
+        a = m.start()
+        if a <= done or text[a - 1] not in _LABEL_CHARACTERS:
+            continue
+        host = _HOST.match(text, a)
+        begin = _name_start(text, a, done) if host else -1
+        if begin >= 0:
+            done = host.end()
+            yield begin, done
+
+
 def _bare_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
-    for m in _BARE.finditer(text):
-        inner = [(x.start(), x.end(), "@") for x in _BARE_AT.finditer(m.group())] + [(x.start(), x.end(), ".") for x in _BARE_DOT.finditer(m.group())]
-        if sum(new == "@" for _, _, new in inner) + m.group().count("@") == 1:
-            edits += [(m.start() + a, m.start() + b, new) for a, b, new in inner]
+    for begin, end in _bare_names(text):
+        found = text[begin:end]
+        inner = [(x.start(), x.end(), "@") for x in _BARE_AT.finditer(found)] + [(x.start(), x.end(), ".") for x in _BARE_DOT.finditer(found)]
+        if sum(new == "@" for _, _, new in inner) + found.count("@") == 1:
+            edits += [(begin + a, begin + b, new) for a, b, new in inner]
     taken = {a for a, _, _ in edits}
     edits += [(m.start(), m.end(), ".") for m in _NUMBER_DOT.finditer(text) if m.start() not in taken]
     return sorted(edits)
@@ -254,11 +301,12 @@ def _character_edits(text: str) -> list[tuple[int, int, str]]:
 
 def _marked_edits(text: str) -> list[tuple[int, int, str]]:
     edits = [(m.start(), m.end(), "@") for m in _MARKED_AT.finditer(text)] + [(m.start(), m.end(), ".") for m in _MARKED_DOT.finditer(text)]
-    last, apart = -1, []
-    for e in sorted(edits):
-        if e[0] >= last:
-            apart.append(e)
-            last = e[1]
+    last, apart = 0, []
+    for begin, end, new in sorted(edits):
+        while begin > last and text[begin - 1].isspace():
+            begin -= 1
+        apart.append((begin, end, new))
+        last = end
     return apart
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -147,6 +148,32 @@ def test_long_texts_take_linear_time():
     assert P.find_spans(text)
 
 
+@pytest.mark.parametrize("text", [
+    "x [at] y" + " " * 1_000_000, "a dot " * 200_000, "a at a dot " * 100_000, "[ " * 300_000 + " " * 300_000, "a.b-" * 100_000 + " at " + "x dot " * 100_000])
+def test_long_runs_take_linear_time(text):
+    began = time.process_time()
+    P.find_spans(text)
+    assert time.process_time() - began < 4
+
+
+def test_bare_names_against_one_pattern():
+    """The search from each "at" outwards finds what one pattern over the whole text finds."""
+    import random
+
+    whole = re.compile(rf"(?<![\w.]){P._LABEL}(?:(?:{P._DOT_WORD}|\.){P._LABEL})*" + P._HOST.pattern, re.IGNORECASE)
+    rng = random.Random(5)
+    parts = ["a", "bob", "x1", " at ", " dot ", " AT ", " punto ", ".", "@", " ", "com", "de", "and", "\u00e9", "+", "_", "%", "1", ",", "-", "arroba", " arroba ", "dot"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 20)))
+        assert list(P._bare_names(text)) == [m.span() for m in whole.finditer(text)]
+
+
+def test_more_look_alikes():
+    text = "write b\u0251r\u0251@ex\u0251mple.com and \u03b2o\u03b2@ex.org"
+    assert [s[0] for s in P.find_spans(text)[1]] == ["email", "email"]
+    assert P.find_spans(text)[1][0] == ("email", 6, 22)
+
+
 def test_awkward_rows(spark):
     docs = frame(spark, [*awkward(), (11, "a@b.cc or a [at] b.cc", "en", "a", 1)], spans="1", found="2")
     rows = docs.select("doc_id", P.personal_data(P.F.col("text")).alias("p")).collect()
