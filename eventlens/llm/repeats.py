@@ -14,16 +14,21 @@ So strings are compared only where anchors are equal.
    it holds start earlier.  Strings that the references lack are compared among the rest by their digests.
 4. Ranges of removed bytes meet their documents.
 
-Rows between stages are compressed blobs of arrays, one per task and target; partitions and their number follow
-``spark.sql.shuffle.partitions``.  A passage in very many different surroundings has one anchor with very many contexts:
+Rows between stages are compressed blobs of arrays, one per task and target; there is a partition for every
+``PART_BYTES`` of text, and at least four for each of ``spark.sql.shuffle.partitions``.  A passage in very many different surroundings has one anchor with very many contexts:
 a task that sees more than ``HOT`` of them for one anchor sends its first to step 2 and the others straight to step 3,
 where they are spread over ``SPREAD`` parts, each with a copy of the reference; strings not in the reference are then
 compared by an aggregation over all parts.
+
+Grams are found by a rolling hash; that only brings strings together, so a chance or crafted collision costs time and
+nothing else.  Contexts and strings count as equal by a digest under a key that each run draws anew (BLAKE2: 64 bits
+among the contexts of one gram, 128 bits among strings), which no text can be crafted for.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections import defaultdict
 
 import numpy as np
@@ -41,14 +46,23 @@ LENGTH = 100
 GRAM = 32
 HOT = 64
 SPREAD = 64
+#: Bytes of text per partition of texts, anchors and contexts.
+PART_BYTES = 16 << 20
 _SEGMENT = 1 << 19
 _FLUSH_ANCHORS = 1 << 19
 _FLUSH_BYTES = 16 << 20
 _LAST = np.iinfo(np.int64).max
 
 
-def find_anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
-    """(gram hash, context hash, text, first string, anchor, last string) of the anchors of concatenated texts.
+def _digests(data: bytes, starts: np.ndarray, ends: np.ndarray, key: bytes, size: int = 8) -> np.ndarray:
+    """Keyed digests of spans, as one or two 64-bit numbers each."""
+    view, new = memoryview(data), hashlib.blake2b
+    found = b"".join([new(view[a:b], digest_size=size, key=key).digest() for a, b in zip(starts.tolist(), ends.tolist())])
+    return np.frombuffer(found, dtype=np.uint64)
+
+
+def find_anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, key: bytes = b""):
+    """(gram hash, context digest, text, first string, anchor, last string) of the anchors of concatenated texts.
 
     Strings and anchors are offsets in the buffer.  Texts shorter than ``length`` have none.
     """
@@ -71,7 +85,7 @@ def find_anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
     cut = np.flatnonzero(heads(anchor, starts - np.arange(len(starts))))
     first, last, anchor = starts[cut], starts[np.append(cut[1:], len(starts)) - 1], anchor[cut]
     shape = mix64(((anchor - first) * 4096 + (last - first)).astype(np.uint64))
-    context = mix64(hasher.spans(first, last + length) + shape)
+    context = mix64(_digests(buf.tobytes(), first, last + length, key) + shape)
     return grams[anchor], context, owner[first], first, anchor, last
 
 
@@ -152,7 +166,7 @@ def _texts(batches):
                    [t or b"" for t in some.column(2).cast(pa.binary()).to_pylist()])
 
 
-def _anchor_rows(length: int, parts: int):
+def _anchor_rows(length: int, parts: int, key: bytes):
     def run(batches):
         held: list[list[np.ndarray]] = []
         count = 0
@@ -164,7 +178,7 @@ def _anchor_rows(length: int, parts: int):
 
         for ids, ordinals, texts in _texts(batches):
             for buf, offsets, number, begin in _segments(texts, length):
-                found = find_anchors(buf, offsets, length)
+                found = find_anchors(buf, offsets, length, key)
                 if found is None:
                     continue
                 grams, contexts, owner, first, anchor, last = found
@@ -268,10 +282,10 @@ def _cut_contexts(length: int, shards: int):
     return run
 
 
-def _search_shard(length: int, parts: int):
+def _search_shard(length: int, parts: int, key: bytes):
     """Ranges of strings that references hold, or, among the rest, earlier contexts; digests of hot ones left over."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         contexts = sorted({row for b in pdf["blob"] for row in load(b)[0]})
         references = [c for c in contexts if c[5]]
         others = [c for c in contexts if not c[5]]
@@ -299,19 +313,18 @@ def _search_shard(length: int, parts: int):
             hit_at.append((ids[r], ordinals[r], start[r] + i))
             r, i = np.nonzero(inside & ~hit)
             if len(r):
-                buf = np.frombuffer(b"".join(c[7] for c in some), dtype=np.uint8)
                 at = np.cumsum([0] + [len(c[7]) for c in some])[r] + i
-                digest = SpanHasher(buf).spans(at, at + length)
+                digest = _digests(b"".join(c[7] for c in some), at, at + length, key, 16)
                 hot = np.array([c[6] for c in some])
-                left_at.append((digest, ids[r], ordinals[r], start[r] + i, hot[r]))
+                left_at.append((digest[0::2], digest[1::2], ids[r], ordinals[r], start[r] + i, hot[r]))
         ids, ordinals, at = (np.concatenate(x) for x in zip(*hit_at))
         if left_at:
-            digest, i, o, a, hot = (np.concatenate(x) for x in zip(*left_at))
+            high, low, i, o, a, hot = (np.concatenate(x) for x in zip(*left_at))
             if hot.any():
-                rows.append((0, "digest", dump(digest[hot], i[hot], o[hot], a[hot])))
-                digest, i, o, a = digest[~hot], i[~hot], o[~hot], a[~hot]
-            order = np.lexsort((a, o, i, digest))
-            again = order[1:][digest[order][1:] == digest[order][:-1]]
+                rows.append((0, "digest", dump(*(x[hot] for x in (high, low, i, o, a)))))
+                high, low, i, o, a = (x[~hot] for x in (high, low, i, o, a))
+            order = np.lexsort((a, o, i, low, high))
+            again = order[~heads(high[order], low[order])]
             ids, ordinals, at = np.concatenate([ids, i[again]]), np.concatenate([ordinals, o[again]]), np.concatenate([at, a[again]])
         order = np.lexsort((at, ordinals, ids))
         ids, ordinals, at = ids[order], ordinals[order], at[order]
@@ -327,8 +340,8 @@ def _search_shard(length: int, parts: int):
 def _explode_digests(batches):
     for pdf in batches:
         for blob in pdf["blob"]:
-            digest, i, o, a = load(blob)
-            yield pd.DataFrame({"digest": digest.view(np.int64), "id": i, "ordinal": o, "at": a})
+            high, low, i, o, a = load(blob)
+            yield pd.DataFrame({"high": high.view(np.int64), "low": low.view(np.int64), "id": i, "ordinal": o, "at": a})
 
 
 def _pack_ranges(length: int, parts: int):
@@ -401,20 +414,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 64 <= length <= 2000:
         raise ValueError("length between 64 and 2000")
     spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _numbered(docs, id_col, text_col)
-    found = materialise(rows.mapInArrow(_anchor_rows(length, parts), ROW).groupBy("part").applyInPandas(_compare_contexts(length, parts), ROW))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    key = os.urandom(32)
+    found = materialise(rows.mapInArrow(_anchor_rows(length, parts, key), ROW).groupBy("part").applyInPandas(_compare_contexts(length, parts), ROW))
     texts = rows.mapInArrow(_pack_texts(parts), ROW)
     cut = (
         texts.groupBy("part").cogroup(found.where("kind = 'cut'").groupBy("part"))
-        .applyInPandas(_cut_contexts(length, parts), ROW).groupBy("part").applyInPandas(_search_shard(length, parts), ROW)
+        .applyInPandas(_cut_contexts(length, parts), ROW).groupBy("part").applyInPandas(_search_shard(length, parts, key), ROW)
     )
     searched = materialise(cut)
-    left = searched.where("kind = 'digest'").mapInPandas(_explode_digests, "digest long, id long, ordinal long, at long")
+    left = searched.where("kind = 'digest'").mapInPandas(_explode_digests, "high long, low long, id long, ordinal long, at long")
     left = left.distinct()
     order = F.struct("id", "ordinal", "at")
-    first = left.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    later = left.join(first, "digest").where(order != F.col("first")).select("id", "ordinal", "at").mapInPandas(_pack_ranges(length, parts), ROW)
+    first = left.groupBy("high", "low").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("high", "low", "first")
+    later = left.join(first, ["high", "low"]).where(order != F.col("first")).select("id", "ordinal", "at").mapInPandas(_pack_ranges(length, parts), ROW)
     ranges = found.where("kind = 'range'").unionByName(searched.where("kind = 'range'")).unionByName(later)
     out = texts.groupBy("part").cogroup(ranges.groupBy("part")).applyInPandas(_apply_ranges(with_kept), _RESULT)
     own = F.when(F.col("id") < _LAST, F.col("id")).alias(id_col)

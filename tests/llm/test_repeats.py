@@ -1,9 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from eventlens.llm import repeats as R
+from eventlens.llm.common import SpanHasher
 from eventlens.llm.runindex import RunLengthIndex
 from tests.llm.helpers import SF, awkward, documents, frame
 
@@ -71,6 +73,21 @@ def test_long_texts_are_cut_into_segments(spark, monkeypatch):
     assert result(R.remove_repeats(frame(spark, rows))) == brute([(r[0], r[1].encode()) for r in rows], 100)
 
 
+def test_texts_that_collide_in_the_rolling_hash_stay(spark):
+    """Two different texts of 100 bytes whose rolling hashes, and those of their least grams, are the same."""
+    tail = "jstexzwhgtqalrtuvnnjcolywyhzyxnu"
+    one = "OQRMRQKTOLURMNQOUSFQQPZILWKPROORNH\\RJSIRYLKPSRQOKUNOSLRQLQUNNQOPSONQ" + tail
+    two = "P" * 68 + tail
+    hashes = []
+    for t in (one, two):
+        buf = np.frombuffer(t.encode(), dtype=np.uint8)
+        assert len(buf) == 100
+        hashes.append(SpanHasher(buf).spans(np.array([0]), np.array([100]))[0])
+    assert hashes[0] == hashes[1]
+    rows = [(1, one, "en", "a", 1), (2, two, "en", "a", 1), (3, two + one, "en", "a", 1)]
+    assert result(R.remove_repeats(frame(spark, rows))) == brute([(r[0], r[1].encode()) for r in rows], 100)
+
+
 def test_awkward_rows(spark):
     docs = frame(spark, awkward(), ordinal="1", part="2", id="3", n_bytes="4")
     rows = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in R.remove_repeats(docs).collect())
