@@ -179,3 +179,54 @@ def classifier_optimum(spark, d):
 def era_classifier(spark, d):
     e = _emb(spark, d).withColumn("y", (F.col("label") >= 5).cast("int"))
     return V.era_classifier(e, "vec_id", "embedding", "y")
+
+
+def _newton_sql(src: str, steps: int = 9) -> str:
+    """CTEs ending in ``optimum`` (b, u, v): intercept and weights of the penalised logistic regression of y on x1, x2 in
+    ``src``, by Newton steps whose 3 x 3 systems are solved by determinants."""
+    ctes = ["w0 AS (SELECT 0.0::DOUBLE AS b, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v)"]
+    for i in range(steps):
+        ctes.append(f"""p{i} AS (SELECT x1, x2, y, 1 / (1 + exp(-(b + u * x1 + v * x2))) AS p FROM {src}, w{i}),
+m{i} AS (SELECT avg(p - y) AS g0, avg((p - y) * x1) AS g1, avg((p - y) * x2) AS g2, avg(p * (1 - p)) AS h00, avg(p * (1 - p) * x1) AS h01,
+  avg(p * (1 - p) * x2) AS h02, avg(p * (1 - p) * x1 * x1) AS h11, avg(p * (1 - p) * x1 * x2) AS h12, avg(p * (1 - p) * x2 * x2) AS h22, 1 / count(*)::DOUBLE AS l FROM p{i}),
+s{i} AS (SELECT g0, g1 + l * u AS g1, g2 + l * v AS g2, h00, h01, h02, h11 + l AS h11, h12, h22 + l AS h22, b, u, v FROM m{i}, w{i}),
+d{i} AS (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM s{i}),
+w{i + 1} AS (SELECT b - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det AS b,
+  u - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det AS u,
+  v - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det AS v FROM d{i})""")
+    return ",\n".join([*ctes, f"optimum AS (SELECT * FROM w{steps})"])
+
+
+@query("plane_classifier", "ML6", sql=f"""WITH flat AS (SELECT embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS x2, CAST(label >= 5 AS INTEGER) AS y FROM embeddings),
+{_newton_sql('flat')}
+SELECT round(b, 4) + 0.0 AS intercept, round(u, 4) + 0.0 AS weight1, round(v, 4) + 0.0 AS weight2 FROM optimum""")
+def plane_classifier(spark, d):
+    """Weights of the classifier on two coordinates, which SQL finds by Newton's method."""
+    e = _emb(spark, d).select(F.slice("embedding", 1, 2).alias("x"), (F.col("label") >= 5).cast("int").alias("y"))
+    model = V.fit_classifier(e, "x", "y")
+    weights = [float(w) for w in model.coefficients]
+    # one row, as wide as the model
+    fitted = e.agg(F.lit(float(model.intercept)).alias("intercept"), F.lit(weights[0]).alias("weight1"), F.lit(weights[1]).alias("weight2"))
+    return rounded(fitted, "intercept", "weight1", "weight2", digits=4)
+
+
+@query("plane_era_classifier", "ML4", "ML5", "ML6", "ML7", "ML8", "ML9", sql=f"""WITH
+r AS (SELECT vec_id, embedding[1]::DOUBLE AS e1, embedding[2]::DOUBLE AS e2, CAST(label >= 5 AS INTEGER) AS y,
+             row_number() OVER (PARTITION BY label >= 5 ORDER BY md5('42|' || vec_id), vec_id) AS rk, count(*) OVER (PARTITION BY label >= 5) AS n FROM embeddings),
+s AS (SELECT *, rk <= floor(n * 0.8) AS is_train FROM r),
+st AS (SELECT avg(e1) AS m1, stddev_pop(e1) AS s1, avg(e2) AS m2, stddev_pop(e2) AS s2 FROM s WHERE is_train),
+z AS (SELECT y, is_train, (e1 - m1) / s1 AS x1, (e2 - m2) / s2 AS x2 FROM s, st),
+train AS (SELECT * FROM z WHERE is_train),
+{_newton_sql('train')},
+held AS (SELECT y = 1 AS pos, 1 / (1 + exp(-(b + u * x1 + v * x2))) AS score FROM z, optimum WHERE NOT is_train),
+a AS (SELECT sum(CASE WHEN p.score > q.score THEN 1.0 WHEN p.score = q.score THEN 0.5 ELSE 0 END) / count(*) AS auc FROM held p, held q WHERE p.pos AND NOT q.pos),
+c AS (SELECT count(*) FILTER (score > 0.5 AND pos) AS tp, count(*) FILTER (score > 0.5 AND NOT pos) AS fp,
+             count(*) FILTER (score <= 0.5 AND pos) AS fn, count(*) FILTER (score <= 0.5 AND NOT pos) AS tn FROM held)
+SELECT {r6('auc', 'auc_roc')}, c.*, {r6('(tp + tn) / (tp + fp + fn + tn)::DOUBLE', 'accuracy')}, {r6('coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0)', '"precision"')},
+       {r6('coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0)', 'recall')}, {r6('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0)', 'f1')},
+       CASE WHEN auc > 0.8 THEN {lit(config.SEPARABILITY[0][1])} WHEN auc > 0.6 THEN {lit(config.SEPARABILITY[1][1])} ELSE {lit(config.SEPARABILITY_DEFAULT)} END AS interpretation
+FROM a, c""")
+def plane_era_classifier(spark, d):
+    """The whole chain on two coordinates: split, scaling, fit, and the metrics of the held-out rows."""
+    e = _emb(spark, d).select("vec_id", F.slice("embedding", 1, 2).alias("x"), (F.col("label") >= 5).cast("int").alias("y"))
+    return rounded(V.era_classifier(e, "vec_id", "x", "y"), "auc_roc", "accuracy", "precision", "recall", "f1")
