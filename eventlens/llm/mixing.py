@@ -167,19 +167,24 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS,
                 block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """(id, size, source_size, target, taken) per row of ``docs``: words that the mix takes, repeats counted.
+    """(id, size, source_size, target, taken, shards) per row of ``docs``: words that the mix takes, repeats counted, and
+    the number of output shards to which the draw sends any of them.
 
     A null text has size 0; rows that repeat an id are placed and counted one by one.
     """
     placed, sources = place_documents(docs, id_col, text_col, source_col, weights, max_repeats, block_words)
     placed = materialise(placed)
-    drawn = draw_slots(sources, shard_slots, seed).groupBy("rank", "block").agg(F.count("*").alias("times"))
+    drawn = draw_slots(sources, shard_slots, seed).groupBy("rank", "block", "shard").agg(F.count("*").alias("times"))
     own = ["rank", "start", "id", "size", "source_size", "target"]
-    words = _pieces(placed, block_words).join(drawn.hint("merge"), ["rank", "block"]).select(*own, (F.col("n_words") * F.col("times")).alias("taken"))
-    none = F.lit(0).cast("long").alias("taken")
-    counted = words.unionByName(placed.where("size > 0").select(*own, none)).groupBy(*own).agg(F.sum("taken").alias("taken"))
-    out = ["id", "size", "source_size", "target", "taken"]
-    return counted.select(*out).unionByName(placed.where("size = 0").select(*own, none).select(*out)).withColumnRenamed("id", id_col)
+    words = _pieces(placed, block_words).join(drawn.hint("merge"), ["rank", "block"]).select(*own, "shard", (F.col("n_words") * F.col("times")).alias("taken"))
+    none = [F.lit(None).cast("long").alias("shard"), F.lit(0).cast("long").alias("taken")]
+    counted = (
+        words.unionByName(placed.where("size > 0").select(*own, *none)).groupBy(*own, "shard").agg(F.sum("taken").alias("taken"))
+        .groupBy(*own).agg(F.sum("taken").alias("taken"), F.count("shard").alias("shards"))
+    )
+    out = ["id", "size", "source_size", "target", "taken", "shards"]
+    wordless = placed.where("size = 0").select(*own, none[1], F.lit(0).cast("long").alias("shards")).select(*out)
+    return counted.select(*out).unionByName(wordless).withColumnRenamed("id", id_col)
 
 
 def _permutation_sql(name: str, given: str, value: str, size: str, seed: str, out: str) -> str:
@@ -225,8 +230,8 @@ m_mix AS (SELECT p.*, d.slot // {SHARD_SLOTS} AS m_shard, d.slot % {SHARD_SLOTS}
 
 
 @query("op1_mix_sources", sql=f"""WITH {MIX_SQL.replace("DOCS", "documents")},
-taken AS (SELECT r, sum(n_words) AS taken FROM m_mix GROUP BY r)
-SELECT doc_id, m_size AS size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM m_docs LEFT JOIN taken USING (r)""")
+taken AS (SELECT r, sum(n_words) AS taken, count(DISTINCT m_shard) AS shards FROM m_mix GROUP BY r)
+SELECT doc_id, m_size AS size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, coalesce(shards, 0) AS shards FROM m_docs LEFT JOIN taken USING (r)""")
 def op1(spark, d):
-    """Words that the mix takes of every document."""
+    """Words that the mix takes of every document, and how many output shards they are drawn for."""
     return taken_words(table(spark, d, "documents").select("doc_id", "text", "source"))

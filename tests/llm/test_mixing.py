@@ -86,3 +86,15 @@ def test_awkward_rows(spark):
     assert M.taken_words(docs.limit(0)).count() == 0 and M.mix_documents(docs.limit(0)).count() == 0
     empty = docs.where("doc_id IN (3, 4, 5)")
     assert [r["taken"] for r in M.taken_words(empty).collect()] == [0, 0, 0] and M.mix_documents(empty).count() == 0
+
+
+def test_shards_are_those_of_the_mix(spark):
+    """The number of shards of a document against the mix itself."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
+    options = {"block_words": 32, "shard_slots": 100}
+    got = {r["doc_id"]: (r["shards"], r["taken"]) for r in M.taken_words(docs, **options).collect()}
+    mixed = defaultdict(set)
+    for r in M.mix_documents(docs, **options).select("doc_id", "shard").collect():
+        mixed[r["doc_id"]].add(r["shard"])
+    assert {k: len(v) for k, v in mixed.items()} == {k: n for k, (n, _) in got.items() if n}
+    assert max(n for n, _ in got.values()) > 3 and all((n > 0) == (taken > 0) for n, taken in got.values())
