@@ -96,6 +96,8 @@ class ToxicityModel:
     intercept: float
     slope: float
     shift: float
+    #: Labelled texts whose mentions were swapped for the penalty.
+    pairs: int = 0
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         row, index, value = features(texts)
@@ -132,10 +134,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column | None = None,
         share = min(max(share, 1e-3), 1 - 1e-3)
         return ToxicityModel(np.zeros(DIMS), 0.0, 1.0, float(np.log(share / (1 - share))))
     x = unpack(rows, "index", "value", DIMS)
-    pairs = unpack(rows[rows["pair_index"].str.len() > 0], "pair_index", "pair_value", DIMS)
+    paired = rows["pair_index"].str.len() > 0
+    pairs = unpack(rows[paired], "pair_index", "pair_value", DIMS)
     del rows
     fitted, slope, shift = fit_calibrated(x, y, class_weights(y, counts), l2, pairs, penalty)
-    return ToxicityModel(fitted[:-1].astype(np.float32), float(fitted[-1]), slope, shift)
+    return ToxicityModel(fitted[:-1].astype(np.float32), float(fitted[-1]), slope, shift, int(paired.sum()))
 
 
 def score_column(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Column:
@@ -160,8 +163,8 @@ def drop_toxic(docs: DataFrame, labelled: DataFrame, labels: DataFrame, threshol
 
 @query("op10_toxicity")
 def op10(spark, d):
-    """Toxicity of every document, learnt without the held-out fifth of the labels."""
+    """Toxicity of every document, learnt without the held-out fifth of the labels; n_pairs: texts with swapped mentions in the fit."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, table(spark, d, "labels"), ~held_out(F.col("id")))
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_column(docs, model).alias("score")).withColumn(
-        "predicted", (F.col("score") >= THRESHOLD).cast("int"))
+        "predicted", (F.col("score") >= THRESHOLD).cast("int")).withColumn("n_pairs", F.lit(model.pairs).cast("long"))

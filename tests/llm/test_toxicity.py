@@ -39,6 +39,8 @@ def test_swapped_mentions_change_scores_less(spark):
         model = T.fit_toxicity(docs, marks, penalty=penalty)
         gap[penalty] = abs(float(model.score(sentences[0])[0] - model.score(sentences[1])[0]))
         assert model.score(["you are scum and an idiot of a moron"])[0] > 0.5
+        swapped = [r["text"] for r in docs.collect() if "muslims" in r["text"]]
+        assert model.pairs == len(swapped) > 100
     assert gap[5.0] < 0.25 * gap[0.0]
 
 
