@@ -269,12 +269,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS,
                          bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one per near-duplicate component stays."""
-    kept = (near_duplicates(docs, id_col, text_col, shingle, bits).where("representative")
-            .select(F.col(id_col).alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct())
-    own = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    match = own[id_col].eqNullSafe(kept["_kept_id"]) & (own["_text_hash"] == kept["_kept_hash"])
-    return own.join(kept, match, "left_semi").dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")
+    """The rows of ``docs``, all columns, of which one per near-duplicate component stays.
+
+    Rows meet by plain keys, so that the join and the choice among rows that repeat both id and text need one exchange.
+    """
+    keys = lambda of, text_hash: of.withColumns({
+        "_id_key": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_unknown": F.col(id_col).isNull(), "_text_hash": text_hash})
+    names = ["_id_key", "_unknown", "_text_hash"]
+    kept = keys(near_duplicates(docs, id_col, text_col, shingle, bits).where("representative"), F.col("text_hash")).select(*names).distinct()
+    return keys(docs, F.xxhash64(text_col)).join(kept, names, "left_semi").dropDuplicates(names).drop(*names)
 
 
 @query("op8_simhash_near_dedup")
