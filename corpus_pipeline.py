@@ -4,6 +4,11 @@ Every stage takes (spark, docs, sf_dir) and works on all documents that the stag
 remove whole documents and change no row.  The mix cuts documents into the pieces that its blocks hold: a row of its
 result is one piece, with the doc_id, lang and source of its document, so a document occurs as often as the mix takes
 it.  The last stage adds size, shard and slot to the pieces.
+
+A null text counts as empty: it scores like a text without words, has fingerprint zero (so one of all documents without
+words stays), holds no benchmark window, and has no words for the mix to take.  Rows that repeat id and text are near
+copies of each other.  Null ids and sources are kept apart as values of their own.  An empty table passes every stage.
+Other columns than those of documents travel unchanged.
 """
 
 from __future__ import annotations
