@@ -1,6 +1,6 @@
 from eventlens.llm.decontaminate import words_of
 from eventlens.session import materialise
-from tests.llm.helpers import SF, words
+from tests.llm.helpers import SF, awkward, frame, words
 from tests.llm.test_decontaminate import naive
 from tests.llm.test_mixing import expected_targets
 from tests.llm.test_simhash import brute_components, brute_fingerprint
@@ -54,3 +54,20 @@ def test_stages_against_brute_force(spark):
 def test_run_is_the_stages(spark):
     out = P.run(spark, SF)
     assert out.count() > 0 and {"shard", "slot", "size"} <= set(out.columns)
+
+
+def test_awkward_rows(spark):
+    """Null, empty, repeated and very long rows, an empty table and one of nulls through all stages, with columns of any name."""
+    docs = frame(spark, awkward(), size="'x'", shard="1", representative="2", _id_key="'k'")
+    for given in (docs, docs.limit(0), docs.where("text IS NULL")):
+        columns, texts = given.columns, {r["text"] for r in given.collect() if words(r["text"])}
+        for name, stage in P.STAGES:
+            before = given
+            given = materialise(stage(spark, before, SF))
+            assert name == "sharding" or given.columns == columns
+            if name in ("toxicity", "simhash_near_dedup", "benchmark_decontamination"):
+                rows = lambda df: sorted(map(tuple, df.select("doc_id", "text", "lang", "source").collect()), key=repr)
+                assert all(r in rows(before) for r in rows(given))
+        pieces = given.collect()
+        assert all(any(r["text"] in t for t in texts) for r in pieces) and (not texts or pieces)
+        assert sorted(r["slot"] for r in pieces if r["shard"] == 0) == list(range(sum(r["shard"] == 0 for r in pieces)))
