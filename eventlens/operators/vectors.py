@@ -231,6 +231,6 @@ def era_classifier(df: DataFrame, key: str, vector: str, label: str) -> DataFram
     model = fit_classifier(rows.where("is_train"), "scaled", label)
     held = score(model, rows.where("NOT is_train"), "scaled")
     positive = F.col(label) == 1
-    a = auc(held, "score", positive).withColumn("_k", F.lit(1))
-    m = confusion_metrics(held, "score", positive).withColumn("_k", F.lit(1))
-    return a.join(m, "_k").drop("_k").withColumn("interpretation", separability(F.col("auc_roc")))
+    area = auc(held, "score", positive).scalar()
+    out = confusion_metrics(held, "score", positive).withColumn("auc_roc", area).where("auc_roc IS NOT NULL")
+    return out.withColumn("interpretation", separability(F.col("auc_roc")))
