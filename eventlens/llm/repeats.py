@@ -49,7 +49,8 @@ SPREAD = 64
 #: Bytes of text per partition of texts, anchors and contexts.
 PART_BYTES = 16 << 20
 _SEGMENT = 1 << 19
-_FLUSH_ANCHORS = 1 << 19
+_BLOCK = 1 << 14
+_FLUSH_ANCHORS = 1 << 18
 _FLUSH_BYTES = 16 << 20
 _LAST = np.iinfo(np.int64).max
 
@@ -57,8 +58,12 @@ _LAST = np.iinfo(np.int64).max
 def _digests(data: bytes, starts: np.ndarray, ends: np.ndarray, key: bytes, size: int = 8) -> np.ndarray:
     """Keyed digests of spans, as one or two 64-bit numbers each."""
     view, new = memoryview(data), hashlib.blake2b
-    found = b"".join([new(view[a:b], digest_size=size, key=key).digest() for a, b in zip(starts.tolist(), ends.tolist())])
-    return np.frombuffer(found, dtype=np.uint64)
+    out = np.empty(len(starts) * size // 8, dtype=np.uint64)
+    for at in range(0, len(starts), _BLOCK):  # a block at a time, so that little of it is Python objects
+        some = slice(at, at + _BLOCK)
+        found = b"".join([new(view[a:b], digest_size=size, key=key).digest() for a, b in zip(starts[some].tolist(), ends[some].tolist())])
+        out[at * size // 8 : at * size // 8 + len(found) // 8] = np.frombuffer(found, dtype=np.uint64)
+    return out
 
 
 def find_anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, key: bytes = b""):
