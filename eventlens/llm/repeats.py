@@ -48,10 +48,10 @@ HOT = 64
 SPREAD = 64
 #: Bytes of text per partition of texts, anchors and contexts.
 PART_BYTES = 16 << 20
-_SEGMENT = 1 << 19
+_SEGMENT = 1 << 18
 _BLOCK = 1 << 14
 _FLUSH_ANCHORS = 1 << 18
-_FLUSH_BYTES = 16 << 20
+_FLUSH_BYTES = 8 << 20
 _LAST = np.iinfo(np.int64).max
 
 
