@@ -1,8 +1,10 @@
 """Incremental ingest equals the batch result, across restarts and repeated batches."""
 
 import json
+import shutil
 
 import pytest
+from pyspark.sql import functions as F
 
 from eventlens.operators import attribution as A
 from eventlens.plans import QUERIES
@@ -22,6 +24,33 @@ def test_tool_counts_equal_batch(spark):
     assert rows(QUERIES["streamed_tool_monthly"](spark, SF)) == rows(A.tool_monthly(document_archive(spark, SF)))
 
 
+def written_documents(spark, tmp_path, layout, n=60):
+    """A folder of tables whose documents, with repeated ids and nulls, are one file, a folder of files or folders by language."""
+    docs = spark.range(n).selectExpr(
+        "if(id % 19 = 5, NULL, id div 2) AS doc_id", "if(id % 11 = 3, NULL, repeat(concat('line ', id, '\\n'), cast(id % 9 AS int))) AS text",
+        "if(id % 3 = 0, 'en', 'de') AS lang", "if(id % 13 = 7, NULL, concat('s', id % 2)) AS source")
+    d = tmp_path / layout
+    at = f"{d}/documents.parquet"
+    if layout == "file":
+        docs.coalesce(1).write.parquet(f"{tmp_path}/written")
+        d.mkdir()
+        shutil.copy(next((tmp_path / "written").glob("part-*.parquet")), at)
+    elif layout == "folder":
+        docs.repartition(7).write.parquet(at)
+    else:
+        docs.write.partitionBy("lang").parquet(at)
+    return str(d)
+
+
+@pytest.mark.parametrize("layout", ["file", "folder", "by_language"])
+def test_a_table_streams_in_any_layout(spark, tmp_path, layout):
+    d = written_documents(spark, tmp_path, layout)
+    # another table, whose name begins alike
+    spark.read.parquet(f"{d}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 1000).write.parquet(f"{d}/documents_old.parquet")
+    want = rows(A.tool_monthly(document_archive(spark, d)))
+    assert want and rows(QUERIES["streamed_tool_monthly"](spark, d)) == want
+
+
 def test_archive_ingest_resumes(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     src, store, out, ckpt = (str(tmp_path / n) for n in ("src", "store", "out", "ckpt"))
