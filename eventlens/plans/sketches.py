@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from eventlens.operators import attribution as A
@@ -17,6 +19,9 @@ from eventlens.streaming import incremental as I
 
 #: Standard errors that an estimate may be off.
 SIGMAS = 4
+#: Batches of the streamed pushes, and the files that they have at least.
+STREAM_BATCHES = 2
+LEAST_FILES = 4
 
 
 def _near(estimate: str, exact: str, lg_k: int = K.LG_K):
@@ -41,6 +46,16 @@ def tool_quarterly_sketch(spark, d):
         _near("distinct_repos", "exact_repos").alias("repos_near"), _near("distinct_developers", "exact_developers").alias("developers_near"))
 
 
+def _write_push_files(docs, path: str) -> int:
+    """Write the pushes of documents in as many files as Spark reads parts of the table, so that a file doesn't grow with it; how many.
+
+    Rows are dealt out in turn: a large repository, or a part that holds most rows, makes no large file.
+    """
+    files = max(LEAST_FILES, docs.rdd.getNumPartitions())
+    document_pushes(docs.repartition(files)).write.parquet(path)
+    return files
+
+
 @query("streamed_tool_sketches", "STR2", "AG4", "AG1", sql=f"""{_ALL}
 SELECT * FROM (
   SELECT CAST(year(created_at) AS INTEGER) AS year, CAST(month(created_at) AS INTEGER) AS month, {_TOOL} AS tool, count(*) AS commits,
@@ -49,8 +64,8 @@ SELECT * FROM (
 def streamed_tool_sketches(spark, d):
     """Sketches that batches of a stream have stored, united, against one sketch of all rows."""
     src, store, results, progress = (scratch_path(spark, n) for n in ("pushes", "sketches", "tool-months", "progress"))
-    document_pushes(table(spark, d, "documents")).repartition(4, "repo_name").write.parquet(src)
-    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 2).parquet(src)
+    files = _write_push_files(table(spark, d, "documents").select("doc_id", "text", "lang", "source"), src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", math.ceil(files / STREAM_BATCHES)).parquet(src)
     I.ingest_archive(spark, stream, store, results, progress, sketches=True)
     whole = I.sketched_counts(I.count_sketches(document_archive(spark, d)), ["year", "month", "tool"])
     got = I.latest_results(spark, results)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventlens.operators import attribution as A
-from eventlens.plans import QUERIES
+from eventlens.plans import QUERIES, sketches
 from eventlens.sources.adapters import document_archive, document_pushes
 from eventlens.sources import versions as V
 from eventlens.streaming import incremental as I
@@ -51,6 +51,27 @@ def test_a_table_streams_in_any_layout(spark, tmp_path, layout):
     assert want and rows(QUERIES["streamed_tool_monthly"](spark, d)) == want
 
 
+def test_streamed_files_grow_in_number(spark, tmp_path, monkeypatch):
+    """Pushes of one repository, in a table of many parts: a file for each part, alike in rows, in two batches."""
+    docs = spark.range(0, 13 * 600, 13).selectExpr("id AS doc_id", "concat('aider: ', id, '\n', uuid()) AS text", "'en' AS lang", "'s' AS source")
+    docs.repartition(24).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(sketches, "scratch_path", lambda _, name: str(tmp_path / name))
+    sizes = {"spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "0"}
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        got = QUERIES["streamed_tool_sketches"](spark, str(tmp_path)).collect()
+    finally:
+        for k in sizes:
+            spark.conf.unset(k)
+    files = [r["count"] for r in spark.read.parquet(f"{tmp_path}/pushes").groupBy(F.input_file_name()).count().collect()]
+    assert len(files) >= 24 and sum(files) == 600 and max(files) <= 4 * 600 / len(files)
+    assert V.committed(spark, str(tmp_path / "tool-months")) == [0, 1]
+    assert all(r.same_repos and r.same_developers for r in got)
+    want = A.tool_monthly(document_archive(spark, str(tmp_path))).collect()
+    assert want and sorted((r.year, r.month, r.tool, r.commits) for r in got) == sorted((r.year, r.month, r.tool, r.commits) for r in want)
+
+
 def test_archive_ingest_resumes(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     src, store, out, ckpt = (str(tmp_path / n) for n in ("src", "store", "out", "ckpt"))
