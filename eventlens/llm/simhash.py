@@ -273,9 +273,11 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows meet by plain keys, so that the join and the choice among rows that repeat both id and text need one exchange.
     """
-    keys = lambda of, text_hash: of.withColumns({
-        "_id_key": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_unknown": F.col(id_col).isNull(), "_text_hash": text_hash})
     names = ["_id_key", "_unknown", "_text_hash"]
+    while {n.lower() for n in names} & {c.lower() for c in docs.columns}:
+        names = [f"_{n}" for n in names]
+    keys = lambda of, text_hash: of.withColumns(dict(zip(names, (
+        F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(id_col).isNull(), text_hash))))
     kept = keys(near_duplicates(docs, id_col, text_col, shingle, bits).where("representative"), F.col("text_hash")).select(*names).distinct()
     return keys(docs, F.xxhash64(text_col)).join(kept, names, "left_semi").dropDuplicates(names).drop(*names)
 
